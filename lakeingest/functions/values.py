@@ -10,8 +10,8 @@ from lakeingest.functions.names import trim_all
 INTEGER = r"^[+-]?[0-9]+$"
 FLOAT = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 BOOLEAN = r"^(?i:true|false)$"
-# Cheap superset of the three: text outside it can only be text.
-NARROW = r"^([+-]?[0-9.][0-9.eE+-]*|(?i:true|false))$"
+# Union of the three: text outside it can only be text.
+NARROW = r"^([+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:true|false))$"
 
 
 def plain_double_text(c: Column) -> Column:

@@ -54,8 +54,14 @@ def plain_uri(uri: Column) -> Column:
 
 
 def source_name(uri: Column, colliding: Sequence[str] | None) -> Column:
-    """Dataset name of a source. ``colliding`` lists shared base names; None means too many to list."""
-    base = base_name(plain_uri(uri))
+    """Dataset name of a source. ``colliding`` lists shared base names; None means too many to list.
+
+    This runs for every row, so it cuts the name at its last dot without a pattern and decodes only
+    names that are escaped.
+    """
+    last = F.substring_index(uri, "/", -1)
+    last = F.when(last.contains("%"), plain_uri(last)).otherwise(last)
+    base = F.left(last, F.length(last) - F.length(F.substring_index(last, ".", -1)) - 1)
     hashed = F.concat(base, F.lit("__"), F.substr(F.sha2(uri, 256), F.lit(1), F.lit(8)))
     if colliding is None:
         name = hashed
@@ -119,3 +125,21 @@ def observed(df: DataFrame, **metrics: Column) -> tuple[DataFrame, Observation]:
     """Attach metrics that are read back once the frame has been written."""
     watch = Observation()
     return df.observe(watch, *[c.alias(k) for k, c in metrics.items()]), watch
+
+
+def output_names(files: DataFrame, collision: str = "hash") -> DataFrame:
+    """Dataset name of every path (column ``path``), and whether its data survives the run.
+
+    Sources that share a base name get a path hash each, or with ``overwrite`` one name that the
+    last path keeps. The count per base name is combined before the shuffle, so a very common
+    base name stays one small row.
+    """
+    based = files.select("path").distinct().withColumn("base", base_name(F.col("path")))
+    stats = based.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("last"))
+    named = based.join(stats, "base")
+    hashed = F.concat(F.col("base"), F.lit("__"), F.substr(F.sha2("path", 256), F.lit(1), F.lit(8)))
+    if collision == "overwrite":
+        name, kept = F.col("base"), F.col("path") == F.col("last")
+    else:
+        name, kept = F.when(F.col("n") > 1, hashed).otherwise(F.col("base")), F.lit(True)
+    return named.select("path", F.concat(name, F.lit(".parquet")).alias("dataset"), kept.alias("kept"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import time
+from collections import Counter
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
@@ -11,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeingest.functions.files import HEAD_BYTES, base_name
+from lakeingest.functions.files import HEAD_BYTES
 from lakeingest.functions.names import trim_all
 from lakeingest.operators.framing import (
     MAX_LISTED_COLLISIONS, Layout, Outcome, plain_uri, source_name,
@@ -19,7 +21,7 @@ from lakeingest.operators.framing import (
 from lakeingest.operators.jsonshape import strict_variant
 from lakeingest.options import IngestOptions
 from lakeingest.plans.audit import AUDIT_FIELDS, first_invalid, status_of
-from lakeingest.session import isolated, remove_tree, work_folder
+from lakeingest.session import has_data, isolated, qualified, remove_tree, work_folder
 from lakeingest.sources.delimited import ingest_delimited
 from lakeingest.sources.listing import list_sources, sniff
 from lakeingest.sources.records import ingest_json
@@ -49,6 +51,8 @@ class IngestResult:
     @property
     def quarantine(self) -> DataFrame:
         schema = "path string, line_number bigint, content string, error string"
+        if not qualified(self.spark, self.quarantine_folder):
+            return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.quarantine_folder)
 
     @property
@@ -106,27 +110,27 @@ def ingest(
     ).drop("head").write.mode("overwrite").parquet(f"{work}/sources")
     sources = inner.read.parquet(f"{work}/sources")
     usable = sources.where("erro is null")
-    stop = None
-    if not opts.continue_on_error:
-        stop = sources.where("erro is not null").agg(F.min("path")).first()[0]
-        if stop is not None:
-            usable = usable.where(F.col("path") < stop)
-
-    shared = usable.groupBy(base_name(F.col("path")).alias("base")).count().where("count > 1")
-    colliding = [r.base for r in shared.select("base").limit(MAX_LISTED_COLLISIONS + 1).collect()]
+    # One small row per file: the paths every scan's file index holds on the driver in any case.
+    files = sources.select("layout_id", "path", "format", F.col("erro").isNotNull().alias("bad")).collect()
+    if not opts.continue_on_error and (wrong := [f.path for f in files if f.bad]):
+        usable = usable.where(F.col("path") < min(wrong))
+        files = [f for f in files if f.path < min(wrong)]
+    files = [f for f in files if not f.bad]
+    bases = Counter(re.sub(r"(?<=.)\.[^.]*$", "", f.path.rsplit("/", 1)[-1]) for f in files)
+    colliding = [b for b, n in bases.items() if n > 1]
     if len(colliding) > MAX_LISTED_COLLISIONS:
         colliding = None
 
     outcomes = []
     by_layout: dict[str, list[str]] = {}
-    for row in usable.where("format != 'xlsx'").select("layout_id", "path").toLocalIterator():
-        by_layout.setdefault(row.layout_id, []).append(row.path)
+    for f in files:
+        if f.format != "xlsx":
+            by_layout.setdefault(f.layout_id, []).append(f.path)
     labels = usable.where("format != 'xlsx'").groupBy("layout_id").agg(
         *[F.first(c).alias(c) for c in ("format", "route", "encoding", "sep", "layout")],
         F.min_by("text", "path").alias("text"), F.min_by("length", "path").alias("length"),
     )
 
-
     def read(row) -> list[Outcome]:
         layout = Layout(
             row.layout_id, row.format, sorted(by_layout[row.layout_id]), row.encoding, row.sep,
@@ -140,15 +144,17 @@ def ingest(
             outcomes += found
 
     kept = None
-    books = usable.where("format = 'xlsx'")
-    if not books.isEmpty():
+    books = [f.path for f in files if f.format == "xlsx"]
+    if books:
         try:
-            found, kept = ingest_workbooks(inner, books, opts, data, work, colliding)
+            found, kept = ingest_workbooks(inner, usable.where("format = 'xlsx'"), opts, data, work, colliding)
             outcomes += found
         except Exception as e:
-            outcomes.append(_all_failed(inner, "xlsx", [r.path for r in books.select("path").collect()], e))
+            outcomes.append(_all_failed(inner, "xlsx", books, e))
+    for o in outcomes:
+        o.folder = o.folder if o.folder and has_data(inner, o.folder) else None
 
-    audit = _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started, stop)
+    audit = _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started)
     return IngestResult(spark, outcomes, *audit)
 
 
@@ -180,23 +186,19 @@ def _all_failed(inner, layout: str, paths: list[str], error: Exception) -> Outco
     return Outcome(layout, failed=failed)
 
 
-def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started, stop):
+def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started):
     """Write quarantine and audit; apply the stop policy. Returns their folders."""
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
     none = lambda schema: inner.createDataFrame([], schema)
 
-    invalid_parts = [o.invalid for o in outcomes if o.invalid is not None]
+    parts = [o.invalid for o in outcomes if o.invalid is not None]
     quarantine = f"{out}/quarentena/lote={run}"
-    found = union(invalid_parts) if invalid_parts else none(
-        "uri string, line_number bigint, content string, error string"
-    )
-    found.select(plain_uri(F.col("uri")).alias("path"), "line_number", "content", "error").write.mode(
-        "overwrite"
-    ).parquet(quarantine)
-
-    failed = union(
-        [o.failed for o in outcomes if o.failed is not None] or [none("uri string, erro string")]
-    ).groupBy("uri").agg(F.min("erro").alias("late"))
+    remove_tree(inner, quarantine)
+    if parts:
+        union(parts).select(
+            plain_uri(F.col("uri")).alias("path"), "line_number", "content", "error"
+        ).write.mode("overwrite").parquet(quarantine)
+    failed = [o.failed for o in outcomes if o.failed is not None]
     counts = union([
         inner.read.schema("lake_source string").parquet(o.folder).groupBy("lake_source")
         .agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit(o.layout))
@@ -204,12 +206,6 @@ def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, star
         for o in outcomes if o.folder
     ] or [none("lake_source string, n bigint, outcome string, folder string")])
 
-    counts.write.mode("overwrite").parquet(f"{work}/counts")
-    counts = inner.read.parquet(f"{work}/counts")
-    filled = {r.folder for r in counts.select("folder").distinct().collect()}
-    for o in outcomes:
-        o.folder = o.folder if o.folder in filled else None
-
     plain = sources.where("format != 'xlsx'").select(
         "uri", F.lit(0).alias("sheet_index"), F.lit(None).cast("string").alias("sheet"),
         source_name(F.col("uri"), colliding).alias("lake_source"), "layout_id",
@@ -241,21 +237,21 @@ def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, star
         "outcome string, colunas_originais array<string>, colunas_finais array<string>, "
         "tipos_inferidos map<string,string>, mapa_normalizacao map<string,string>",
     )
-    per_file = first_invalid(
-        inner.read.parquet(quarantine), "path"
-    ) if invalid_parts else none(
-        "path string, n_invalid bigint, shown array<struct<line_number:bigint,content:string,error:string>>"
-    )
-    base = sources.drop("text")
-    if opts.hash_sources:
-        base = base.join(hash_files(sources.where("erro is null or length >= 0")), "path", "left")
+    base = sources.select("path", "uri", "length", "format", "encoding", "sep", "layout_id", "erro")
+    base = hash_files(base) if opts.hash_sources else base.withColumn("hash_sha256", F.lit(""))
+    if failed:
+        base = base.join(union(failed).groupBy("uri").agg(F.min("erro").alias("late")), "uri", "left")
+    else:
+        base = base.withColumn("late", F.lit(None).cast("string"))
+    shown = "array<struct<line_number:bigint,content:string,error:string>>"
+    if parts:
+        base = base.join(first_invalid(inner.read.parquet(quarantine), "path"), "path", "left")
     else:
-        base = base.withColumn("hash_sha256", F.lit(""))
+        base = base.withColumn("n_invalid", F.lit(0)).withColumn("shown", F.lit(None).cast(shown))
     is_json = F.col("format").isin("json", "ndjson", "jsonl")
     empty = F.array().cast("array<string>")
     rows = (
-        base.join(failed, "uri", "left").join(datasets, "uri", "left").join(meta, "outcome", "left")
-        .join(per_file, "path", "left")
+        base.join(datasets, "uri", "left").join(meta, "outcome", "left")
         .withColumn("problem", F.coalesce(
             "erro", "late", F.when(is_json & F.col("linhas_lidas").isNull(), NO_RECORDS)
         ))
@@ -277,9 +273,7 @@ def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, star
             F.col("encoding").alias("csv_encoding"),
             F.col("sep").alias("csv_separador"),
             F.coalesce("xlsx_abas_processadas", empty).alias("xlsx_abas_processadas"),
-            F.coalesce("shown", F.array().cast(
-                "array<struct<line_number:bigint,content:string,error:string>>"
-            )).alias("ndjson_linhas_invalidas"),
+            F.coalesce("shown", F.array().cast(shown)).alias("ndjson_linhas_invalidas"),
             "ndjson_total_invalidas",
             F.when(F.col("problem").isNull(), F.coalesce("linhas_lidas", F.lit(0))).otherwise(F.lit(0))
             .cast("bigint").alias("linhas_lidas"),

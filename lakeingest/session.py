@@ -61,3 +61,15 @@ def remove_tree(spark: SparkSession, path: str) -> None:
     fs, jpath = hadoop_path(spark, path)
     if fs.exists(jpath):
         fs.delete(jpath, True)
+
+
+def has_data(spark: SparkSession, folder: str) -> bool:
+    """Whether a partitioned dataset folder holds any partition."""
+    fs, jpath = hadoop_path(spark, folder)
+    if not fs.exists(jpath):
+        return False
+    entries = fs.listStatusIterator(jpath)
+    while entries.hasNext():
+        if entries.next().isDirectory():
+            return True
+    return False

@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -81,19 +82,37 @@ def sample_types(layout: Layout, typed: list[int]) -> dict[int, str]:
     return guesses
 
 
-def misfit(c: Column, guess: str) -> Column:
-    """Aggregate: may a guessed type be wrong? True sends the column to the exact typing pass.
+def doubt(c: Column, guess: str) -> Column:
+    """Per value: does it contradict the guessed type?"""
+    return F.lit(False) if guess == "string" else c.isNotNull() & (
+        F.lit(True) if guess == "void" else ~matches_type(c, guess)
+    )
 
-    Text is confirmed by one value that no narrower type could hold.
-    """
+
+def proof(c: Column, guess: str) -> Column | None:
+    """Per value: does it rule out every narrower type? None where no type is narrower."""
     if guess == "string":
-        return ~F.coalesce(F.bool_or(~c.rlike(NARROW)), F.lit(False))
-    if guess == "void":
-        return F.count(c) > 0
-    wrong = F.bool_or(c.isNotNull() & ~matches_type(c, guess))
-    if guess == "double":  # integers alone would be narrower
-        return F.coalesce(wrong | F.bool_and(F.when(c.isNotNull(), c.rlike(INTEGER))), F.lit(False))
-    return F.coalesce(wrong, F.lit(False))
+        return ~c.rlike(NARROW)
+    return ~c.rlike(INTEGER) if guess == "double" else None
+
+
+def flag_words(flags: dict[int, Column]) -> list[Column]:
+    """Flags packed into as few numbers as possible: observing them is then one cheap metric each."""
+    words = []
+    for start in range(0, len(flags), 60):
+        bits = [
+            F.when(flag, F.lit(1 << n).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+            for n, flag in enumerate(list(flags.values())[start:start + 60])
+        ]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), bits))
+    return words
+
+
+def all_set(words: list[int | None], n: int) -> bool:
+    """Whether ``n`` packed flags were all seen."""
+    return all(
+        (word or 0) == (1 << min(60, n - 60 * w)) - 1 for w, word in enumerate(words)
+    )
 
 
 def project(parsed: DataFrame, width: int, types: dict[int, str]) -> DataFrame:
@@ -193,18 +212,26 @@ def ingest_delimited(
         types = sample_types(layout, typed)
         parsed = parse(decoded_lines(spark, layout).where(F.col("rec").rlike(r"\S")), width, layout.sep)
         is_header = F.col("rec") == layout.header
+        doubts = flag_words({i: ~is_header & doubt(F.col(f"r.c{i}"), types[i]) for i in typed})
+        proven = {i: p for i in typed if (p := proof(F.col(f"r.c{i}"), types[i])) is not None}
+        proofs = flag_words({i: ~is_header & p for i, p in proven.items()})
+        words = {f"doubt{n}": w for n, w in enumerate(doubts)} | {f"proof{n}": w for n, w in enumerate(proofs)}
+        parsed = parsed.select(
+            "rec", "r", "uri", "bad", odd_quotes(F.col("rec")).alias("odd"),
+            is_header.cast("int").alias("header"), *[w.alias(k) for k, w in words.items()],
+        )
         parsed, watch = observed(
-            parsed,
-            spans=F.max(odd_quotes(F.col("rec"))) == 1,
-            bad=F.bool_or("bad"),
-            headers=F.count_if(is_header),
-            **{f"m{i}": misfit(F.when(~is_header, F.col(f"r.c{i}")), types[i]) for i in typed},
+            parsed, spans=F.max("odd"), bad=F.bool_or("bad"), headers=F.sum("header"),
+            **{k: F.bit_or(k) for k in words},
         )
-        df, final = finish_columns(project(parsed.where(~is_header), width, types), original, opts)
+        parsed = parsed.where("header = 0")
+        df, final = finish_columns(project(parsed, width, types), original, opts)
         labels = write_layout(df, folder, opts, colliding)
         seen = watch.get
         trusted = not seen["spans"] and not seen["bad"] and seen["headers"] == len(layout.paths)
-        if trusted and not any(seen[f"m{i}"] for i in typed):
+        fits = not any(seen[f"doubt{n}"] for n in range(len(doubts)))
+        fits = fits and all_set([seen[f"proof{n}"] for n in range(len(proofs))], len(proven))
+        if trusted and fits:
             return [Outcome(layout.id, folder, original, final, labels)]
         if trusted:  # only the types were misjudged: settle them, then write again
             records = decoded_lines(spark, layout).where(F.col("rec").rlike(r"\S") & ~is_header)
@@ -234,15 +261,11 @@ def ingest_delimited(
         mine = parsed.join(same.select("uri"), "uri", "left_semi")
         wrong = failed if k == 0 else None
         if opts.strict_sample:
-            bad = mine.groupBy("uri").agg(
-                F.bool_or(F.lit(False)).alias("none"),
-                *[misfit(F.col(f"r.c{i}"), types[i]).alias(f"m{i}") for i in typed if types[i] != "void"],
+            misfit = reduce(
+                lambda a, b: a | b, [doubt(F.col(f"r.c{i}"), t) for i, t in types.items() if t != "void"],
+                F.lit(False),
             )
-            flags = [F.col(f"m{i}") for i in typed if types[i] != "void"]
-            hit = F.col("none")
-            for f in flags:
-                hit = hit | f
-            bad = bad.where(hit).select("uri", F.lit(TYPE_MISFIT).alias("erro"))
+            bad = mine.where(misfit).select("uri").distinct().withColumn("erro", F.lit(TYPE_MISFIT))
             mine = mine.join(bad, "uri", "left_anti")
             wrong = bad if wrong is None else wrong.unionByName(bad)
         df, final = finish_columns(project(mine, width, types), original, opts)

@@ -72,10 +72,9 @@ def sniff(listed: DataFrame) -> DataFrame:
     Adds ``encoding``, ``sep`` and ``layout``: the raw header of a delimited file or the key list
     of a JSON source. ``text`` is the decoded head.
     """
-    heads = read_heads(listed.where("length > 0"))
     is_csv, is_json = F.col("format") == "csv", F.col("format").isin("json", "ndjson", "jsonl")
     return (
-        listed.join(heads, "path", "left")
+        read_heads(listed)
         .withColumn("encoding", F.when(is_csv, ff.detect_encoding(F.col("head"))))
         .withColumn(
             "text",

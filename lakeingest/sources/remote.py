@@ -81,42 +81,52 @@ def list_tree(roots: DataFrame) -> DataFrame:
     return level.repartition("path").mapInPandas(below, "path string, uri string, length bigint")
 
 
-def read_heads(files: DataFrame) -> DataFrame:
-    """First 100 KB of every file: ``(path, head, read_error)``.
+def _with_columns(files: DataFrame, schema: str, add) -> DataFrame:
+    """Append task-side columns to a listing; ``add(path)`` gives their values for one file.
 
-    Only the head is fetched, so the cost follows the number of files and not their size. Files
-    keep the partitioning of the listing, which packs small files and isolates large ones.
+    The listing's partitioning is kept, and its other columns travel along instead of being joined
+    back.
     """
 
-    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path in batch["path"]:
-                head, error = None, None
-                try:
-                    with open_input(path) as f:
-                        head = f.read(HEAD_BYTES)
-                except Exception as e:  # reported per file, never fails the batch
-                    error = str(e)
-                yield pd.DataFrame({"path": [path], "head": [head], "read_error": [error]})
+            for i in range(len(batch)):
+                row = batch.iloc[i:i + 1].reset_index(drop=True)
+                for name, value in add(row["path"][0]).items():
+                    row[name] = [value]
+                yield row
 
-    return files.select("path").mapInPandas(heads, "path string, head binary, read_error string")
+    before = ", ".join(f"{n} {t}" for n, t in files.dtypes)
+    return files.mapInPandas(run, f"{before}, {schema}")
 
 
-def hash_files(files: DataFrame) -> DataFrame:
-    """SHA-256 of every file, read in blocks: ``(path, hash_sha256)``; constant memory per task."""
+def read_heads(files: DataFrame) -> DataFrame:
+    """Add the first 100 KB of every file as ``head``, or ``read_error``.
 
-    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            digests = []
-            for path in batch["path"]:
-                try:
-                    h = hashlib.sha256()
-                    with open_input(path) as f:
-                        while block := f.read(BLOCK):
-                            h.update(block)
-                    digests.append(h.hexdigest())
-                except Exception:
-                    digests.append("indisponivel")
-            yield pd.DataFrame({"path": batch["path"], "hash_sha256": digests})
-
-    return files.select("path").mapInPandas(hashes, "path string, hash_sha256 string")
+    Only the head is fetched, so the cost follows the number of files and not their size.
+    """
+
+    def head(path: str) -> dict:
+        try:
+            with open_input(path) as f:
+                return {"head": f.read(HEAD_BYTES), "read_error": None}
+        except Exception as e:  # reported per file, never fails the batch
+            return {"head": None, "read_error": str(e)}
+
+    return _with_columns(files, "head binary, read_error string", head)
+
+
+def hash_files(files: DataFrame) -> DataFrame:
+    """Add the SHA-256 of every file, read in blocks: constant memory per task."""
+
+    def digest(path: str) -> dict:
+        try:
+            h = hashlib.sha256()
+            with open_input(path) as f:
+                while block := f.read(BLOCK):
+                    h.update(block)
+            return {"hash_sha256": h.hexdigest()}
+        except Exception:
+            return {"hash_sha256": "indisponivel"}
+
+    return _with_columns(files, "hash_sha256 string", digest)
