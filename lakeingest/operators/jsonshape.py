@@ -70,7 +70,7 @@ def record_texts(text: Column, value: Column) -> Column:
         )
 
     lists = F.filter(members, lambda e: e.value.startswith("[") & is_record_list(e.key))
-    first = F.element_at(F.transform(F.slice(lists, 1, 1), lambda e: F.from_json(e.value, F.lit("array<string>"))), 1)
+    first = F.from_json(F.get(lists, F.lit(0))["value"], F.lit("array<string>"))
     inside = F.when(F.size(lists) > 0, first).otherwise(F.array(text))
     return (
         F.when(text.startswith("["), _items(text, value))

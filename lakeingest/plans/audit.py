@@ -153,7 +153,7 @@ def write_reports(audit: DataFrame, folder: str) -> DataFrame:
     """
     parts = audit.select(
         F.coalesce(
-            F.regexp_extract(F.element_at("caminho_parquet_gerado", 1), r"lake_source=(.*)\.parquet$", 1),
+            F.regexp_extract(F.get("caminho_parquet_gerado", F.lit(0)), r"lake_source=(.*)\.parquet$", 1),
             base_name(F.col("nome_original")),
         ).alias("dataset"),
         base_name(F.col("nome_original")).alias("base"),
