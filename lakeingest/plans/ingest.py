@@ -116,11 +116,15 @@ def ingest(
         usable = usable.where(F.col("path") < min(wrong))
         files = [f for f in files if f.path < min(wrong)]
     files = [f for f in files if not f.bad]
-    bases = Counter(re.sub(r"(?<=.)\.[^.]*$", "", f.path.rsplit("/", 1)[-1]) for f in files)
+    bases = Counter(_base(f.path) for f in files)
     colliding = [b for b, n in bases.items() if n > 1]
     if len(colliding) > MAX_LISTED_COLLISIONS:
         colliding = None
 
+    # With "overwrite" the last path of a base name is the one whose data stays.
+    last = {_base(p): p for p in sorted(f.path for f in files)} if opts.collision == "overwrite" else {}
+    replaced = [(f.path, last[_base(f.path)]) for f in files if last and last[_base(f.path)] != f.path]
+
     outcomes = []
     by_layout: dict[str, list[str]] = {}
     for f in files:
@@ -154,10 +158,16 @@ def ingest(
     for o in outcomes:
         o.folder = o.folder if o.folder and has_data(inner, o.folder) else None
 
-    audit = _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started)
+    audit = _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started, replaced)
+    for o in outcomes:  # the stop and collision rules may have emptied a layout
+        o.folder = o.folder if o.folder and has_data(inner, o.folder) else None
     return IngestResult(spark, outcomes, *audit)
 
 
+def _base(path: str) -> str:
+    return re.sub(r"(?<=.)\.[^.]*$", "", path.rsplit("/", 1)[-1])
+
+
 def _read_layout(inner, layout: Layout, route: str, opts, data, work, colliding) -> list[Outcome]:
     """Read one layout; when it fails as a whole, halve it until the bad file stands alone."""
     try:
@@ -186,7 +196,7 @@ def _all_failed(inner, layout: str, paths: list[str], error: Exception) -> Outco
     return Outcome(layout, failed=failed)
 
 
-def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started):
+def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started, replaced):
     """Write quarantine and audit; apply the stop policy. Returns their folders."""
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
     none = lambda schema: inner.createDataFrame([], schema)
@@ -284,18 +294,29 @@ def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, star
         )
     )
     folder = f"{out}/auditoria/lote={run}"
-    if opts.continue_on_error:
+    if opts.continue_on_error and not replaced:
         rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(folder)
         return folder, quarantine
 
-    # Stop policy: what lies behind the first failing path was never to be converted.
-    rows.write.mode("overwrite").parquet(f"{work}/audit")
+    rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(f"{work}/audit")
     rows = inner.read.parquet(f"{work}/audit")
-    stop = rows.where("status = 'erro'").agg(F.min("caminho_original")).first()[0]
-    if stop is not None:
-        beyond = rows.where(F.col("caminho_original") > stop)
-        for row in beyond.select(F.explode("caminho_parquet_gerado").alias("at")).toLocalIterator():
-            remove_tree(inner, row["at"])
-        rows = rows.where(F.col("caminho_original") <= stop)
+    if replaced:
+        pairs = inner.createDataFrame(replaced, "caminho_original string, vencedor string")
+        _remove_datasets(inner, rows.join(pairs, "caminho_original", "left_semi"))
+        winners = rows.select(F.col("caminho_original").alias("vencedor"), F.col("caminho_parquet_gerado").alias("fica"))
+        rows = rows.join(pairs, "caminho_original", "left").join(winners, "vencedor", "left").withColumn(
+            "caminho_parquet_gerado", F.coalesce("fica", "caminho_parquet_gerado")
+        )
+    if not opts.continue_on_error:
+        # Stop policy: what lies behind the first failing path was never to be converted.
+        stop = rows.where("status = 'erro'").agg(F.min("caminho_original")).first()[0]
+        if stop is not None:
+            _remove_datasets(inner, rows.where(F.col("caminho_original") > stop))
+            rows = rows.where(F.col("caminho_original") <= stop)
     rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(folder)
     return folder, quarantine
+
+
+def _remove_datasets(inner, rows: DataFrame) -> None:
+    for row in rows.select(F.explode("caminho_parquet_gerado").alias("at")).toLocalIterator():
+        remove_tree(inner, row["at"])

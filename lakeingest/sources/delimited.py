@@ -208,7 +208,9 @@ def ingest_delimited(
     ]
     folder = f"{out}/layout={layout.id}"
 
-    if not opts.per_file_schema and not opts.strict_sample and "\n" not in layout.header:
+    # An open quote at the end of a sampled line already shows that records span lines.
+    spans = any(line.count('"') % 2 for line in layout.sample.split("\n"))
+    if not (opts.per_file_schema or opts.strict_sample or spans):
         types = sample_types(layout, typed)
         parsed = parse(decoded_lines(spark, layout).where(F.col("rec").rlike(r"\S")), width, layout.sep)
         is_header = F.col("rec") == layout.header
