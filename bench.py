@@ -79,8 +79,8 @@ def small_files(spark, sf_dir, folder):
         F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")))
     c = blocks(customer.withColumn("value", value), "c_custkey", 20)
     turn = F.col("bloco") % 4
-    head = F.when(turn == 3, "").otherwise(F.concat_ws(
-        F.when(turn == 0, ",").when(turn == 1, ";").otherwise("|"), F.lit("chave"), F.lit("nome"), F.lit("saldo\n")))
+    sep = F.when(turn == 0, ",").when(turn == 1, ";").otherwise("|")
+    head = F.when(turn == 3, "").otherwise(F.concat(F.lit("chave"), sep, F.lit("nome"), sep, F.lit("saldo\n")))
     write_files(c.select(
         F.concat(F.format_string("c%06d", "bloco"), F.when(turn == 3, ".jsonl").otherwise(".csv")).alias("name"),
         F.concat(head, "body").alias("content")), f"{folder}/pequenos")

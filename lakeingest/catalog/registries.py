@@ -101,7 +101,7 @@ def registry_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("tipo") == rg.SUBSCRIPTION, F.concat(F.lit("HW-"), F.col("o_custkey").cast("string")))
         .otherwise("HW-1").alias("hardware_id"),
     )
-    checked = rg.audit_validity(registry, activations, F.to_date(F.lit("1998-06-30")))
+    checked = rg.audit_validity(spark, registry, activations, F.to_date(F.lit("1998-06-30")))
     return checked.select("transaction_id", "validity")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakeingest.operators.skew import HOT_ROWS, join_skewed
 from lakeingest.session import qualified, work_folder
 
 # Event names and registry words of the contract.
@@ -26,9 +27,6 @@ REGISTRY = (
     "id bigint, email string, hardware_id string, emitida_em string, expira_em string, tipo string, "
     "sha256_licenca string, status string, transaction_id string"
 )
-HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 100_000
-SALTS = 4096
 
 
 def filled(c: Column) -> Column:
@@ -70,27 +68,12 @@ def event_outcomes(
     broadcast and then travel under random keys, so the join's shuffle stays even.
     """
     work = work or work_folder(spark, "registry")
-    per_tx = events.where("transaction_id is not null").groupBy("transaction_id").agg(
+    events.where("transaction_id is not null").groupBy("transaction_id").agg(
         F.min(F.when(is_approval(), F.col(seq))).alias("first_seq"), F.count(F.lit(1)).alias("n")
-    )
-    per_tx.write.mode("overwrite").parquet(f"{work}/first")
+    ).write.mode("overwrite").parquet(f"{work}/first")
     per_tx = spark.read.parquet(f"{work}/first")
-    # The broadcast is bounded: raise the bar until few enough transactions are hot.
-    while per_tx.where(F.col("n") >= hot_rows).limit(MAX_HOT_KEYS + 1).count() > MAX_HOT_KEYS:
-        hot_rows *= 10
-    hot = per_tx.where(F.col("n") >= hot_rows).select(
-        F.col("transaction_id").alias("hot_tx"), F.col("first_seq").alias("hot_seq")
-    )
-    cold = per_tx.where(F.col("n") < hot_rows).select(
-        F.col("transaction_id").alias("cold_tx"), F.col("first_seq").alias("cold_seq")
-    )
-    spread = F.concat(F.lit("\x00"), F.pmod(F.xxhash64(seq), F.lit(SALTS)).cast("string"))
-    alone = F.col("hot_tx").isNotNull() | F.col("transaction_id").isNull()
-    found = (
-        events.join(F.broadcast(hot), F.col("transaction_id") == F.col("hot_tx"), "left")
-        .withColumn("join_tx", F.when(alone, spread).otherwise(F.col("transaction_id")))
-        .join(cold, F.col("join_tx") == F.col("cold_tx"), "left")
-        .withColumn("first_seq", F.coalesce("hot_seq", "cold_seq"))
+    found = join_skewed(
+        spark, events, per_tx.select("transaction_id", "first_seq"), per_tx, "transaction_id", seq, hot_rows
     )
     earlier = F.coalesce(F.col("first_seq") < F.col(seq), F.lit(False))
     event = F.coalesce("event", F.lit("None"))
@@ -103,9 +86,7 @@ def event_outcomes(
         .when(event.isin(*REVOKING), "transaction_not_found")
         .otherwise(F.concat(F.lit("unhandled_event_"), event))
     )
-    return found.withColumn("outcome", outcome).drop(
-        "hot_tx", "hot_seq", "cold_tx", "cold_seq", "join_tx", "first_seq"
-    )
+    return found.withColumn("outcome", outcome).drop("first_seq")
 
 
 def fold_aggregates(seq: str = "seq") -> list[Column]:
@@ -190,9 +171,23 @@ def validity(expira_em: Column, bound_to: Column, hardware_id: Column, as_of: Co
     )
 
 
-def audit_validity(registry: DataFrame, activations: DataFrame, as_of: Column) -> DataFrame:
-    """Validity of every activation against its registry entry (joined on ``transaction_id``)."""
-    entries = registry.select("transaction_id", "expira_em", F.col("hardware_id").alias("bound_to"))
-    return activations.join(entries, "transaction_id").withColumn(
-        "validity", validity(F.col("expira_em"), F.col("bound_to"), F.col("hardware_id"), as_of)
+def audit_validity(
+    spark: SparkSession, registry: DataFrame, activations: DataFrame, as_of: Column,
+    hot_rows: int = HOT_ROWS, work: str | None = None,
+) -> DataFrame:
+    """Validity of every activation of a registered transaction (joined on ``transaction_id``).
+
+    One licence may account for most activations, so the join treats frequent keys apart.
+    """
+    work = work or work_folder(spark, "validity")
+    activations.where("transaction_id is not null").groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("n")
+    ).write.mode("overwrite").parquet(f"{work}/counts")
+    counts = spark.read.parquet(f"{work}/counts")
+    entries = registry.select(
+        "transaction_id", "expira_em", F.col("hardware_id").alias("bound_to"), F.lit(True).alias("registered")
     )
+    joined = join_skewed(spark, activations, entries, counts, "transaction_id", "hardware_id", hot_rows)
+    return joined.where("registered").withColumn(
+        "validity", validity(F.col("expira_em"), F.col("bound_to"), F.col("hardware_id"), as_of)
+    ).drop("registered")

@@ -21,7 +21,7 @@ from lakeingest.operators.framing import (
 from lakeingest.operators.jsonshape import strict_variant
 from lakeingest.options import IngestOptions
 from lakeingest.plans.audit import AUDIT_FIELDS, first_invalid, status_of
-from lakeingest.session import has_data, isolated, qualified, remove_tree, work_folder
+from lakeingest.session import has_data, isolated, qualified, remove_tree, spread, work_folder
 from lakeingest.sources.delimited import ingest_delimited
 from lakeingest.sources.listing import list_sources, sniff
 from lakeingest.sources.records import ingest_json
@@ -248,7 +248,7 @@ def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, star
         "tipos_inferidos map<string,string>, mapa_normalizacao map<string,string>",
     )
     base = sources.select("path", "uri", "length", "format", "encoding", "sep", "layout_id", "erro")
-    base = hash_files(base) if opts.hash_sources else base.withColumn("hash_sha256", F.lit(""))
+    base = hash_files(spread(base, "path")) if opts.hash_sources else base.withColumn("hash_sha256", F.lit(""))
     if failed:
         base = base.join(union(failed).groupBy("uri").agg(F.min("erro").alias("late")), "uri", "left")
     else:

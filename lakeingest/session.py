@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def isolated(spark: SparkSession) -> SparkSession:
@@ -40,6 +40,14 @@ def work_folder(spark: SparkSession, label: str) -> str:
     return f"{shared.rstrip('/')}/lakeingest/{label}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Distribute rows that each stand for a lot of work, such as files to open.
+
+    The number is explicit because adaptive execution would merge such small rows into one task.
+    """
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def literal_path(path: str) -> str:
     """Escape glob characters, so that ``notas [1].csv`` names one file."""
     return re.sub(r"([{}\[\]*?\\])", r"\\\1", path)

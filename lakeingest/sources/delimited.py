@@ -132,39 +132,43 @@ def exact_records(spark: SparkSession, layout: Layout, work: str):
     work folder. Only lines of multi-line records are then grouped, by record.
     """
     lines = decoded_lines(spark, layout).withColumn("odd", odd_quotes(F.col("rec")))
+    of_file = Window.partitionBy("uri")
+    before = of_file.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    first_text = F.min(F.when(F.col("rec").rlike(r"\S"), F.col("seq"))).alias("first_text")
     blocks = block_table(
-        lines, (F.sum("odd") % 2).alias("odd_block"), F.bool_or("bad").alias("bad_block")
+        lines, (F.sum("odd") % 2).alias("odd_block"), F.bool_or("bad").alias("bad_block"), first_text
     )
-    before = Window.partitionBy("uri").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("open_before", F.coalesce(F.sum("odd_block").over(before), F.lit(0)) % 2)
+    # Facts of a file are settled among its splits, so that no line has to be joined by file.
+    blocks.select(
+        "uri", "block", "first_seq", "before",
+        (F.coalesce(F.sum("odd_block").over(before), F.lit(0)) % 2).alias("open_before"),
+        (F.sum("odd_block").over(of_file) % 2 == 1).alias("unclosed"),
+        F.bool_or("bad_block").over(of_file).alias("bad_file"),
+        F.min(F.col("before") + F.col("first_text") - F.col("first_seq") + 1).over(of_file).alias("header_line"),
+    ).write.mode("overwrite").parquet(f"{work}/splits-{layout.id}")
+    blocks = spark.read.parquet(f"{work}/splits-{layout.id}")
+    failed = blocks.where("unclosed or bad_file").groupBy("uri").agg(
+        F.when(F.bool_or("unclosed"), UNCLOSED).otherwise(BAD_UTF8).alias("erro")
+    )
+
     in_block = Window.partitionBy("uri", "block").orderBy("seq")
     prior = F.coalesce(F.sum("odd").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    numbered = (
+    number = F.when(
+        F.col("before").isNotNull(), F.col("before") + F.col("seq") - F.col("first_seq") + 1
+    ).otherwise(F.raise_error(F.lit("source splits changed between scans")).cast("bigint"))
+    folder = f"{work}/lines-{layout.id}"
+    (
         lines.join(blocks, ["uri", "block"], "left")
-        .withColumn(
-            "line_number",
-            F.when(F.col("before").isNotNull(), F.col("before") + F.col("seq") - F.col("first_seq") + 1)
-            .otherwise(F.raise_error(F.lit("source splits changed between scans")).cast("bigint")),
-        )
+        .withColumn("line_number", number)
+        .where("not (unclosed or bad_file)")
         .withColumn("starts", (F.col("open_before") + prior) % 2 == 0)
-        .select("uri", "block", "line_number", "rec", "odd", "bad", "starts")
+        .select("uri", "block", "line_number", "rec", "odd", "starts", "header_line")
+        .write.mode("overwrite").parquet(folder)
     )
-    folder = f"{work}/lines-{layout.id}"
-    numbered.write.mode("overwrite").parquet(folder)
     lines = spark.read.parquet(folder)
 
-    files = lines.groupBy("uri").agg(
-        (F.sum("odd") % 2 == 1).alias("unclosed"),
-        F.bool_or("bad").alias("bad"),
-        F.min(F.when(F.col("starts") & F.col("rec").rlike(r"\S"), F.col("line_number"))).alias("header_line"),
-    )
-    failed = files.where("unclosed or bad").select(
-        "uri", F.when(F.col("unclosed"), UNCLOSED).otherwise(BAD_UTF8).alias("erro")
-    )
-    files = files.where("not (unclosed or bad)").select("uri", "header_line")
-
     whole = F.col("starts") & (F.col("odd") == 0)
-    single = lines.where(whole).select("uri", "line_number", "rec")
+    single = lines.where(whole).select("uri", "line_number", "header_line", "rec")
     # The record a line belongs to: the last start in its split, else the one open when it began.
     last_start = lines.groupBy("uri", "block").agg(
         F.max(F.when(F.col("starts"), F.col("line_number"))).alias("last_start")
@@ -179,20 +183,18 @@ def exact_records(spark: SparkSession, layout: Layout, work: str):
         lines.where(~whole)
         .withColumn("here", here)
         .join(carried, ["uri", "block"], "left")
-        .join(files, "uri", "left_semi")
         .withColumn("record", F.coalesce("here", "carried"))
     )
     joined = pieces.groupBy("uri", F.col("record").alias("line_number")).agg(
+        F.first("header_line").alias("header_line"),
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("line_number", "rec"))), lambda p: p.rec), "\n"
-        ).alias("rec")
+        ).alias("rec"),
     )
     records = (
         single.unionByName(joined)
-        .join(files, "uri")
         .where(F.col("rec").rlike(r"\S") & (F.col("line_number") != F.col("header_line")))
-        .withColumn("row_position", F.col("line_number") - F.col("header_line"))
-        .select("rec", "uri", "line_number", "row_position")
+        .select("rec", "uri", "line_number", (F.col("line_number") - F.col("header_line")).alias("row_position"))
     )
     return records, failed
 

@@ -12,6 +12,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
 from lakeingest.functions.files import HEAD_BYTES
+from lakeingest.session import spread
 
 BLOCK = 1 << 20
 
@@ -51,34 +52,39 @@ def list_tree(roots: DataFrame) -> DataFrame:
     parallel. Unlike Spark's own listing this keeps empty files, which have to be reported.
     """
 
-    def entries(path: str, recursive: bool) -> list[tuple]:
+    def entries(path: str) -> list[tuple]:
         fs, name = resolve(path)
         info = fs.get_file_info(name)
         if info.type != pafs.FileType.Directory:
             return [(path, info.type == pafs.FileType.File, info.size or 0)]
-        base = name.rstrip("/")
         return [
-            (path.rstrip("/") + i.path[len(base):], i.type == pafs.FileType.File, i.size or 0)
-            for i in fs.get_file_info(pafs.FileSelector(name, recursive=recursive))
-            if not (recursive and i.type == pafs.FileType.Directory)
+            (f"{path.rstrip('/')}/{i.base_name}", i.type == pafs.FileType.File, i.size or 0)
+            for i in fs.get_file_info(pafs.FileSelector(name))
         ]
 
     def first_level(batches):
         for batch in batches:
             for path in batch["path"]:
-                yield pd.DataFrame(entries(path, False), columns=["path", "is_file", "length"])
+                yield pd.DataFrame(entries(path), columns=["path", "is_file", "length"])
 
     def below(batches):
         for batch in batches:
-            found = batch[batch["is_file"]].values.tolist()
-            for path in batch[~batch["is_file"]]["path"]:
-                found.extend(entries(path, True))
-            out = pd.DataFrame(found, columns=["path", "is_file", "length"])
-            out["uri"] = [scan_uri(p) for p in out["path"]]
-            yield out[["path", "uri", "length"]]
+            waiting = []
+            level = batch
+            while level is not None:
+                files = level[level["is_file"].astype(bool)]
+                if len(files):
+                    paths = files["path"].tolist()
+                    yield pd.DataFrame({
+                        "path": paths, "uri": [scan_uri(p) for p in paths], "length": files["length"].tolist(),
+                    })
+                waiting += level[~level["is_file"].astype(bool)]["path"].tolist()
+                level = pd.DataFrame(
+                    entries(waiting.pop()), columns=["path", "is_file", "length"]
+                ) if waiting else None
 
     level = roots.mapInPandas(first_level, "path string, is_file boolean, length bigint")
-    return level.repartition("path").mapInPandas(below, "path string, uri string, length bigint")
+    return spread(level, "path").mapInPandas(below, "path string, uri string, length bigint")
 
 
 def _with_columns(files: DataFrame, schema: str, add) -> DataFrame:

@@ -20,6 +20,7 @@ from lakeingest.functions import names as nm
 from lakeingest.functions.values import id_text
 from lakeingest.operators.framing import Outcome, finish_columns, write_layout
 from lakeingest.options import IngestOptions
+from lakeingest.session import spread
 from lakeingest.sources.remote import open_input
 
 NO_DATA = "a planilha não contém dados válidos"
@@ -202,11 +203,11 @@ def ingest_workbooks(
 
     Returns the outcomes and the processed sheets ``(uri, sheet_index, sheet, dataset, header)``.
     """
-    listed = list_sheets(files)
+    listed = list_sheets(spread(files, "path"))
     wanted = listed if opts.all_sheets else listed.where("sheet_index <= 0")
     wanted.write.mode("overwrite").parquet(f"{work}/sheets")
     wanted = spark.read.parquet(f"{work}/sheets")
-    good = wanted.where("erro is null").drop("erro").repartition("path", "sheet_index")
+    good = spread(wanted.where("erro is null").drop("erro"), "path", "sheet_index")
     read_sheets(good).write.mode("overwrite").parquet(f"{work}/cells")
     cells = spark.read.parquet(f"{work}/cells")
 
