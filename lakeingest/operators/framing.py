@@ -78,11 +78,14 @@ def finish_columns(df: DataFrame, original: Sequence[str], opts: IngestOptions):
     Returns the frame with its final names and the final names. Coordinates are matched on final
     names, identifier columns were already fixed on the original ones.
     """
-    final = nm.normalize_names(original)[0] if opts.normalize else list(original)
+    if opts.normalize:
+        final = nm.normalize_names(original)[0]
+    else:
+        final = list(original) if all(original) else nm.unique_names([n or nm.UNNAMED for n in original])
     fields = df.schema.fields[: len(original)]
     cols = []
     for f, name in zip(fields, final):
-        c = F.col(f"`{f.name}`")
+        c = F.col(f.name)
         if opts.casts_coordinates and isinstance(f.dataType, T.StringType) and nm.is_coordinate(name):
             c = coordinate_value(c)
         cols.append(c.alias(name))
@@ -102,7 +105,7 @@ def write_layout(df: DataFrame, folder: str, opts: IngestOptions, colliding) ->
     lets a task keep several writers open instead of sorting its rows by source.
     """
     types = {f.name: type_label(f.dataType) for f in df.schema.fields if f.name != "uri"}
-    out = df.select(*[F.col(f"`{c}`") for c in types], source_name(F.col("uri"), colliding).alias("lake_source"))
+    out = df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in types], source_name(F.col("uri"), colliding).alias("lake_source"))
     if "lake_source" in types:
         raise ValueError("a coluna lake_source é reservada ao nome da fonte")
     write_parquet(out, folder, opts.compression, ["lake_source"])

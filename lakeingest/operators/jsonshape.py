@@ -34,6 +34,11 @@ def strict_variant(text: Column) -> Column:
     return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
 
 
+def lenient_variant(text: Column) -> Column:
+    """VARIANT of text already known to be one JSON value."""
+    return F.try_parse_json(_standard(text))
+
+
 def is_object(text: Column) -> Column:
     return text.startswith("{")
 
@@ -115,7 +120,8 @@ def guess_shape(values: Sequence[dict]) -> tuple[T.StructType, dict[tuple, tuple
 
     for seq, record in enumerate(values):
         visit(record, seq, (), ())
-    return _shape_of(list(values)), order, all(first[1] == 0 for first in order.values())
+    shape = _shape_of(list(values)) if values else T.StructType([])
+    return shape, order, all(first[1] == 0 for first in order.values())
 
 
 def _shape_of(values: list) -> T.DataType:

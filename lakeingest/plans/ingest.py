@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeingest.functions.files import HEAD_BYTES
+from lakeingest.functions.files import HEAD_BYTES, decode_head
 from lakeingest.functions.names import trim_all
 from lakeingest.operators.framing import (
     MAX_LISTED_COLLISIONS, Layout, Outcome, plain_uri, source_name,
@@ -25,7 +25,7 @@ from lakeingest.session import has_data, isolated, qualified, remove_tree, sprea
 from lakeingest.sources.delimited import ingest_delimited
 from lakeingest.sources.listing import list_sources, sniff
 from lakeingest.sources.records import ingest_json
-from lakeingest.sources.remote import hash_files
+from lakeingest.sources.remote import hash_files, read_heads
 from lakeingest.sources.workbooks import ingest_workbooks
 
 CONCURRENT_LAYOUTS = 8
@@ -103,11 +103,12 @@ def ingest(
     started = time.time()
     opts, inner, work = opts.resolve(), isolated(spark), work_folder(spark, "run")
     data = f"{out}/dados/lote={run}"
+    remove_tree(inner, data)  # a run replaces what the same run wrote before
 
     _route(sniff(list_sources(inner, roots))).withColumn(
         "layout_id",
         F.substr(F.sha2(F.concat_ws("\u001e", "route", "encoding", "sep", "layout"), 256), F.lit(1), F.lit(12)),
-    ).drop("head").write.mode("overwrite").parquet(f"{work}/sources")
+    ).drop("head", "text", "read_error").write.mode("overwrite").parquet(f"{work}/sources")
     sources = inner.read.parquet(f"{work}/sources")
     usable = sources.where("erro is null")
     # One small row per file: the paths every scan's file index holds on the driver in any case.
@@ -130,10 +131,15 @@ def ingest(
     for f in files:
         if f.format != "xlsx":
             by_layout.setdefault(f.layout_id, []).append(f.path)
+    # One file stands for its layout: only the heads of those are read again and kept.
     labels = usable.where("format != 'xlsx'").groupBy("layout_id").agg(
         *[F.first(c).alias(c) for c in ("format", "route", "encoding", "sep", "layout")],
-        F.min_by("text", "path").alias("text"), F.min_by("length", "path").alias("length"),
+        F.min("path").alias("path"), F.min_by("length", "path").alias("length"),
     )
+    labels = read_heads(labels).withColumn(
+        "text", F.when(F.col("format") == "csv", decode_head(F.col("head"), F.col("encoding"))).otherwise(
+            F.make_valid_utf8(F.col("head").cast("string")))
+    ).drop("head")
 
     def read(row) -> list[Outcome]:
         layout = Layout(

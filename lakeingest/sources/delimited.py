@@ -203,6 +203,8 @@ def ingest_delimited(
     spark: SparkSession, layout: Layout, opts: IngestOptions, out: str, work: str, colliding
 ) -> list[Outcome]:
     original = header_names(layout)
+    if not original:
+        raise ValueError("o arquivo CSV não tem cabeçalho")
     width = len(original)
     typed = [
         i for i, name in enumerate(original)

@@ -74,7 +74,7 @@ def records(units: DataFrame, as_lines: bool) -> DataFrame:
     )
     return (
         units.select(F.posexplode(texts).alias("item", "rec"), "uri", "block", "seq")
-        .withColumn("rv", F.try_parse_json(js._standard(F.col("rec"))))
+        .withColumn("rv", js.lenient_variant(F.col("rec")))
     )
 
 
@@ -93,24 +93,37 @@ def _units(spark, layout, as_lines, documents) -> DataFrame:
     return checked(source, as_lines)
 
 
-def _sample_records(layout: Layout, as_lines: bool) -> list[dict]:
+def _sample_records(layout: Layout, as_lines: bool, documents: bool) -> list[dict]:
     """Parsed records in the head of one file; empty when the head shows none for certain."""
     text = layout.sample.lstrip("﻿")
-    rows = text.splitlines()
-    rows = rows[:-1] if layout.truncated else rows
-    found = []
-    for row in filter(None, map(str.strip, rows)):
-        try:
-            value = json.loads(row)
-        except ValueError:
-            if as_lines:
+    try:
+        if documents:
+            return [] if layout.truncated else _document_records(json.loads(text))
+        rows = text.splitlines()
+        found = []
+        for row in filter(None, map(str.strip, rows[:-1] if layout.truncated else rows)):
+            try:
+                value = json.loads(row)
+            except ValueError:
+                if not as_lines:
+                    return []
                 continue
-            return []
-        if isinstance(value, dict):
-            found.append(value)
-        elif as_lines:
-            found.append({js.VALUE_KEY: value})
-    return found
+            if as_lines:
+                found.append(value if isinstance(value, dict) else {js.VALUE_KEY: value})
+            else:
+                found += _document_records(value)
+        return found
+    except (ValueError, RecursionError):
+        return []
+
+
+def _document_records(value) -> list[dict]:
+    """Records of a small parsed value, for the guess only."""
+    if isinstance(value, dict):
+        lists = (v for v in value.values() if isinstance(v, list) and v and all(isinstance(x, dict) for x in v))
+        return next(lists, [value])
+    items = value if isinstance(value, list) else [value]
+    return [x if isinstance(x, dict) else {js.VALUE_KEY: x} for x in items]
 
 
 _SCHEMA_AGG = "schema_of_variant_agg(rv)"
@@ -127,10 +140,10 @@ def ingest_json(
     units = _units(spark, layout, as_lines, documents)
     failed = invalid = None
 
-    sample = _sample_records(layout, as_lines) if not documents else []
-    if sample and not opts.per_file_schema:
-        guess, order, complete = js.guess_shape(sample)
-        plan = js.build_columns(guess, order, opts.flatten, opts.preserve_sensitive, opts.extra_sensitive)
+    sample = _sample_records(layout, as_lines, documents)
+    guess, order, complete = js.guess_shape(sample)
+    plan = js.build_columns(guess, order, opts.flatten, opts.preserve_sensitive, opts.extra_sensitive)
+    if plan[1] and not opts.per_file_schema:
         rows, watch = observed(
             records(units, as_lines),
             schema=F.expr(_SCHEMA_AGG), bad=F.count_if(F.col("rec").isNull()),
@@ -160,14 +173,20 @@ def ingest_json(
                 units = units.join(failed.select("uri"), "uri", "left_anti")
 
     rows = records(units, as_lines).where("rec is not null")
+    if not as_lines:
+        # Records cut out of documents are kept, so that the passes below share the work evenly
+        # however large single documents are.
+        folder_of_records = f"{work}/records-{layout.id}"
+        rows.select("rec", "uri", "seq", "item").write.mode("overwrite").parquet(folder_of_records)
+        rows = spark.read.parquet(folder_of_records).withColumn("rv", js.lenient_variant(F.col("rec")))
     if opts.per_file_schema:
         return _per_file(spark, rows, layout, opts, folder, work, colliding, failed, invalid)
     schema = js.parse_schema(rows.agg(F.expr(_SCHEMA_AGG)).first()[0])
-    if not schema.fields:
-        return [Outcome(layout.id, failed=failed, invalid=invalid)]
     plan = js.build_columns(
         schema, js.key_order(rows, schema), opts.flatten, opts.preserve_sensitive, opts.extra_sensitive
     )
+    if not plan[1]:
+        return [Outcome(layout.id, failed=failed, invalid=invalid)]
     outcome = _write(rows, plan, layout, opts, folder, colliding)
     outcome.failed, outcome.invalid = failed, invalid
     return [outcome]
@@ -194,12 +213,12 @@ def _per_file(spark, rows, layout, opts, folder, work, colliding, failed, invali
     outcomes = []
     for k, (described,) in enumerate(per_file.select("schema").distinct().collect()):
         schema = js.parse_schema(described)
-        if not schema.fields:
-            continue
         mine = rows.join(per_file.where(F.col("schema") == described).select("uri"), "uri", "left_semi")
         plan = js.build_columns(
             schema, js.key_order(mine, schema), opts.flatten, opts.preserve_sensitive, opts.extra_sensitive
         )
+        if not plan[1]:
+            continue
         outcome = _write(mine, plan, layout, opts, f"{folder}-{k}", colliding)
         outcome.layout = f"{layout.id}-{k}"
         outcomes.append(outcome)

@@ -147,3 +147,19 @@ def test_line_numbers_over_many_splits(spark, drop):
 def test_schema_text_with_odd_keys():
     t = js.parse_schema("OBJECT<`a b`: DECIMAL(3,1), c: OBJECT<>, d: ARRAY<VOID>, e: VARIANT>")
     assert t.simpleString() == "struct<a b:double,c:struct<>,d:array<string>,e:string>"
+
+
+def test_empty_objects_first_and_odd_keys(spark, drop):
+    drop("a.ndjson", '{}\n{}\n{"a.b":1,"c`d":{"e f":2},"":3}\n')
+    result = run(spark, drop, flatten=True)
+    by = {r.nome_original: r for r in result.audit.collect()}
+    assert by["a.ndjson"].status == "sucesso" and by["a.ndjson"].linhas_lidas == 3
+    assert by["a.ndjson"].colunas_originais == ["a.b", "c`d_e f", ""]
+    assert by["a.ndjson"].colunas_finais == ["a.b", "c`d_e f", "coluna_sem_nome"]
+
+
+def test_large_document_is_read_through_its_records(spark, drop):
+    items = [{"id": i, "v": {"w": "x" * 50}} for i in range(3000)] + [{"late": True, "id": 1.5}]
+    drop("d.json", json.dumps({"n": [1], "items": items}, indent=1))
+    table = run(spark, drop, flatten=True).table()
+    assert table.dtypes == [("id", "double"), ("v_w", "string"), ("late", "boolean")] and table.count() == 3001
