@@ -21,17 +21,29 @@ def _standard(text: Column) -> Column:
     return F.when(text.rlike("NaN|Infinity"), F.regexp_replace(text, words, "0.5")).otherwise(text)
 
 
+def _guarded(text: Column) -> Column:
+    return F.try_parse_json(F.concat(F.lit("["), _standard(text), F.lit(f',"{_GUARD}"]')))
+
+
+def _alone(pair: Column) -> Column:
+    whole = (F.try_variant_get(pair, "$[1]", "string") == "\x01lakeingest") & (
+        F.try_variant_get(pair, "$[2]", "variant").isNull()
+    )
+    return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
+
+
 def strict_variant(text: Column) -> Column:
     """VARIANT of exactly one JSON value, else null.
 
     The JVM parser ignores what follows a value. Inside a two-element array with a guard at the
     end, leftovers either break the array or change its length.
     """
-    pair = F.try_parse_json(F.concat(F.lit("["), _standard(text), F.lit(f',"{_GUARD}"]')))
-    alone = (F.try_variant_get(pair, "$[1]", "string") == "\x01lakeingest") & (
-        F.try_variant_get(pair, "$[2]", "variant").isNull()
-    )
-    return F.when(alone, F.try_variant_get(pair, "$[0]", "variant"))
+    return _alone(_guarded(text))
+
+
+def with_strict_variant(df: DataFrame, text: Column, out: str) -> DataFrame:
+    """Add :func:`strict_variant` in two steps, so that every text is parsed once."""
+    return df.withColumn("_pair", _guarded(text)).withColumn(out, _alone(F.col("_pair"))).drop("_pair")
 
 
 def lenient_variant(text: Column) -> Column:

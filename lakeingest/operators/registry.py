@@ -68,7 +68,7 @@ def event_outcomes(
     broadcast and then travel under random keys, so the join's shuffle stays even.
     """
     work = work or work_folder(spark, "registry")
-    events.where("transaction_id is not null").groupBy("transaction_id").agg(
+    events.groupBy("transaction_id").agg(
         F.min(F.when(is_approval(), F.col(seq))).alias("first_seq"), F.count(F.lit(1)).alias("n")
     ).write.mode("overwrite").parquet(f"{work}/first")
     per_tx = spark.read.parquet(f"{work}/first")
@@ -108,9 +108,12 @@ def registry_rows(folded: DataFrame) -> DataFrame:
 
 
 def fold_registry(events: DataFrame, seq: str = "seq") -> DataFrame:
-    """Current registry from all events."""
-    known = events.where("transaction_id is not null")
-    return registry_rows(known.groupBy("transaction_id").agg(*fold_aggregates(seq)))
+    """Current registry from all events.
+
+    Events without a transaction fold into one entry that is never approved, which drops it; a
+    filter on the extracted key would be pushed below the extraction and repeat it.
+    """
+    return registry_rows(events.groupBy("transaction_id").agg(*fold_aggregates(seq)))
 
 
 def lookup(registry: DataFrame, keys: DataFrame) -> DataFrame:

@@ -55,10 +55,10 @@ def json_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
 def checked(units: DataFrame, as_lines: bool) -> DataFrame:
     """Add ``v``, the VARIANT of a valid unit. A wrapped scalar must also be valid on its own."""
     if not as_lines:
-        return units.withColumn("v", js.strict_variant(F.col("unit")))
-    rec = js.wrapped(F.col("unit"))
+        return js.with_strict_variant(units, F.col("unit"), "v")
+    units = js.with_strict_variant(units, js.wrapped(F.col("unit")), "v")
     alone = js.is_object(F.col("unit")) | js.strict_variant(F.col("unit")).isNotNull()
-    return units.withColumn("v", F.when(alone, js.strict_variant(rec)))
+    return units.withColumn("v", F.when(alone, F.col("v")))
 
 
 def records(units: DataFrame, as_lines: bool) -> DataFrame:
@@ -148,7 +148,7 @@ def ingest_json(
             records(units, as_lines),
             schema=F.expr(_SCHEMA_AGG), bad=F.count_if(F.col("rec").isNull()),
         )
-        outcome = _write(rows.where("rec is not null"), plan, layout, opts, folder, colliding)
+        outcome = _write(rows, plan, layout, opts, folder, colliding)
         seen = watch.get
         same = js.parse_schema(seen["schema"]) == guess
         # Key order is settled when one record already shows every key, else by all records.
@@ -172,12 +172,12 @@ def ingest_json(
                 failed = _failed(spark, layout, units, as_lines, work)
                 units = units.join(failed.select("uri"), "uri", "left_anti")
 
-    rows = records(units, as_lines).where("rec is not null")
+    rows = records(units, as_lines)
     if not as_lines:
         # Records cut out of documents are kept, so that the passes below share the work evenly
         # however large single documents are.
         folder_of_records = f"{work}/records-{layout.id}"
-        rows.select("rec", "uri", "seq", "item").write.mode("overwrite").parquet(folder_of_records)
+        rows.where("rec is not null").select("rec", "uri", "seq", "item").write.mode("overwrite").parquet(folder_of_records)
         rows = spark.read.parquet(folder_of_records).withColumn("rv", js.lenient_variant(F.col("rec")))
     if opts.per_file_schema:
         return _per_file(spark, rows, layout, opts, folder, work, colliding, failed, invalid)
@@ -208,6 +208,7 @@ def _failed(spark, layout, units, as_lines, work) -> DataFrame:
 def _per_file(spark, rows, layout, opts, folder, work, colliding, failed, invalid) -> list[Outcome]:
     """Group the files of a layout by their own schema and write each group."""
     schemas = f"{work}/schemas-{layout.id}"
+    rows = rows.where("rec is not null")
     rows.groupBy("uri").agg(F.expr(_SCHEMA_AGG).alias("schema")).write.mode("overwrite").parquet(schemas)
     per_file = spark.read.parquet(schemas)
     outcomes = []
@@ -230,11 +231,13 @@ def _per_file(spark, rows, layout, opts, folder, work, colliding, failed, invali
 def _write(rows: DataFrame, plan, layout: Layout, opts: IngestOptions, folder: str, colliding) -> Outcome:
     schema, columns = plan
     options = {"allowSingleQuotes": "false"}
+    # A metric keeps filters above it: pushed below, they would repeat the parsing they depend on.
+    rows, _ = observed(rows.select("rec", "uri"), n=F.count(F.lit(1)))
     parsed = rows.withColumn("r", F.from_json("rec", schema, options))
     values = [
         js.column_value(F.col("rec"), F.col("r"), paths).alias(f"c{i}") for i, (_, paths) in enumerate(columns)
     ]
     original = [name for name, _ in columns]
-    df, final = finish_columns(parsed.select(*values, "uri"), original, opts)
+    df, final = finish_columns(parsed.where("rec is not null").select(*values, "uri"), original, opts)
     labels = write_layout(df, folder, opts, colliding)
     return Outcome(layout.id, folder, original, final, labels)

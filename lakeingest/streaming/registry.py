@@ -16,7 +16,7 @@ def stream_registry(events: DataFrame, out: str, checkpoint: str, seq: str = "se
     address per transaction. A repeated batch overwrites its own folder.
     """
     folded = (
-        extract_events(events).where("transaction_id is not null")
+        extract_events(events)
         .groupBy("transaction_id").agg(*fold_aggregates(seq))
     )
 
