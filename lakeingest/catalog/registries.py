@@ -141,9 +141,9 @@ def registry_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_registry_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold as a stream over the same payloads, restarted between two deliveries."""
     folder = fresh(spark, "stream_registry")
-    rows = payloads(spark, sf_dir).select("seq", "payload")
-    for delivery, kinds in enumerate((F.col("seq") % 2 == 0, F.col("seq") % 2 == 1)):
-        rows.where(kinds).write.mode("append").parquet(f"{folder}/eventos")
+    rows = payloads(spark, sf_dir)
+    for delivery in (F.col("token") == TOKEN, F.col("token") != TOKEN):
+        rows.where(delivery).select("seq", "payload").write.mode("append").parquet(f"{folder}/eventos")
         source = spark.readStream.schema("seq bigint, payload string").parquet(f"{folder}/eventos")
         stream_registry(source, f"{folder}/registro", f"{folder}/controle").awaitTermination()
     return current_registry(spark, f"{folder}/registro")

@@ -114,9 +114,10 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit(CUSTOMER_HEADER + "\n"), "body").alias("content"), "bloco",
     )
     options = IngestOptions(normalize=True, continue_on_error=True, hash_sources=False)
-    for delivery in (0, 1, 2):
-        if delivery < 2:
-            write_files(files.where(F.col("bloco") % 2 == delivery), f"{folder}/entrada")
+    # The first block, then all others, then nothing new.
+    for delivery in (F.col("bloco") == 0, F.col("bloco") > 0, None):
+        if delivery is not None:
+            write_files(files.where(delivery), f"{folder}/entrada")
         stream_folder(spark, f"{folder}/entrada", f"{folder}/out", f"{folder}/controle", options).awaitTermination()
     return spark.read.option("basePath", f"{folder}/out/dados").parquet(f"{folder}/out/dados").drop(
         "lote", "layout", "lake_source"
