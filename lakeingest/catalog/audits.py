@@ -142,7 +142,7 @@ ORACLE = {
                   FROM s WHERE ndjson_total_invalidas > 10""",
     "fault_policy": f"""
         WITH {_BASE}, f AS (SELECT *, vez = 3 OR (vez = 2 AND ruins > 0) AS falha FROM s),
-        stop AS (SELECT coalesce(min(bloco) FILTER (falha), 1 << 40) AS fim FROM f)
+        stop AS (SELECT coalesce(min(bloco) FILTER (falha), 1000000000000) AS fim FROM f)
         SELECT nome_original, CASE WHEN falha THEN 'erro' ELSE 'sucesso' END AS status,
                CASE WHEN falha AND vez = 2 THEN CAST(primeira AS VARCHAR) WHEN falha THEN '' END AS linha,
                CASE WHEN NOT falha THEN n END AS escritas
