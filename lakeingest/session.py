@@ -36,6 +36,8 @@ def work_folder(spark: SparkSession, label: str) -> str:
         "spark.checkpoint.dir"
     )
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         shared = tempfile.mkdtemp(prefix="lakeingest-")
     return f"{shared.rstrip('/')}/lakeingest/{label}-{uuid.uuid4().hex[:12]}"
 
