@@ -63,3 +63,18 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
             yield fn(piece)
 
     return df.mapInArrow(run, schema)
+
+
+def frequent(counts: DataFrame, most: int) -> dict:
+    """The counts ``{word: c}`` of the most frequent words of ``(word, c)``: all from some count on, at most ``most``."""
+    level = F.floor(16 * F.log2("c")).cast("int")
+    sizes = {r["level"]: r["n"] for r in counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    least, held = None, 0
+    for k in sorted(sizes, reverse=True):  # some hundred levels at most
+        held += sizes[k]
+        if held > most:
+            break
+        least = k
+    if least is None:
+        return {}
+    return {w: c for w, c in counts.where(level >= least).select("word", "c").collect()}

@@ -19,7 +19,7 @@ from types import ModuleType
 import numpy as np
 
 #: Distinct words, and pieces of words, that a worker remembers (about 200 bytes each); others are encoded each time.
-MEMO = 500_000
+MEMO = 300_000
 #: The id that ends every document.
 END = 1
 
