@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeingest.llm import bitplane, hostwords, isoforest, labelprop, linewindows, loglinear, simhash, spacedseed, vecpack
+from lakeingest.llm import bitplane, hostwords, isoforest, labelprop, linewindows, loglinear, simhash, spacedseed, vecpack, wrappers
 from lakeingest.llm.common import table
 from lakeingest.llm.tokens import public_tokenizer
 
@@ -25,6 +25,11 @@ def op2_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", F.col("lw_lines").alias("n_lines"), F.col("lw_removed").alias("n_removed"))
 
 
+def op3_host_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     found = simhash.group(table(spark, sf_dir, "documents"))
@@ -67,6 +72,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_id_planes": op1_id_planes,
     "op2_line_windows": op2_line_windows,
+    "op3_host_wrappers": op3_host_wrappers,
     "op4_simhash": op4_simhash,
     "op5_log_bilinear": op5_log_bilinear,
     "op6_vector_packing": op6_vector_packing,
