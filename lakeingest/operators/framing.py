@@ -16,8 +16,11 @@ from lakeingest.options import IngestOptions
 
 # Accepted codec names; anything else is written as snappy.
 CODECS = {"snappy": "snappy", "zstd": "zstd", "none": "uncompressed"}
-# Colliding base names are spelled out in the plan up to this many, beyond it all names get a hash.
+# Colliding base names are spelled out in the plan up to this many, beyond it they are a table to join.
 MAX_LISTED_COLLISIONS = 500
+# The partition column of the datasets; see ``free_name``.
+SOURCE = "lake_source"
+NAME_DIGITS = 32
 
 
 @dataclass
@@ -47,29 +50,64 @@ class Outcome:
     invalid: DataFrame | None = None  # (uri, line_number, content, error)
     sheets: bool = False
 
+    @property
+    def source(self) -> str:
+        """The partition column of the folder's datasets."""
+        return free_name(self.final)
+
+    @property
+    def of_layout(self) -> str:
+        """The layout whose files were read; groups of its files add a number to its id."""
+        return self.layout.split("-")[0]
+
 
 def plain_uri(uri: Column) -> Column:
     """Readable path of an escaped file URI."""
     return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
 
 
-def source_name(uri: Column, colliding: Sequence[str] | None) -> Column:
-    """Dataset name of a source. ``colliding`` lists shared base names; None means too many to list.
+def sheet_uri(uri: Column, dataset: Column) -> Column:
+    """The URI of a file, with the sheet's name behind ``#``, which an escaped URI holds nowhere else."""
+    return F.when(dataset == "", uri).otherwise(F.concat(uri, F.lit("#"), dataset))
 
-    This runs for every row, so it cuts the name at its last dot without a pattern and decodes only
-    names that are escaped.
-    """
-    last = F.substring_index(uri, "/", -1)
+
+def source_base(uri: Column) -> Column:
+    """Base name of a source's file. This runs for every row, so it cuts the name at its last dot without
+    a pattern and decodes only names that are escaped."""
+    last = F.substring_index(F.substring_index(uri, "#", 1), "/", -1)
     last = F.when(last.contains("%"), plain_uri(last)).otherwise(last)
-    base = F.left(last, F.length(last) - F.length(F.substring_index(last, ".", -1)) - 1)
-    hashed = F.concat(base, F.lit("__"), F.substr(F.sha2(uri, 256), F.lit(1), F.lit(8)))
-    if colliding is None:
-        name = hashed
-    elif colliding:
-        name = F.when(base.isin(list(colliding)), hashed).otherwise(base)
-    else:
-        name = base
-    return F.concat(name, F.lit(".parquet"))
+    return F.left(last, F.length(last) - F.length(F.substring_index(last, ".", -1)) - 1)
+
+
+def dataset_name(base: Column, path: Column, shared: Column, sheet: Column | None = None) -> Column:
+    """Dataset name of a source: base name and sheet, with a hash of the plain path where others share the base."""
+    base = base if sheet is None else F.concat(base, sheet)
+    hashed = F.concat(base, F.lit("__"), F.substr(F.sha2(path, 256), F.lit(1), F.lit(NAME_DIGITS)))
+    return F.concat(F.when(shared, hashed).otherwise(base), F.lit(".parquet"))
+
+
+def named(df: DataFrame, uri: Column, colliding: Sequence[str] | DataFrame, out: str = SOURCE) -> DataFrame:
+    """Add the dataset name of every row's source.
+
+    ``colliding`` holds the shared base names: a list, or a stored table ``(base)`` where they are too
+    many to spell out. The table is joined without a hint, so Spark broadcasts it only while it is small.
+    """
+    base, path = source_base(uri), plain_uri(F.substring_index(uri, "#", 1))
+    sheet = F.when(uri.contains("#"), F.concat(F.lit("__"), F.substring_index(uri, "#", -1))).otherwise("")
+    if isinstance(colliding, DataFrame):
+        hits = colliding.select(F.col("base").alias("_base"), F.lit(True).alias("_shared"))
+        met = df.withColumn("_base", base).join(hits, "_base", "left")
+        return met.withColumn(out, dataset_name(F.col("_base"), path, F.col("_shared").isNotNull(), sheet)).drop("_base", "_shared")
+    shared = base.isin(list(colliding)) if colliding else F.lit(False)
+    return df.withColumn(out, dataset_name(base, path, shared, sheet))
+
+
+def colliding_names(files: DataFrame, folder: str) -> list[str] | DataFrame:
+    """Base names (column ``base``) of more than one path: a list while short, else a stored table."""
+    files.groupBy("base").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("base").write.mode("overwrite").parquet(folder)
+    shared = files.sparkSession.read.schema("base string").parquet(folder)
+    first = [r.base for r in shared.limit(MAX_LISTED_COLLISIONS + 1).collect()]
+    return first if len(first) <= MAX_LISTED_COLLISIONS else shared
 
 
 def finish_columns(df: DataFrame, original: Sequence[str], opts: IngestOptions):
@@ -105,13 +143,20 @@ def write_layout(df: DataFrame, folder: str, opts: IngestOptions, colliding) ->
     lets a task keep several writers open instead of sorting its rows by source.
     """
     types = {f.name: type_label(f.dataType) for f in df.schema.fields if f.name != "uri"}
-    out = df.select(*[F.col("`" + c.replace("`", "``") + "`") for c in types], source_name(F.col("uri"), colliding).alias("lake_source"))
-    if "lake_source" in types:
-        raise ValueError("a coluna lake_source é reservada ao nome da fonte")
-    write_parquet(out, folder, opts.compression, ["lake_source"])
+    source = free_name(types)
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in types]
+    write_parquet(named(df, F.col("uri"), colliding, source).select(*quoted, source), folder, opts.compression, [source])
     return types
 
 
+def free_name(taken) -> str:
+    """The partition column's name, lengthened where a source has a column of that name."""
+    name, low = SOURCE, {c.lower() for c in taken}
+    while name in low:
+        name += "_"
+    return name
+
+
 def type_label(t: T.DataType) -> str:
     """Reported type name."""
     if isinstance(t, T.ArrayType):
@@ -139,10 +184,8 @@ def output_names(files: DataFrame, collision: str = "hash") -> DataFrame:
     """
     based = files.select("path").distinct().withColumn("base", base_name(F.col("path")))
     stats = based.groupBy("base").agg(F.count(F.lit(1)).alias("n"), F.max("path").alias("last"))
-    named = based.join(stats, "base")
-    hashed = F.concat(F.col("base"), F.lit("__"), F.substr(F.sha2("path", 256), F.lit(1), F.lit(8)))
-    if collision == "overwrite":
-        name, kept = F.col("base"), F.col("path") == F.col("last")
-    else:
-        name, kept = F.when(F.col("n") > 1, hashed).otherwise(F.col("base")), F.lit(True)
-    return named.select("path", F.concat(name, F.lit(".parquet")).alias("dataset"), kept.alias("kept"))
+    met = based.join(stats, "base")
+    overwrite = collision == "overwrite"
+    shared = F.lit(False) if overwrite else F.col("n") > 1
+    kept = F.col("path") == F.col("last") if overwrite else F.lit(True)
+    return met.select("path", dataset_name(F.col("base"), F.col("path"), shared).alias("dataset"), kept.alias("kept"))

@@ -15,10 +15,28 @@ VALUE_KEY = "valor"
 _GUARD = "\\u0001lakeingest"  # no source text carries this control character
 
 
+# Integers far beyond any number type, which no real text holds, stand for the non-finite words.
+_MARKS = {"NaN": "7182818284590452353602874713526624977572470936999595749", "Infinity": "3141592653589793238462643383279502884197169399375105820"}
+
+
 def _standard(text: Column) -> Column:
-    """Non-finite number words, which are accepted as floats, replaced for validation."""
-    words = r"(?<![\w\"])-?(?:NaN|Infinity)(?![\w\"])"
-    return F.when(text.rlike("NaN|Infinity"), F.regexp_replace(text, words, "0.5")).otherwise(text)
+    """Non-finite number words, which are accepted as floats, replaced by numbers that stand for them.
+
+    Each match goes on where the last one ended and passes over whole string literals, so words inside
+    strings stay.
+    """
+    marked = text
+    for word, mark in _MARKS.items():
+        other = rf'[^"{word[0]}]++|"(?:[^"\\]++|\\.)*+"|(?!{word}){word[0]}'
+        marked = F.regexp_replace(marked, rf"\G((?:{other})*+)(?<![\w.]){word}(?![\w.])", f"$1{mark}")
+    return F.when(text.rlike("NaN|Infinity"), marked).otherwise(text)
+
+
+def _restored(text: Column) -> Column:
+    """The words back in place of the numbers that stand for them."""
+    for word, mark in _MARKS.items():
+        text = F.replace(text, F.lit(mark), F.lit(word))
+    return text
 
 
 def _guarded(text: Column) -> Column:
@@ -63,19 +81,25 @@ def wrapped(text: Column) -> Column:
 
 
 def _items(array_text: Column, array_value: Column) -> Column:
-    """Record texts of a JSON array: object elements keep their text and key order."""
+    """Record texts of a JSON array: every element keeps its own text, strings are quoted again."""
     texts = F.from_json(array_text, F.lit("array<string>"))
     values = array_value.try_cast("array<variant>")
-    return F.zip_with(
-        texts, values,
-        lambda t, v: F.when(F.schema_of_variant(v).startswith("OBJECT"), t).otherwise(
-            F.concat(F.lit(f'{{"{VALUE_KEY}":'), F.coalesce(F.to_json(v), F.lit("null")), F.lit("}"))
-        ),
-    )
+
+    def record(t: Column, v: Column) -> Column:
+        kind = F.schema_of_variant(v)
+        item = F.when(kind == "STRING", F.to_json(v)).otherwise(F.coalesce(t, F.lit("null")))
+        return F.when(kind.startswith("OBJECT"), t).otherwise(F.concat(F.lit(f'{{"{VALUE_KEY}":'), item, F.lit("}")))
+
+    return F.zip_with(texts, values, record)
 
 
 def record_texts(text: Column, value: Column) -> Column:
     """Records of a whole JSON value: list items, the first list of objects in a document, or itself."""
+    texts = _record_texts(_standard(text), value)
+    return F.when(text.rlike("NaN|Infinity"), F.transform(texts, _restored)).otherwise(texts)
+
+
+def _record_texts(text: Column, value: Column) -> Column:
     members = F.map_entries(F.from_json(text, F.lit("map<string,string>")))
     values = value.try_cast("map<string,variant>")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import textwrap
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeingest.functions.files import base_name
-from lakeingest.sources.remote import write_bytes
+from lakeingest.sources.remote import resolve, write_bytes
 
 SHOWN_INVALID = 10
 
@@ -40,14 +41,6 @@ def summarize(audit: DataFrame) -> DataFrame:
     )
 
 
-def stop_at_first_error(audit: DataFrame) -> DataFrame:
-    """The rows a run without ``continue_on_error`` leaves: up to the first failing path."""
-    first = audit.where("status = 'erro'").agg(F.min("caminho_original").alias("stop"))
-    return audit.crossJoin(F.broadcast(first)).where(
-        F.col("stop").isNull() | (F.col("caminho_original") <= F.col("stop"))
-    ).drop("stop")
-
-
 def first_invalid(quarantine: DataFrame, key: str) -> DataFrame:
     """Per file: number of invalid lines and the first ten as structs.
 
@@ -146,30 +139,60 @@ def report_text(audit: DataFrame) -> Column:
     ), "\n")
 
 
-def write_reports(audit: DataFrame, folder: str) -> DataFrame:
-    """Write ``<base>_relatorio.json`` and ``.txt`` for every audit row, in the tasks that hold it.
+def write_reports(audit: DataFrame, folder: str, quarantine: DataFrame | None = None) -> DataFrame:
+    """Write ``<base>_relatorio.json`` and ``.txt`` for every audit row; returns the paths.
 
-    Sources that share a base name get the same suffix as their dataset. Returns the paths.
+    Sources that share a base name get the same suffix as their dataset. With the quarantine table the
+    JSON report lists every invalid line: a source's lines follow its audit row in sorted order and are
+    streamed into the file, so that no list of them is ever held.
     """
     parts = audit.select(
+        F.col("caminho_original").alias("path"), F.lit(0).cast("bigint").alias("line_number"),
         F.coalesce(
             F.regexp_extract(F.get("caminho_parquet_gerado", F.lit(0)), r"lake_source=(.*)\.parquet$", 1),
             base_name(F.col("nome_original")),
         ).alias("dataset"),
         base_name(F.col("nome_original")).alias("base"),
         F.to_json(F.struct(*AUDIT_FIELDS), {"ignoreNullFields": "false"}).alias("doc"),
-        report_text(audit).alias("texto"),
+        report_text(audit).alias("texto"), F.lit(None).cast("string").alias("content"), F.lit(None).cast("string").alias("error"),
     )
+    if quarantine is not None:
+        lines = quarantine.select("path", "line_number", "content", "error")
+        parts = parts.unionByName(lines, allowMissingColumns=True).repartition("path").sortWithinPartitions("path", "line_number")
+    listed = quarantine is not None
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, tail, lines = None, "", 0
+        pretty = lambda v: json.dumps(v, indent=2, ensure_ascii=False)
+
+        def close() -> None:
+            if out is not None:
+                out.write((("\n  ]" if lines else "]") + tail).encode())
+                out.close()
+
         for batch in batches:
             paths = []
-            for dataset, base, doc, text in batch.values:
-                name = dataset or base
-                pretty = json.dumps(json.loads(doc), indent=2, ensure_ascii=False)
-                for ext, body in (("json", pretty), ("txt", text)):
-                    paths.append(f"{folder}/{name}_relatorio.{ext}")
-                    write_bytes(paths[-1], body.encode())
+            for row in batch.itertuples():
+                if row.doc is None:
+                    if out is not None:  # else a line of a source that the audit leaves out
+                        item = pretty({"line_number": row.line_number, "content": row.content, "error": row.error})
+                        out.write(((",\n" if lines else "\n") + textwrap.indent(item, "    ")).encode())
+                        lines += 1
+                    continue
+                close()
+                out, lines = None, 0
+                name, doc = row.dataset or row.base, json.loads(row.doc)
+                paths += [f"{folder}/{name}_relatorio.{ext}" for ext in ("json", "txt")]
+                write_bytes(paths[-1], row.texto.encode())
+                if listed:
+                    doc["ndjson_linhas_invalidas"] = []
+                    head, tail = pretty(doc).split('"ndjson_linhas_invalidas": []')
+                    fs, at = resolve(paths[-2])
+                    out = fs.open_output_stream(at)
+                    out.write((head + '"ndjson_linhas_invalidas": [').encode())
+                else:
+                    write_bytes(paths[-2], pretty(doc).encode())
             yield pd.DataFrame({"path": paths})
+        close()
 
     return parts.mapInPandas(write, "path string")

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import time
-from collections import Counter
 from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
@@ -13,10 +11,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeingest.functions.files import HEAD_BYTES, decode_head
+from lakeingest.functions.files import HEAD_BYTES, base_name, decode_head
 from lakeingest.functions.names import trim_all
 from lakeingest.operators.framing import (
-    MAX_LISTED_COLLISIONS, Layout, Outcome, plain_uri, source_name,
+    SOURCE, Layout, Outcome, colliding_names, named, plain_uri, sheet_uri, source_base,
 )
 from lakeingest.operators.jsonshape import strict_variant
 from lakeingest.options import IngestOptions
@@ -30,9 +28,9 @@ from lakeingest.sources.workbooks import ingest_workbooks
 
 CONCURRENT_LAYOUTS = 8
 NO_RECORDS = "Nenhum registro válido encontrado no arquivo"
-# A document is one value in one row, which the engine's VARIANT limits to 128 MB.
+# A document is one value in one row, which the engine's VARIANT limits to 128 MB. Larger ones are cut
+# into their records as text first.
 MAX_DOCUMENT_BYTES = 120 * 1024 * 1024
-TOO_LARGE = f"documento JSON acima de {MAX_DOCUMENT_BYTES} bytes: converta-o em linhas (NDJSON)"
 
 
 @dataclass
@@ -60,10 +58,41 @@ class IngestResult:
         return [o.folder for o in self.outcomes if o.folder]
 
     def table(self, keep_source: bool = False) -> DataFrame:
-        """Rows of all layouts by column name; ``lake_source`` tells the dataset of each row."""
-        tables = [self.spark.read.parquet(f) for f in self.folders]
-        df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-        return df if keep_source else df.drop("lake_source")
+        """Rows of all layouts by column name; ``lake_source`` tells the dataset of each row.
+
+        Where layouts disagree about a column's type, numbers become doubles and all else text.
+        """
+        tables = [
+            (self.spark.read.parquet(o.folder), o.source) for o in self.outcomes if o.folder
+        ]
+        if not keep_source:
+            tables = [(df.drop(source), None) for df, source in tables]
+        elif any(SOURCE in df.columns and source != SOURCE for df, source in tables):
+            raise ValueError(f"a source has a column {SOURCE}: read the folders one by one")
+        else:
+            tables = [(df.withColumnRenamed(source, SOURCE), None) for df, source in tables]
+        return _widened([df for df, _ in tables])
+
+
+def _widened(tables: list[DataFrame]) -> DataFrame:
+    """Union by column name; columns whose types differ are cast to a common one first."""
+    kinds: dict[str, set[str]] = {}
+    for df in tables:
+        for name, kind in df.dtypes:
+            kinds.setdefault(name, set()).add(kind)
+    wide = {n: "double" if k <= {"int", "bigint", "double"} else "string" for n, k in kinds.items() if len(k) > 1}
+
+    def cast(df: DataFrame) -> DataFrame:
+        out = []
+        for name, kind in df.dtypes:
+            c = F.col("`" + name.replace("`", "``") + "`")
+            nested = kind.startswith(("struct", "array", "map"))
+            if name in wide and kind != wide[name]:
+                c = (F.to_json(c) if nested else c.cast(wide[name])).alias(name)
+            out.append(c)
+        return df.select(*out)
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(cast, tables))
 
 
 def _route(sources: DataFrame) -> DataFrame:
@@ -78,12 +107,8 @@ def _route(sources: DataFrame) -> DataFrame:
         "route",
         F.when(F.col("format") != "json", F.col("format"))
         .when(F.coalesce(is_lines, F.lit(False)), "json-lines")
+        .when(F.col("length") > MAX_DOCUMENT_BYTES, "json-large")
         .otherwise("json-document"),
-    ).withColumn(
-        "erro",
-        F.coalesce("erro", F.when(
-            (F.col("route") == "json-document") & (F.col("length") > MAX_DOCUMENT_BYTES), TOO_LARGE
-        )),
     )
 
 
@@ -108,7 +133,7 @@ def ingest(
     _route(sniff(list_sources(inner, roots))).withColumn(
         "layout_id",
         F.substr(F.sha2(F.concat_ws("\u001e", "route", "encoding", "sep", "layout"), 256), F.lit(1), F.lit(12)),
-    ).drop("head", "text", "read_error").write.mode("overwrite").parquet(f"{work}/sources")
+    ).drop("head", "header_rest", "text", "read_error").write.mode("overwrite").parquet(f"{work}/sources")
     sources = inner.read.parquet(f"{work}/sources")
     usable = sources.where("erro is null")
     # One small row per file: the paths every scan's file index holds on the driver in any case.
@@ -117,14 +142,12 @@ def ingest(
         usable = usable.where(F.col("path") < min(wrong))
         files = [f for f in files if f.path < min(wrong)]
     files = [f for f in files if not f.bad]
-    bases = Counter(_base(f.path) for f in files)
-    colliding = [b for b, n in bases.items() if n > 1]
-    if len(colliding) > MAX_LISTED_COLLISIONS:
-        colliding = None
-
-    # With "overwrite" the last path of a base name is the one whose data stays.
-    last = {_base(p): p for p in sorted(f.path for f in files)} if opts.collision == "overwrite" else {}
-    replaced = [(f.path, last[_base(f.path)]) for f in files if last and last[_base(f.path)] != f.path]
+    colliding = colliding_names(usable.select(source_base(F.col("uri")).alias("base")), f"{work}/shared-names")
+    replaced = None
+    if opts.collision == "overwrite":  # the last path of a base name is the one whose data stays
+        based = usable.select(F.col("path").alias("caminho_original"), base_name(F.col("path")).alias("base"))
+        last = based.groupBy("base").agg(F.max("caminho_original").alias("vencedor"))
+        replaced = based.join(last, "base").where("caminho_original <> vencedor").drop("base")
 
     outcomes = []
     by_layout: dict[str, list[str]] = {}
@@ -139,7 +162,7 @@ def ingest(
     labels = read_heads(labels).withColumn(
         "text", F.when(F.col("format") == "csv", decode_head(F.col("head"), F.col("encoding"))).otherwise(
             F.make_valid_utf8(F.col("head").cast("string")))
-    ).drop("head")
+    ).drop("head", "header_rest")
 
     def read(row) -> list[Outcome]:
         layout = Layout(
@@ -159,7 +182,7 @@ def ingest(
         try:
             found, kept = ingest_workbooks(inner, usable.where("format = 'xlsx'"), opts, data, work, colliding)
             outcomes += found
-        except Exception as e:
+        except Exception as e:  # listing the sheets failed as a whole; a bad book or layout is an outcome
             outcomes.append(_all_failed(inner, "xlsx", books, e))
     for o in outcomes:
         o.folder = o.folder if o.folder and has_data(inner, o.folder) else None
@@ -170,34 +193,42 @@ def ingest(
     return IngestResult(spark, outcomes, *audit)
 
 
-def _base(path: str) -> str:
-    return re.sub(r"(?<=.)\.[^.]*$", "", path.rsplit("/", 1)[-1])
+def _read_layout(inner, layout: Layout, route: str, opts, data, work, colliding) -> list[Outcome]:
+    """Read one layout. When that fails, files that cannot be read are found in one pass over the files,
+    and the others are read once more; a fault of the layout itself fails all its files at once."""
 
+    def attempt(paths: list[str]) -> list[Outcome]:
+        try:
+            of = replace(layout, paths=paths)
+            if route == "csv":
+                return ingest_delimited(inner, of, opts, data, work, colliding)
+            return ingest_json(inner, of, opts, data, work, colliding, route)
+        except Exception:
+            remove_tree(inner, f"{data}/layout={layout.id}")
+            raise
 
-def _read_layout(inner, layout: Layout, route: str, opts, data, work, colliding) -> list[Outcome]:
-    """Read one layout; when it fails as a whole, halve it until the bad file stands alone."""
     try:
-        if route == "csv":
-            return ingest_delimited(inner, layout, opts, data, work, colliding)
-        return ingest_json(inner, layout, opts, data, work, colliding, route == "json-document")
+        return attempt(layout.paths)
+    except ValueError as e:
+        return [_all_failed(inner, layout.id, layout.paths, e)]
     except Exception as e:
-        remove_tree(inner, f"{data}/layout={layout.id}")
-        if len(layout.paths) == 1:
+        paths = inner.createDataFrame([(p,) for p in layout.paths], "path string")
+        unread = hash_files(spread(paths, "path")).where("hash_sha256 = 'indisponivel'").select("path")
+        bad = {r.path for r in unread.collect()}
+        good = [p for p in layout.paths if p not in bad]
+        if not bad or not good:
             return [_all_failed(inner, layout.id, layout.paths, e)]
-        half = len(layout.paths) // 2
-        parts = (("a", layout.paths[:half]), ("b", layout.paths[half:]))
-        return [
-            o for tag, paths in parts
-            for o in _read_layout(
-                inner, replace(layout, id=layout.id + tag, paths=paths), route, opts, data, work, colliding
-            )
-        ]
+        outcomes = [_all_failed(inner, layout.id, sorted(bad), e)]
+        try:
+            return outcomes + attempt(good)
+        except Exception as again:
+            return outcomes + [_all_failed(inner, layout.id, good, again)]
 
 
 def _all_failed(inner, layout: str, paths: list[str], error: Exception) -> Outcome:
     from lakeingest.sources.remote import scan_uri
 
-    message = str(error).split("\n")[0][:500]
+    message = str(error).split("\n\nJVM stacktrace")[0].strip()
     failed = inner.createDataFrame([(scan_uri(p), message) for p in paths], "uri string, erro string")
     return Outcome(layout, failed=failed)
 
@@ -215,31 +246,31 @@ def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, star
             plain_uri(F.col("uri")).alias("path"), "line_number", "content", "error"
         ).write.mode("overwrite").parquet(quarantine)
     failed = [o.failed for o in outcomes if o.failed is not None]
+    # One scan over the datasets per partition column; only their folders and row counts are read.
+    data = f"{out}/dados/lote={run}"
+    written = [o for o in outcomes if o.folder]
     counts = union([
-        inner.read.schema("lake_source string").parquet(o.folder).groupBy("lake_source")
-        .agg(F.count(F.lit(1)).alias("n")).withColumn("outcome", F.lit(o.layout))
-        .withColumn("folder", F.lit(o.folder))
-        for o in outcomes if o.folder
-    ] or [none("lake_source string, n bigint, outcome string, folder string")])
+        inner.read.schema(f"layout string, {source} string").option("basePath", data)
+        .parquet(*[o.folder for o in written if o.source == source])
+        .groupBy(F.col("layout").alias("outcome"), F.col(source).alias("lake_source")).agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("column", F.lit(source))
+        for source in sorted({o.source for o in written})
+    ] or [none("outcome string, lake_source string, n bigint, column string")])
+    counts = counts.withColumn("layout_id", F.substring_index("outcome", "-", 1)).withColumn(
+        "folder", F.concat(F.lit(f"{data}/layout="), "outcome", F.lit("/"), "column"))
 
     plain = sources.where("format != 'xlsx'").select(
-        "uri", F.lit(0).alias("sheet_index"), F.lit(None).cast("string").alias("sheet"),
-        source_name(F.col("uri"), colliding).alias("lake_source"), "layout_id",
-    )
+        F.col("uri").alias("at"), "uri", F.lit(0).alias("sheet_index"), F.lit(None).cast("string").alias("sheet"), "layout_id")
     if kept is not None:
-        of_sheet = F.when(F.col("dataset") == "", F.col("uri")).otherwise(
-            F.concat(F.regexp_replace("uri", r"\.[^./]*$", ""), F.lit("__"), F.col("dataset"), F.lit(".xlsx"))
-        )
         plain = plain.unionByName(kept.select(
-            "uri", "sheet_index", "sheet", source_name(of_sheet, colliding).alias("lake_source"),
-            F.col("layout").alias("layout_id"),
-        ))
-    datasets = plain.join(counts, "lake_source", "left").groupBy("uri").agg(
+            sheet_uri(F.col("uri"), F.col("dataset")).alias("at"), "uri", "sheet_index", "sheet", F.col("layout").alias("layout_id")))
+    plain = named(plain, F.col("at"), colliding).drop("at")
+    datasets = plain.join(counts, ["layout_id", "lake_source"], "left").groupBy("uri").agg(
         F.sum("n").alias("linhas_lidas"),
         F.min_by(F.coalesce("outcome", "layout_id"), "sheet_index").alias("outcome"),
         F.transform(
             F.array_sort(F.collect_list(F.when(F.col("n") > 0, F.struct(
-                "sheet_index", F.concat("folder", F.lit("/lake_source="), "lake_source").alias("at")
+                "sheet_index", F.concat("folder", F.lit("="), "lake_source").alias("at")
             )))), lambda s: s.at,
         ).alias("caminho_parquet_gerado"),
         F.transform(
@@ -300,14 +331,14 @@ def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, star
         )
     )
     folder = f"{out}/auditoria/lote={run}"
-    if opts.continue_on_error and not replaced:
+    if opts.continue_on_error and replaced is None:
         rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(folder)
         return folder, quarantine
 
     rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(f"{work}/audit")
     rows = inner.read.parquet(f"{work}/audit")
-    if replaced:
-        pairs = inner.createDataFrame(replaced, "caminho_original string, vencedor string")
+    if replaced is not None:
+        pairs = replaced
         _remove_datasets(inner, rows.join(pairs, "caminho_original", "left_semi"))
         winners = rows.select(F.col("caminho_original").alias("vencedor"), F.col("caminho_parquet_gerado").alias("fica"))
         rows = rows.join(pairs, "caminho_original", "left").join(winners, "vencedor", "left").withColumn(

@@ -73,6 +73,8 @@ def sniff(listed: DataFrame) -> DataFrame:
     of a JSON source. ``text`` is the decoded head.
     """
     is_csv, is_json = F.col("format") == "csv", F.col("format").isin("json", "ndjson", "jsonl")
+    longer = ff.decode_head(F.concat("head", "header_rest"), F.col("encoding"))
+    whole = F.when(F.octet_length("header_rest") > 0, longer).otherwise(F.col("text"))
     return (
         read_heads(listed)
         .withColumn("encoding", F.when(is_csv, ff.detect_encoding(F.col("head"))))
@@ -85,7 +87,7 @@ def sniff(listed: DataFrame) -> DataFrame:
         .withColumn("sep", F.when(is_csv, ff.sniff_delimiter(F.col("text"))))
         .withColumn(
             "layout",
-            F.when(is_csv, ff.header_record(F.col("text"))).when(is_json, ff.key_layout(F.col("text"))),
+            F.when(is_csv, ff.header_record(whole)).when(is_json, ff.key_layout(F.col("text"))),
         )
         .withColumn(
             "erro",

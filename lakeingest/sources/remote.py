@@ -15,6 +15,7 @@ from lakeingest.functions.files import HEAD_BYTES
 from lakeingest.session import spread
 
 BLOCK = 1 << 20
+BATCH_BYTES = 16 << 20
 
 
 def resolve(path: str):
@@ -91,16 +92,20 @@ def _with_columns(files: DataFrame, schema: str, add) -> DataFrame:
     """Append task-side columns to a listing; ``add(path)`` gives their values for one file.
 
     The listing's partitioning is kept, and its other columns travel along instead of being joined
-    back.
+    back. Rows leave in batches of bounded size.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for i in range(len(batch)):
-                row = batch.iloc[i:i + 1].reset_index(drop=True)
-                for name, value in add(row["path"][0]).items():
-                    row[name] = [value]
-                yield row
+            held: list[dict] = []
+            start = size = 0
+            for i, path in enumerate(batch["path"]):
+                held.append(add(path))
+                size += sum(len(v) for v in held[-1].values() if isinstance(v, bytes))
+                if size > BATCH_BYTES or i + 1 == len(batch):
+                    part = batch.iloc[start:i + 1].reset_index(drop=True)
+                    yield part.assign(**{name: [h[name] for h in held] for name in held[0]})
+                    held, start, size = [], i + 1, 0
 
     before = ", ".join(f"{n} {t}" for n, t in files.dtypes)
     return files.mapInPandas(run, f"{before}, {schema}")
@@ -109,17 +114,39 @@ def _with_columns(files: DataFrame, schema: str, add) -> DataFrame:
 def read_heads(files: DataFrame) -> DataFrame:
     """Add the first 100 KB of every file as ``head``, or ``read_error``.
 
-    Only the head is fetched, so the cost follows the number of files and not their size.
+    Only the head is fetched, so the cost follows the number of files and not their size. Where the
+    header record of a delimited file is longer, ``header_rest`` holds its bytes behind the head.
     """
 
     def head(path: str) -> dict:
         try:
             with open_input(path) as f:
-                return {"head": f.read(HEAD_BYTES), "read_error": None}
+                first, rest = f.read(HEAD_BYTES), b""
+                if len(first) == HEAD_BYTES and path.lower().endswith(".csv"):
+                    rest = _header_rest(first, f)
+                return {"head": first, "header_rest": rest, "read_error": None}
         except Exception as e:  # reported per file, never fails the batch
-            return {"head": None, "read_error": str(e)}
-
-    return _with_columns(files, "head binary, read_error string", head)
+            return {"head": None, "header_rest": None, "read_error": str(e)}
+
+    return _with_columns(files, "head binary, header_rest binary, read_error string", head)
+
+
+def _header_rest(head: bytes, file) -> bytes:
+    """What follows ``head`` up to the end of the first record: a line end outside quotes behind some text."""
+    quotes, text, rest, block = 0, False, [], head
+    while block:
+        at = 0
+        while at < len(block):
+            end = block.find(b"\n", at)
+            line = block[at:] if end < 0 else block[at:end]
+            quotes += line.count(b'"')
+            text = text or bool(line.strip())
+            if end >= 0 and text and quotes % 2 == 0:
+                return b"".join(rest[:-1] + [block[:end]]) if rest else b""
+            at = len(block) if end < 0 else end + 1
+        block = file.read(BLOCK)
+        rest.append(block)
+    return b"".join(rest)
 
 
 def hash_files(files: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zipfile
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
@@ -18,13 +19,15 @@ from pyspark.sql import functions as F
 
 from lakeingest.functions import names as nm
 from lakeingest.functions.values import id_text
-from lakeingest.operators.framing import Outcome, finish_columns, write_layout
+from lakeingest.operators.framing import Outcome, finish_columns, sheet_uri, write_layout
 from lakeingest.options import IngestOptions
-from lakeingest.session import spread
+from lakeingest.session import remove_tree, spread
 from lakeingest.sources.remote import open_input
 
 NO_DATA = "a planilha não contém dados válidos"
 BATCH_ROWS = 2000
+CONCURRENT_LAYOUTS = 8
+_CELLS = "cells array<struct<kind:string,value:string>>"
 
 # Names of the file format's XML vocabulary.
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -214,12 +217,12 @@ def ingest_workbooks(
     key = ["uri", "sheet_index"]
     heads = cells.where("row_no is not null").groupBy(*key).agg(
         F.min_by("cells", "row_no").alias("head"), F.min("row_no").alias("head_row"),
-        F.count(F.lit(1)).alias("n_rows"), F.first("sheet").alias("sheet"),
+        F.count(F.lit(1)).alias("n_rows"), F.first("sheet").alias("sheet"), F.max(F.size("cells")).alias("width"),
     )
     # A sheet with a header and no rows counts as empty.
-    heads = heads.where("n_rows > 1").withColumn(
-        "header", F.transform("head", lambda c: F.coalesce(c.value, F.lit("")))
-    )
+    # Rows may be wider than the header row: columns behind it have an empty header, like gaps in it.
+    named = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda i: F.coalesce(F.get("head", i)["value"], F.lit("")))
+    heads = heads.where("n_rows > 1").withColumn("header", named)
     errors = wanted.where("erro is not null").select("uri", "erro").unionByName(
         cells.where("erro is not null").select("uri", "erro")
     )
@@ -250,10 +253,24 @@ def ingest_workbooks(
     kept = spark.read.parquet(sheets_folder)
 
     outcomes = []
-    for layout, header in kept.groupBy("layout").agg(F.first("header")).collect():
-        mine = kept.where(F.col("layout") == layout).select(*key, "head_row", "dataset")
-        rows = cells.where("row_no is not null").join(mine, key).where("row_no > head_row")
-        outcomes.append(_write(rows, layout, header, opts, out, colliding))
+    # Rows by layout in one pass, so that a layout's types and write read its own rows only.
+    by_layout = f"{work}/cells-by-layout"
+    body = cells.where("row_no is not null").join(kept.select(*key, "head_row", "dataset", "layout"), key).where("row_no > head_row")
+    body.select("layout", "uri", "dataset", "cells").write.mode("overwrite").partitionBy("layout").parquet(by_layout)
+    schema = f"uri string, dataset string, {_CELLS}"
+    headers = kept.groupBy("layout").agg(F.first("header")).collect()
+
+    def write(layout: str, header: list[str]) -> Outcome:
+        try:
+            return _write(spark.read.schema(schema).parquet(f"{by_layout}/layout={layout}"), layout, header, opts, out, colliding)
+        except Exception as e:  # fails the books with this header, and no others
+            remove_tree(spark, f"{out}/layout={layout}")
+            message = str(e).split("\n\nJVM stacktrace")[0].strip()
+            bad = kept.where(F.col("layout") == layout).select("uri", F.lit(message).alias("erro")).distinct()
+            return Outcome(layout, failed=bad, sheets=True)
+
+    with ThreadPoolExecutor(CONCURRENT_LAYOUTS) as pool:
+        outcomes += pool.map(lambda row: write(*row), headers)
     outcomes.append(Outcome("xlsx", failed=failed))
     return outcomes, kept
 
@@ -269,9 +286,7 @@ def _write(rows: DataFrame, layout: str, header: list[str], opts, out: str, coll
         as_text = opts.preserve_sensitive and nm.is_sensitive(name, opts.extra_sensitive)
         values.append(cell_value(at(i)["kind"], at(i)["value"], row[i], as_text).alias(f"c{i}"))
     # The sheet's dataset name travels behind the file, so that one write serves all sheets.
-    uri = F.when(F.col("dataset") == "", F.col("uri")).otherwise(
-        F.concat(F.regexp_replace("uri", r"\.[^./]*$", ""), F.lit("__"), F.col("dataset"), F.lit(".xlsx"))
-    )
+    uri = sheet_uri(F.col("uri"), F.col("dataset"))
     df, final = finish_columns(rows.select(*values, uri.alias("uri")), original, opts)
     folder = f"{out}/layout={layout}"
     labels = write_layout(df, folder, opts, colliding)
