@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lakeingest.session import remove_tree, work_folder
 
 #: Rows that a mapping function gets at once; long texts make smaller pieces (``by_bytes``).
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -60,20 +60,22 @@ def propagate(links: DataFrame, start: DataFrame, quota: np.ndarray, rounds: int
     spark, shards = links.sparkSession, len(quota)
     state, folder = stored(start, "labels")
     for turn in range(rounds):
+        held = np.zeros(shards, np.int64)
+        for r in state.groupBy("shard").count().collect():
+            held[r["shard"]] = r["count"]
+        room = F.array(*[F.lit(bool(x)) for x in held < quota])
         at = links.join(state, "uid")
         counts, counts_folder = stored(at.groupBy("key").agg(
             F.array(*[F.sum((F.col("shard") == s).cast("bigint")) for s in range(shards)]).alias("n")), "key-counts")
         votes = at.join(counts, "key").groupBy("uid", "shard").agg(
             F.array(*[F.sum(F.col("n")[s]) for s in range(shards)]).alias("n"), F.min(F.pmod(F.xxhash64("key"), F.lit(shards))).alias("turn"))
-        # Ties go to one shard for all neighbours, else two of them would swap places for ever; which one, the key says.
-        rank = F.transform("n", lambda v, s: F.struct(v.alias("votes"), (-F.pmod(s + F.col("turn"), F.lit(shards))).alias("first"), s.alias("shard")))
+        # Ties go to one shard for all neighbours, else two of them would swap places for ever: one with room, and
+        # of several the one that the key says.
+        rank = F.transform("n", lambda v, s: F.struct(v.alias("votes"), F.get(room, s).alias("room"), (-F.pmod(s + F.col("turn"), F.lit(shards))).alias("first"), s.alias("shard")))
         best = F.array_max(rank)
         wishes = votes.select("uid", "shard", best["shard"].cast("int").alias("wish"), (best["votes"] - F.col("n")[F.col("shard")]).alias("gain"))
         wishes, wishes_folder = stored(wishes.withColumn("size", F.floor(F.log2(F.col("gain") + 1)).cast("int")), "wishes")
         asked = {(r["shard"], r["wish"], r["size"]): r["count"] for r in wishes.where("shard <> wish").groupBy("shard", "wish", "size").count().collect()}
-        held = np.zeros(shards, np.int64)
-        for r in state.groupBy("shard").count().collect():
-            held[r["shard"]] = r["count"]
         granted = settle(asked, held, quota)
         if not any(granted.values()):
             drop_stored(spark, counts_folder), drop_stored(spark, wishes_folder)

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lakeingest.llm.common import stored
 
 WINDOW = 3
+#: The columns that ``dedup`` adds.
+LINES, REMOVED = "lw_lines", "lw_removed"
 
 
 def _lines(text: Column) -> Column:
@@ -59,38 +61,34 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` with the repeated lines removed, and ``n_lines`` and ``n_removed`` as ``lw_`` columns."""
-    marks = repeats(docs, window).select(
-        F.col("id").alias("lw_id"), F.col("th").alias("lw_th"), F.col("starts").alias("lw_starts"))
-    text = F.col("d.text").cast("string")
-    joined = docs.alias("d").join(
-        marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.lw_id")) & (F.xxhash64(text) == F.col("m.lw_th")), "left")
+    """The rows of ``docs`` with the repeated lines removed, and two columns behind: lines before, and lines removed."""
+    # Columns by position while the marks are met, so that no name of theirs can clash.
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows, text = docs.toDF(*at.values()), F.col(at["text"]).cast("string")
+    marks = repeats(docs, window).select(F.col("id").alias("m_id"), F.col("th").alias("m_th"), "starts")
+    joined = rows.join(marks, F.col(at["doc_id"]).eqNullSafe(F.col("m_id")) & (F.xxhash64(text) == F.col("m_th")), "left")
     lines = _lines(text)
-    covered = F.flatten(F.transform("m.lw_starts", lambda p: F.array(*[p + k for k in range(window)])))
+    covered = F.flatten(F.transform("starts", lambda p: F.array(*[p + k for k in range(window)])))
     keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    marked = joined.select(
-        *[F.col(f"d.`{c}`") for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).alias("lw_lines"),
-        F.when(F.col("m.lw_starts").isNotNull(), keep).alias("lw_keep"),
-    )
-    source = _lines(F.col("text").cast("string"))
-    cut = F.array_join(F.transform("lw_keep", lambda i: F.get(source, i)), "\n")
-    changed = F.col("lw_keep").isNotNull()
-    values = {"text": F.when(changed, cut).otherwise(F.col("text"))}
-    if "n_chars" in docs.columns:
-        values["n_chars"] = F.when(changed, F.length(cut)).otherwise(F.col("n_chars"))
+    marked = joined.select(*at.values(), F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"), F.when(F.col("starts").isNotNull(), keep).alias("keep"))
+    cut = F.array_join(F.transform("keep", lambda i: F.get(lines, i)), "\n")
+    changed = F.col("keep").isNotNull()
+    values = {"text": F.when(changed, cut).otherwise(F.col(at["text"]))}
+    if "n_chars" in at:
+        values["n_chars"] = F.when(changed, F.length(cut)).otherwise(F.col(at["n_chars"]))
     return marked.select(
-        *[values.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns],
-        F.col("lw_lines").cast("bigint").alias("lw_lines"),
-        F.when(changed, F.col("lw_lines") - F.size("lw_keep")).otherwise(0).cast("bigint").alias("lw_removed"),
+        *[values.get(c, F.col(at[c])).alias(c) for c in docs.columns],
+        F.col("n_lines").cast("bigint").alias(LINES),
+        F.when(changed, F.col("n_lines") - F.size("keep")).otherwise(0).cast("bigint").alias(REMOVED),
     )
 
 
 def drop_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """The columns of ``docs``; documents of which no line is left go."""
     done = dedup(docs, window)
-    gone = (F.col("lw_removed") > 0) & (F.col("lw_removed") == F.col("lw_lines"))
-    return done.where(~gone).select(*[F.col(f"`{c}`") for c in docs.columns])
+    by_place = done.toDF(*[f"c{i}" for i in range(len(done.columns))])
+    lines, removed = (F.col(c) for c in by_place.columns[-2:])
+    return by_place.where(~((removed > 0) & (removed == lines))).drop(*by_place.columns[-2:]).toDF(*docs.columns)
 
 
 SQL = """

@@ -35,7 +35,7 @@ from lakeingest.llm.common import by_bytes, frequent, stored, text_of
 WORDS, BUCKETS, DIM, NOISE, BATCH = 447, 64, 24, 32, 4096
 RATE, ROUNDS = 0.05, 2
 #: Most frequent words whose counts go out to tasks, and distinct words that a task counts before it sends them on.
-LISTED, HELD = 100_000, 400_000
+LISTED, HELD = 100_000, 250_000
 SMOOTH = 0.1
 FOLDS = 10
 

@@ -4,8 +4,8 @@ Words of test items and documents are hashed under fixed masks that look at six
 so that substitutions at the ignored positions do no harm. Where a document's hash meets an item's, the two
 are laid over each other at that place, and the overlap counts if some stretch of ``STRETCH`` aligned words
 (the whole item, if it is shorter) agrees in ``AGREE`` or more of its words. With these masks every such
-stretch holds a hit. Items shorter than a mask are hashed whole; one of fewer than ``LEAST`` words says too
-little and meets only a document that consists of just these words.
+stretch holds a hit. Items shorter than a stretch are hashed by runs of so many words that one of them must be
+whole; one of fewer than ``LEAST`` words says too little and meets only a document that is just these words.
 
 Documents stream past the hashes of the items, a map without a shuffle. The items go out in blocks of a
 bounded number of words, so that any number of items is compared with every whole document.
@@ -59,26 +59,37 @@ def _seeds(codes: np.ndarray, mask: tuple[int, ...], salt: int) -> np.ndarray:
     return mix
 
 
+def _run(n: int) -> int:
+    """Words of the runs of an item of ``n`` words: with the substitutions allowed, one run stays whole. 0: masks serve."""
+    if not 0 < n < STRETCH:
+        return 0
+    return n if n < LEAST else n // (n - int(np.ceil(AGREE * n)) + 1)
+
+
 class Items:
     """Hashes of a block of items: ``seeds`` sorted, with the item and position of each, behind a bit filter."""
 
     def __init__(self, ids: list, texts: list[str | None]):
         self.ids = ids
         self.codes = [_codes(words(t)) for t in texts]
-        self.lengths = sorted({len(c) for c in self.codes if 0 < len(c) <= MASKS[-1][-1]})
-        masks = [*MASKS, *[tuple(range(n)) for n in self.lengths]]
+        self.runs = sorted({_run(len(c)) for c in self.codes} - {0})
         seeds, items, places = [], [], []
         for j, codes in enumerate(self.codes):
-            for salt, mask in enumerate(masks):
-                if salt >= len(MASKS) and len(mask) != len(codes):
+            run = _run(len(codes))
+            for mask, salt in self.kinds() if not run else [(tuple(range(run)), 100 + run)]:
+                if not run and salt >= len(MASKS):
                     continue
-                got = _seeds(codes, mask, salt if salt < len(MASKS) else 100 + len(mask))
+                got = _seeds(codes, mask, salt)
                 seeds.append(got), items.append(np.full(len(got), j)), places.append(np.arange(len(got)))
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
         seeds, items, places = join(seeds, np.uint64), join(items, np.int32), join(places, np.int32)
         order = np.argsort(seeds, kind="stable")
         self.seeds, self.items, self.places = seeds[order], items[order], places[order]
 
+    def kinds(self) -> list[tuple[tuple[int, ...], int]]:
+        """Masks and runs, each with the number that tells its hashes apart."""
+        return [(m, k) for k, m in enumerate(MASKS)] + [(tuple(range(n)), 100 + n) for n in self.runs]
+
     def _filter(self) -> np.ndarray:
         bits = np.zeros(1 << _FILTER_BITS, bool)
         bits[(self.seeds >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
@@ -92,8 +103,7 @@ class Items:
         starts = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
         codes = np.concatenate([_codes(x) for x in split]) if split else np.zeros(0, np.uint64)
         bits, found = self._filter(), []
-        kinds = [(m, k) for k, m in enumerate(MASKS)] + [(tuple(range(n)), 100 + n) for n in self.lengths]
-        for mask, salt in kinds:
+        for mask, salt in self.kinds():
             mix = _seeds(codes, mask, salt)
             at = np.flatnonzero(bits[(mix >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
             low = np.searchsorted(self.seeds, mix[at], "left")

@@ -215,11 +215,11 @@ def decide(wrapper: list[Node]) -> dict:
         place = x[6] or x[0][0].rpartition(">")[0]
         mass[place] = mass.get(place, 0) + x[5]
     if not mass:
-        return {"at": None, "drop": []}
+        return {"named": False, "at": None, "drop": []}
     at = max(sorted(mass), key=lambda p: mass[p])
     if named:
-        return {"at": "", "drop": _template(inside, lambda x: bool(x[6]))}
-    return {"at": at, "drop": _template(inside, lambda x: _below(x[0][0], at))}
+        return {"named": True, "at": "", "drop": _template(inside, lambda x: bool(x[6]))}
+    return {"named": False, "at": at, "drop": _template(inside, lambda x: _below(x[0][0], at))}
 
 
 def _template(inside: list[Node], main) -> list[int]:
@@ -242,11 +242,11 @@ def extract(html: str | None, rule: dict | None) -> str:
         return ""
     drop, parts = set(rule["drop"]), []
     has_named = any(c and not o for _, _, o, c in blocks)
-    own = rule if has_named == (rule["at"] == "") else decide(stream(blocks))  # a page unlike its host's others
+    own = rule if has_named == rule["named"] else decide(stream(blocks))  # a page unlike its host's others
     if own["at"] is None:
         return ""
     for path, text, outside, container in blocks:
-        if outside or not (bool(container) if own["at"] == "" else _below(path, own["at"])):
+        if outside or not (bool(container) if own["named"] else _below(path, own["at"])):
             continue
         if drop and zlib.crc32(text.encode("utf-8", "surrogatepass")) in drop:
             continue
