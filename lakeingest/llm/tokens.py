@@ -18,7 +18,7 @@ from types import ModuleType
 
 import numpy as np
 
-#: Distinct words, and pieces of words, that a worker remembers (about 200 bytes each); others are encoded each time.
+#: Distinct words, and pieces of odd words, that a worker remembers (about 200 bytes each); others are encoded each time.
 MEMO = 300_000
 #: The id that ends every document.
 END = 1
@@ -31,8 +31,8 @@ _PIECES = {
 _CONTROL = re.compile("[\x0b\x0c\x1c-\x1f]")
 _ODD = re.compile("[\x85\xa0 ᠎ -​    　﻿]")
 
-#: White space around a blank, or a blank at either end: such texts are cut by pieces, not by words.
-_RUN = re.compile(r"\s |^ | $| \s")
+#: White space around a blank: such texts, and those with a blank at either end, are cut by pieces, not by words.
+_RUNS = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
 
 
 def public_tokenizer(name: str) -> str:
@@ -61,7 +61,6 @@ class Encoder:
         # What joins pieces for one call: never part of a joined piece, and always one id of its own.
         self.joint = "\n" if self.led else "\n~\n"
         self.joint_id = self.tokenizer.encode(self.joint, add_special_tokens=False).ids[0]
-        self.apart = re.compile(r"^\s\s|^[^\S ]|\s$" if self.led else "~").search
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -79,23 +78,27 @@ class Encoder:
 
     def _joined(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces, many in one call."""
-        text = self.joint.join(pieces) + self.joint
-        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * np.flatnonzero(ids == self.joint_id)).tolist()
-        data, starts = ids.tobytes(), [0, *(e + 4 for e in ends[:-1])]
-        return [data[s:e] for s, e in zip(starts, ends)]
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 2000):
+            text = self.joint.join(pieces[i : i + 2000]) + self.joint
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * np.flatnonzero(ids == self.joint_id)).tolist()
+            data, start = ids.tobytes(), 0
+            for end in ends:
+                out.append(data[start:end])
+                start = end + 4
+        return out
 
     def _pieces(self, texts: list[str]) -> list[bytes]:
         """Ids of texts, cut into pieces; texts need not be whole documents."""
         found = [self.find(t) for t in texts]
-        memo, apart = self.pieces, self.apart
+        memo = self.pieces
         new = [p for p in set(chain.from_iterable(found)) if p not in memo]
-        plain = [p for p in new if not apart(p)]
-        for i in range(0, len(plain), 2000):
-            part = plain[i : i + 2000]
-            memo.update(zip(part, self._joined(part)))
-        alone = [p for p in new if apart(p)]
+        # Pieces that could run into the joint go by themselves: white space beyond one leading blank, or the joint's mark.
+        alone = [p for p in new if p[-1].isspace() or p[:2].isspace() or p[0] in "\n\t\r"] if self.led else [p for p in new if "~" in p]
         memo.update(zip(alone, self.direct(alone)))
+        plain = [p for p in new if p not in memo]
+        memo.update(zip(plain, self._joined(plain)))
         out = [b"".join(map(memo.__getitem__, x)) for x in found]
         if len(memo) > MEMO:
             for p in new:
@@ -115,7 +118,7 @@ class Encoder:
                 out[i] = self.direct([t])[0] + tail
             elif not self.led:
                 simple[i] = t.split()
-            elif _RUN.search(t):
+            elif t[0] == " " or t[-1] == " " or any(run in t for run in _RUNS):
                 rest.append(i)
             else:
                 simple[i] = t.split(" ")
@@ -127,7 +130,10 @@ class Encoder:
         memo = self.words
         new = [w for w in set(chain.from_iterable(simple.values())) if w not in memo]
         lead = " " if self.led else ""
-        memo.update(zip(new, self._pieces([lead + w for w in new])))
+        odd = [w for w in new if "\n" in w or "\t" in w or "\r" in w] if self.led else [w for w in new if "~" in w]
+        memo.update(zip(odd, self._pieces([lead + w for w in odd])))
+        plain = [w for w in new if w not in memo] if odd else new
+        memo.update(zip(plain, self._joined([lead + w for w in plain])))
         for (i, words), head in zip(simple.items(), self._pieces(list(heads.values()))):
             out[i] = head + b"".join(map(memo.__getitem__, words)) + tail
         if len(memo) > MEMO:
