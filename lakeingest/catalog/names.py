@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeingest.catalog.samples import fresh, table, write_files, write_lines
+from lakeingest.catalog.samples import blocks, fresh, table, write_files, write_lines
 from lakeingest.functions import files as ff
 from lakeingest.functions import names as nm
 from lakeingest.functions.values import coordinate_value, id_text
-from lakeingest.operators.framing import output_names, write_parquet
+from lakeingest.operators.framing import write_parquet
 from lakeingest.options import IngestOptions
 from lakeingest.plans.ingest import ingest
 from lakeingest.session import qualified
 from lakeingest.sources.listing import list_files, list_sources, sniff, validate_sources
 from lakeingest.sources.remote import hash_files
 
+NAMED_ROWS = 500
 _EXTENSIONS = "'csv', 'XLSX', 'json', 'ndjson', 'JsonL', 'parquet', 'txt', 'CSV'"
 _SENSITIVE = "'CPF', ' Código ', 'INSCRIÇÃO', 'titulo eleitoral', 'Título_Eleitoral', 'CPF/CNPJ', 'Seção', 'nome'"
 _COORDINATES = "'Latitude', 'lat_obs', 'platô', ' LNG ', 'x_lon', 'flat', 'Longitúde_GPS', 'lonja', 'lng', 'minha_lat'"
@@ -32,10 +33,11 @@ def extension_of(lang):
     )
 
 
-def document_files(spark: SparkSession, sf_dir: str, folder: str) -> str:
-    """One file per document, its text as content."""
+def document_files(spark: SparkSession, sf_dir: str, folder: str, other: str = ".txt") -> str:
+    """One file per document, its text as content; ``other`` ends the names of German ones."""
     docs = table(spark, sf_dir, "documents")
-    name = F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), extension_of(F.col("lang")))
+    ending = F.when(F.col("lang") == "de", other).otherwise(extension_of(F.col("lang")))
+    name = F.concat("source", F.lit("/doc_"), F.col("doc_id").cast("string"), ending)
     return write_files(docs.select(name.alias("name"), F.encode("text", "UTF-8").alias("content")), folder)
 
 
@@ -78,7 +80,7 @@ def validate_sources_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = document_files(spark, sf_dir, fresh(spark, "content_hash") + "/arquivos")
+    folder = document_files(spark, sf_dir, fresh(spark, "content_hash") + "/arquivos", ".ndjson")
     return hash_files(list_sources(spark, [folder])).select(below(folder).alias("arquivo"), "hash_sha256")
 
 
@@ -122,16 +124,20 @@ def normalize_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), "nome")
 
 
+def candidate_names(spark: SparkSession, sf_dir: str, listed: str) -> DataFrame:
+    """Names for the predicates: listed ones by part, alone and joined to a part's first word, and every word of the conversations."""
+    part = table(spark, sf_dir, "part").withColumn("nome", pick(listed, "p_partkey"))
+    joined = part.select(F.concat_ws("_", F.split_part("p_name", F.lit(" "), F.lit(1)), "nome").alias("nome"))
+    words = table(spark, sf_dir, "conversations").select(F.explode(F.split("text", "[ \n]+")).alias("nome"))
+    return part.select("nome").unionByName(joined).unionByName(words).groupBy("nome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def sensitive_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").withColumn("nome", pick(_SENSITIVE, "p_partkey")).select(
-        "p_partkey", "nome", nm.is_sensitive_col(F.col("nome")).alias("sensivel")
-    )
+    return candidate_names(spark, sf_dir, _SENSITIVE).select("nome", "n", nm.is_sensitive_col(F.col("nome")).alias("sensivel"))
 
 
 def coordinate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").withColumn("nome", pick(_COORDINATES, "p_partkey")).select(
-        "p_partkey", "nome", nm.is_coordinate_col(F.col("nome")).alias("coordenada")
-    )
+    return candidate_names(spark, sf_dir, _COORDINATES).select("nome", "n", nm.is_coordinate_col(F.col("nome")).alias("coordenada"))
 
 
 def coordinate_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,15 +169,24 @@ def float_to_id_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_names_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many sources share a base name across folders and extensions."""
-    path = F.concat(
-        F.lit("/lago/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("/"), "lang",
-        F.substr("text", F.lit(1), F.lit(1)), F.lit(".csv"),
-    )
-    docs = table(spark, sf_dir, "documents").select(path.alias("path"))
-    hashed = output_names(docs).select("path", "dataset")
-    last = output_names(docs, "overwrite").where("kept").select("path", F.col("dataset").alias("sobrescrito"))
-    return hashed.join(last, "path", "left")
+    """Orders as files of a fixed number of rows, many of which share a base name: datasets of two runs, one of
+    which lets the last path of a name overwrite the others."""
+    folder = fresh(spark, "output_names")
+    orders = table(spark, sf_dir, "orders").withColumn("value", F.col("o_orderkey").cast("string"))
+    parts = blocks(orders, "o_orderkey", NAMED_ROWS)
+    name = F.format_string("d%06d/nome%d.csv", F.col("bloco"), F.col("bloco") * F.col("bloco") % 7)
+    files = write_files(parts.select(name.alias("name"), F.concat(F.lit("k\n"), "body").alias("content")), f"{folder}/nomes")
+    run = lambda how: ingest(spark, [files], f"{folder}/{how}", IngestOptions(collision=how, hash_sources=False))
+    hashed, kept = run("hash"), run("overwrite")
+    audit = hashed.audit.select(
+        F.regexp_extract("caminho_original", r"/nomes/(.*)$", 1).alias("arquivo"), "linhas_lidas",
+        F.regexp_extract(F.get("caminho_parquet_gerado", F.lit(0)), r"lake_source=(.*)$", 1).alias("dataset"))
+    parts_of = F.regexp_extract("dataset", r"^(.*?)(__[0-9a-f]{32})?\.parquet$", 1).alias("base")
+    alone = audit.groupBy("dataset").agg(F.count(F.lit(1)).alias("donos"))
+    left = kept.table(keep_source=True).groupBy("lake_source").agg(F.min("k").alias("k"))
+    ends = left.select(F.floor(F.col("k") / NAMED_ROWS).alias("bloco"), F.col("lake_source").alias("sobrescrito"))
+    return audit.join(alone, "dataset").withColumn("bloco", F.substring("arquivo", 2, 6).cast("bigint")).join(ends, "bloco", "left").select(
+        "arquivo", "linhas_lidas", parts_of, F.col("dataset").rlike("__[0-9a-f]{32}").alias("com_hash"), "donos", "sobrescrito")
 
 
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,6 +236,14 @@ def _names(array: str, key: str) -> str:
     return f"list_extract([{array}], CAST({key} % len([{array}]) AS INT) + 1)"
 
 
+def _candidates(listed: str) -> str:
+    return rf"""
+        p AS (SELECT p_name, {_names(listed, 'p_partkey')} AS nome FROM part),
+        c AS (SELECT nome, count(*) AS n FROM (
+            SELECT nome FROM p UNION ALL SELECT split_part(p_name, ' ', 1) || '_' || nome FROM p
+            UNION ALL SELECT unnest(regexp_split_to_array(text, '[ \n]+')) FROM conversations) GROUP BY nome)"""
+
+
 _DOC_NAME = (
     "source || '/doc_' || doc_id || CASE lang WHEN 'en' THEN '.csv' WHEN 'fr' THEN '.JSON' "
     "WHEN 'es' THEN '.jsonl' ELSE '.txt' END"
@@ -256,8 +279,8 @@ ORACLE = {
                  THEN 'Arquivo não encontrado' ELSE 'O caminho não é um arquivo' END
         FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source""",
     "content_hash": f"""
-        SELECT {_DOC_NAME} AS arquivo, sha256(text) AS hash_sha256
-        FROM documents WHERE lang IN ('en', 'fr', 'es')""",
+        SELECT CASE lang WHEN 'de' THEN source || '/doc_' || doc_id || '.ndjson' ELSE {_DOC_NAME} END AS arquivo,
+               sha256(text) AS hash_sha256 FROM documents""",
     "detect_encoding": r"""
         SELECT doc_id, CASE WHEN lang IN ('fr', 'de') AND regexp_matches(text, '[^\x00-\x7F]')
                  THEN 'cp1252' ELSE 'utf-8-sig' END AS encoding FROM documents""",
@@ -279,11 +302,11 @@ ORACLE = {
         r AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, base ORDER BY pos) - 1 AS n FROM b)
         SELECT conv_id, turn, pos, CASE WHEN n = 0 THEN base ELSE base || '_' || n END AS nome FROM r""",
     "sensitive_columns": f"""
-        SELECT p_partkey, {_names(_SENSITIVE, 'p_partkey')} AS nome,
-               {_names(_SENSITIVE, 'p_partkey')} NOT IN ('titulo eleitoral', 'CPF/CNPJ', 'nome') AS sensivel FROM part""",
+        WITH {_candidates(_SENSITIVE)}
+        SELECT nome, n, strip_accents(lower(trim(nome))) IN ({', '.join(f"'{x}'" for x in sorted(nm.SENSITIVE_NAMES))}) AS sensivel FROM c""",
     "coordinate_columns": f"""
-        SELECT p_partkey, {_names(_COORDINATES, 'p_partkey')} AS nome,
-               {_names(_COORDINATES, 'p_partkey')} NOT IN ('platô', 'flat', 'lonja') AS coordenada FROM part""",
+        WITH {_candidates(_COORDINATES)}
+        SELECT nome, n, regexp_matches(strip_accents(lower(trim(nome))), '{nm.COORDINATE_PATTERN}') AS coordenada FROM c""",
     "coordinate_cast": """
         SELECT c_custkey AS chave, CASE WHEN c_mktsegment NOT IN ('HOUSEHOLD', 'BUILDING') THEN c_acctbal END AS latitude,
                c_name AS rua FROM customer""",
@@ -294,12 +317,12 @@ ORACLE = {
                CASE WHEN big % 1 = 0 THEN CAST(CAST(big AS BIGINT) AS VARCHAR) ELSE CAST(big AS VARCHAR) END AS grande,
                CASE WHEN l_discount % 1 = 0 THEN CAST(CAST(l_discount AS BIGINT) AS VARCHAR)
                     ELSE CAST(l_discount AS VARCHAR) END AS fracao FROM t""",
-    "output_names": """
-        WITH p AS (SELECT '/lago/' || source || '/' || doc_id || '/' || lang || left(text, 1) || '.csv' AS path,
-                          lang || left(text, 1) AS base FROM documents),
-        s AS (SELECT base, count(*) AS n, max(path) AS ultimo FROM p GROUP BY base)
-        SELECT path, CASE WHEN n > 1 THEN base || '__' || left(sha256(path), 8) ELSE base END || '.parquet' AS dataset,
-               CASE WHEN path = ultimo THEN base || '.parquet' END AS sobrescrito FROM p JOIN s USING (base)""",
+    "output_names": f"""
+        WITH b AS (SELECT o_orderkey // {NAMED_ROWS} AS bloco, count(*) AS linhas_lidas FROM orders GROUP BY ALL),
+        p AS (SELECT *, 'nome' || (bloco * bloco % 7) AS base FROM b),
+        s AS (SELECT base, count(*) AS n, max(bloco) AS ultimo FROM p GROUP BY base)
+        SELECT 'd' || printf('%06d', bloco) || '/' || base || '.csv' AS arquivo, linhas_lidas, base, n > 1 AS com_hash,
+               1 AS donos, CASE WHEN bloco = ultimo THEN base || '.parquet' END AS sobrescrito FROM p JOIN s USING (base)""",
     "parquet_roundtrip": """
         SELECT codec, count(*) AS linhas, round(sum(l_quantity), 2) AS quantidade, max(l_shipdate) AS ultimo
         FROM lineitem, (VALUES ('snappy'), ('ZSTD'), ('none'), ('outro')) AS c(codec) GROUP BY codec""",

@@ -124,18 +124,19 @@ def registry_evolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries appended in two goes keep distinct, rising ids."""
+    """Entries appended in two goes: the first go's ids come first, without gaps."""
     folder = fresh(spark, "registry_append") + "/registro"
     o = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").cast("string").alias("transaction_id"), F.lit("a@x.org").alias("email"), "o_orderstatus"
     )
     rg.append_rows(spark, o.where("o_orderstatus = 'F'"), folder)
     rg.append_rows(spark, o.where("o_orderstatus <> 'F'"), folder)
-    back = spark.read.parquet(folder)
-    return back.agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("transaction_id").alias("tx"),
-        F.count_if(F.col("status") == rg.ACTIVE).alias("ativas"),
-    )
+    first = o.where("o_orderstatus = 'F'").count()
+    ids = spark.read.parquet(folder).select("id", "transaction_id", "email", "status")
+    # With ids from 1 on and no gaps, the sorted ids are the positions; a repeated or skipped one would pair badly.
+    every = spark.range(1, o.count() + 1).select("id", F.lit(True).alias("no_lugar"))
+    return ids.join(every, "id", "full").select(
+        "transaction_id", "email", "status", (F.col("id") <= first).alias("primeira"), F.coalesce("no_lugar", F.lit(False)).alias("no_lugar"))
 
 
 def stream_registry_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,7 +201,8 @@ ORACLE = {
         WITH {_FOLD} SELECT transaction_id, status FROM r WHERE transaction_id IN (
             SELECT CAST(o_custkey AS VARCHAR) FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey <> 7)""",
     "registry_append": """
-        SELECT count(*) AS n, count(*) AS ids, count(DISTINCT o_orderkey) AS tx, count(*) AS ativas FROM orders""",
+        SELECT CAST(o_orderkey AS VARCHAR) AS transaction_id, 'a@x.org' AS email, 'ativa' AS status,
+               o_orderstatus = 'F' AS primeira, true AS no_lugar FROM orders""",
     "registry_evolve": """
         SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS emitida_em, 'perpetua' AS tipo,
                CASE WHEN o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderkey % 2 = 0) THEN 'revogada'

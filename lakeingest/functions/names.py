@@ -45,6 +45,11 @@ def strip_accents_col(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _FOLD_FROM, _FOLD_TO), r"\p{Mn}", "")
 
 
+# What parts the words of a name, and what a word keeps.
+SEPARATORS, WORD = r"[\s\x1c-\x1f\-/\\_]+", "a-z0-9"
+_MAIL = re.compile("e[-_]mail")
+
+
 def trim_all(c: Column) -> Column:
     """Trim every kind of white space; Spark's ``trim`` removes blanks only."""
     return F.btrim(c, F.lit(WHITESPACE))
@@ -71,17 +76,15 @@ def normalize_name(name: str | None) -> str:
     """Lower-case ASCII name of letters, digits and single inner underscores."""
     if not name:
         return UNNAMED
-    text = re.sub(r"e[-_]mail", "email", name.lower().strip())
-    text = re.sub(r"[\s\-/\\]+", "_", strip_accents(text))
-    text = re.sub(r"_+", "_", re.sub(r"[^a-z0-9_]", "", text)).strip("_")
-    return text or EMPTIED
+    words = re.split(SEPARATORS, strip_accents(_MAIL.sub("email", name.lower().strip())))
+    return "_".join(filter(None, (re.sub(f"[^{WORD}]", "", w) for w in words))) or EMPTIED
 
 
 def normalize_name_col(c: Column) -> Column:
-    text = F.regexp_replace(trim_all(F.lower(c)), r"e[-_]mail", "email")
-    text = F.regexp_replace(strip_accents_col(text), r"(?U)[\s\x1c-\x1f\-/\\]+", "_")
-    text = F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9_]", ""), r"_+", "_")
-    text = F.btrim(text, F.lit("_"))
+    """The same rule: cut at separators, clean each word, join what is left."""
+    folded = strip_accents_col(F.regexp_replace(trim_all(F.lower(c)), _MAIL.pattern, "email"))
+    words = F.transform(F.split(folded, f"(?U){SEPARATORS}"), lambda w: F.regexp_replace(w, f"[^{WORD}]", ""))
+    text = F.array_join(F.filter(words, lambda w: w != ""), "_")
     return F.when(F.coalesce(c, F.lit("")) == "", UNNAMED).when(text == "", EMPTIED).otherwise(text)
 
 

@@ -7,11 +7,11 @@ nor the per-event outcome ever gathers the events of one transaction in one plac
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeingest.operators.skew import HOT_ROWS, join_skewed
-from lakeingest.session import qualified, work_folder
+from lakeingest.session import hadoop_path, remove_tree, work_folder
 
 # Event names and registry words of the contract.
 APPROVED = "PURCHASE_APPROVED"
@@ -122,13 +122,31 @@ def lookup(registry: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def append_rows(spark: SparkSession, rows: DataFrame, folder: str) -> None:
-    """Append entries with fresh ascending ids. Missing columns get their defaults."""
-    last = 0
-    if qualified(spark, folder):
-        last = spark.read.parquet(folder).agg(F.max("id")).first()[0] or 0
-    rows = with_defaults(rows).drop("id")
-    numbered = rows.select((F.monotonically_increasing_id() + last + 1).alias("id"), *rows.columns)
-    numbered.write.mode("append").parquet(folder)
+    """Append entries with ids that go on without gaps. Missing columns get their defaults.
+
+    A mark in the folder keeps a second writer out; it is left behind only if this process dies, and the
+    error names it. The rows are written once with their place in their partition, so that the ids follow
+    from one count per partition and stay the same if a task runs again.
+    """
+    fs, mark = hadoop_path(spark, f"{folder}/_append")
+    if not fs.createNewFile(mark):
+        raise RuntimeError(f"another append holds {mark}")
+    staged = work_folder(spark, "append")
+    try:
+        rows = with_defaults(rows).drop("id")
+        seen = (entry for entry in fs.listStatus(mark.getParent()) if not entry.getPath().getName().startswith(("_", ".")))
+        last = spark.read.parquet(folder).agg(F.max("id")).first()[0] or 0 if next(seen, None) else 0
+        place = F.monotonically_increasing_id()
+        rows.select(*rows.columns, F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_at")).write.parquet(staged)
+        placed = spark.read.parquet(staged)
+        before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+        sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+        starts = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+        numbered = placed.join(starts, "_part").select((F.col("_start") + F.col("_at") + last + 1).alias("id"), *rows.columns)
+        numbered.write.mode("append").parquet(folder)
+    finally:
+        fs.delete(mark, False)
+        remove_tree(spark, staged)
 
 
 def with_defaults(rows: DataFrame) -> DataFrame:

@@ -16,17 +16,17 @@ def run(spark, drop, **options):
 
 
 def test_identifiers_and_encodings(spark, drop):
-    drop("a.csv", "nome,cpf,cep\nJoão,012345,01001\nMaria,987654,02002\n")
-    drop("b.csv", "nome;cpf;inscrição\nJoão;00123;555\nMaria;99999;666\n".encode("cp1252"))
+    drop("a.csv", "nome,cpf,cep\nInês,000917,00431\nZé,73,5\n")
+    drop("b.csv", "nome;cpf;inscrição\nÂngelo;0004;07\nÚrsula;8;61\n".encode("cp1252"))
     result = run(spark, drop)
     audit = {r.nome_original: r for r in result.audit.collect()}
     assert (audit["a.csv"].csv_encoding, audit["a.csv"].csv_separador) == ("utf-8-sig", ",")
     assert (audit["b.csv"].csv_encoding, audit["b.csv"].csv_separador) == ("cp1252", ";")
     assert audit["b.csv"].tipos_inferidos == {"nome": "String", "cpf": "String", "inscrição": "String"}
     a = spark.read.parquet(audit["a.csv"].caminho_parquet_gerado[0])
-    assert rows(a, "nome") == [("João", "012345", "01001"), ("Maria", "987654", "02002")]
+    assert rows(a, "nome") == [("Inês", "000917", "00431"), ("Zé", "73", "5")]
     b = spark.read.parquet(audit["b.csv"].caminho_parquet_gerado[0])
-    assert rows(b, "nome")[0] == ("João", "00123", "555")
+    assert rows(b, "nome")[1] == ("Ângelo", "0004", "07")
 
 
 def test_sample_with_normalized_headers(spark, drop):

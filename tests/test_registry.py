@@ -1,7 +1,9 @@
 import datetime
 import json
+import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lakeingest.operators import registry as rg
@@ -84,7 +86,13 @@ def test_append_evolve_lookup(spark, tmp_path):
     rg.append_rows(spark, spark.createDataFrame([("c@x", "T1"), ("d@x", None)], "email string, transaction_id string"), folder)
     back = rg.read_registry(spark, folder)
     assert {r.status for r in back.collect()} == {"ativa"} and back.select("id").distinct().count() == 4
-    assert back.where("email in ('c@x', 'd@x')").agg(F.min("id")).first()[0] > 2
+    assert sorted(r.id for r in back.where("email in ('c@x', 'd@x')").collect()) == [3, 4]
+    rg.append_rows(spark, spark.range(50).selectExpr("concat('m', id) as email").repartition(7), folder)
+    assert sorted(r.id for r in rg.read_registry(spark, folder).select("id").collect()) == list(range(1, 55))
+    open(f"{folder}/_append", "w").close()  # as if another writer were at it
+    with pytest.raises(RuntimeError):
+        rg.append_rows(spark, spark.createDataFrame([("z@x",)], "email string"), folder)
+    os.remove(f"{folder}/_append")
     keys = spark.createDataFrame([("T1",), (None,), ("T1",)], "transaction_id string")
     assert [r.email for r in rg.lookup(back, keys).collect()] == ["c@x"]
 
