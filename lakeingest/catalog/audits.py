@@ -64,11 +64,11 @@ def audit_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of the text reports that do not depend on when and where the run took place."""
+    """All lines of the text reports but those that tell when and where the run took place."""
     audit = mixed_run(spark, sf_dir, "audit_text", continue_on_error=True).audit
     text = audit.select("nome_original", report_text(audit).alias("texto"))
     return text.select("nome_original", F.explode(F.split("texto", "\n")).alias("linha")).where(
-        F.col("linha").rlike("^(Status|  Formato|  Separador|  Total|    - '|  - Linha|LINHAS|  - ... e)")
+        ~F.col("linha").rlike("^(Data/Hora|Tempo|  Caminho|  - file:|  - /)")
     )
 
 
@@ -124,22 +124,42 @@ ORACLE = {
                count(*) FILTER (status = 'erro') AS erros,
                CAST(coalesce(sum(linhas_lidas) FILTER (status <> 'erro'), 0) AS BIGINT) AS total_linhas FROM s""",
     "audit_text": f"""
-        WITH {_BASE}, cols AS (SELECT * FROM (VALUES ('Código', 'codigo'), ('Nome', 'nome'), ('saldo', 'saldo')) v(o, f)),
-        r AS (SELECT nome_original, c.pos FROM s JOIN c USING (bloco)
-              WHERE s.vez = 2 AND c.ruim QUALIFY row_number() OVER (PARTITION BY bloco ORDER BY c.pos) <= 10)
-        SELECT nome_original, 'Status Final:                ' || CASE status WHEN 'sucesso' THEN '✅ SUCESSO'
-                 WHEN 'erro' THEN '❌ ERRO' ELSE '⚠️ SUCESSO COM ALERTAS' END AS linha FROM s
-        UNION ALL SELECT nome_original, '  Formato Detectado:         ' || upper(formato) FROM s
-        UNION ALL SELECT nome_original, '  Separador:                 ,' FROM s WHERE vez = 0
-        UNION ALL SELECT nome_original, '  Total de Linhas Lidas:     ' || linhas_lidas FROM s
-        UNION ALL SELECT nome_original, '  Total de Colunas Lidas:    ' || CASE WHEN vez = 3 THEN 0 ELSE 3 END FROM s
+        WITH {_BASE}, cols AS (SELECT * FROM (VALUES ('Código', 'codigo', 'String'), ('Nome', 'nome', 'String'), ('saldo', 'saldo', 'Float64')) v(o, f, t)),
+        t AS (SELECT *, '{{"Código":' || c_custkey || ',"Nome":"' || c_name || '","saldo":' || c_acctbal || '}}' AS doc FROM c),
+        l AS (SELECT *, CASE WHEN vez = 0 THEN c_custkey || ',' || c_name || ',' || c_acctbal
+                 WHEN vez = 2 AND ruim THEN doc || '}}' ELSE doc END AS linha_fonte FROM t),
+        k AS (SELECT bloco, CASE vez WHEN 0 THEN 'Código,Nome,saldo' || chr(10) WHEN 3 THEN '[' ELSE '' END
+                 || string_agg(linha_fonte, chr(10) ORDER BY c_custkey) AS conteudo FROM l GROUP BY bloco, vez),
+        a AS (SELECT s.*, octet_length(encode(conteudo)) AS bytes, sha256(conteudo) AS hash,
+                 CASE WHEN vez = 3 THEN 'arquivo JSON malformado' WHEN status = 'erro'
+                   THEN 'Nenhum registro válido encontrado no arquivo' END AS erro FROM s JOIN k USING (bloco)),
+        r AS (SELECT nome_original, l.pos, linha_fonte FROM s JOIN l USING (bloco)
+              WHERE s.vez = 2 AND l.ruim QUALIFY row_number() OVER (PARTITION BY bloco ORDER BY l.pos) <= 10),
+        fixas AS (SELECT nome_original, unnest([repeat('=', 70), repeat('=', 70), repeat('=', 70), '{"RELATÓRIO TÉCNICO DE CONVERSÃO".center(70)}',
+                 'ARQUIVO ORIGEM:', 'DADOS GERADOS E ESTRUTURA:', 'ARQUIVOS DESTINO GERADOS:', '{"  Compressão Usada:".ljust(29)}SNAPPY',
+                 repeat('-', 70), repeat('-', 70), repeat('-', 70), repeat('-', 70)]) AS linha FROM a),
+        csv AS (SELECT nome_original, unnest(['CONFIGURAÇÃO CSV DETECTADA:', '{"  Encoding:".ljust(29)}utf-8-sig',
+                 '{"  Separador:".ljust(29)},', repeat('-', 70)]) AS linha FROM a WHERE vez = 0),
+        colunas AS (SELECT nome_original, unnest(['  Mapeamento de Colunas:', '  Tipos de Campos Inferidos no Parquet:']) AS linha FROM a WHERE vez <> 3),
+        erros AS (SELECT nome_original, unnest(['ERROS OCORRIDOS DURANTE O PROCESSO:', '  - ' || erro, repeat('-', 70)]) AS linha FROM a WHERE erro IS NOT NULL)
+        SELECT nome_original, '{"Status Final:".ljust(29)}' || CASE status WHEN 'sucesso' THEN '✅ SUCESSO'
+                 WHEN 'erro' THEN '❌ ERRO' ELSE '⚠️ SUCESSO COM ALERTAS' END AS linha FROM a
+        UNION ALL FROM fixas UNION ALL FROM csv UNION ALL FROM colunas UNION ALL FROM erros
+        UNION ALL SELECT nome_original, '{"  Nome:".ljust(29)}' || nome_original FROM a
+        UNION ALL SELECT nome_original, '{"  Formato Detectado:".ljust(29)}' || upper(formato) FROM a
+        UNION ALL SELECT nome_original, '{"  Tamanho:".ljust(29)}' || bytes || ' bytes' FROM a
+        UNION ALL SELECT nome_original, '{"  SHA-256 Hash:".ljust(29)}' || hash FROM a
+        UNION ALL SELECT nome_original, '{"  Total de Linhas Lidas:".ljust(29)}' || CASE WHEN status = 'erro' THEN 0 ELSE linhas_lidas END FROM a
+        UNION ALL SELECT nome_original, '{"  Total de Colunas Lidas:".ljust(29)}' || CASE WHEN vez = 3 THEN 0 ELSE 3 END FROM a
         UNION ALL SELECT nome_original, '    - ''' || o || '''' || CASE WHEN o <> f THEN ' -> ''' || f || '''' ELSE '' END
-                  FROM s, cols WHERE vez <> 3
-        UNION ALL SELECT nome_original, 'LINHAS INVÁLIDAS PULADAS (NDJSON/JSONL) - Total: ' || ndjson_total_invalidas || ':'
-                  FROM s WHERE ndjson_total_invalidas > 0
+                  FROM a, cols WHERE vez <> 3
+        UNION ALL SELECT nome_original, '    - ' || f || ': ' || t FROM a, cols WHERE vez <> 3
+        UNION ALL SELECT nome_original, unnest(['LINHAS INVÁLIDAS PULADAS (NDJSON/JSONL) - Total: ' || ndjson_total_invalidas || ':', repeat('-', 70)])
+                  FROM a WHERE ndjson_total_invalidas > 0
         UNION ALL SELECT nome_original, '  - Linha ' || pos || ': JSON inválido' FROM r
+        UNION ALL SELECT nome_original, '    Conteúdo: ' || linha_fonte FROM r
         UNION ALL SELECT nome_original, '  - ... e mais linhas inválidas (veja o relatório JSON para detalhes)'
-                  FROM s WHERE ndjson_total_invalidas > 10""",
+                  FROM a WHERE ndjson_total_invalidas > 10""",
     "fault_policy": f"""
         WITH {_BASE}, f AS (SELECT *, vez = 3 OR (vez = 2 AND ruins > 0) AS falha FROM s),
         stop AS (SELECT coalesce(min(bloco) FILTER (falha), 1000000000000) AS fim FROM f)
