@@ -53,6 +53,8 @@ _OUTSIDE_NAMES = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login search share sharing social related recommended recommendations "
     "comment comments respond reply replies discussion disqus pagination pager skip copyright legal disclaimer".split())
 _OUTSIDE_ROLES = frozenset("navigation banner complementary contentinfo search dialog alert alertdialog menu menubar form toolbar".split())
+#: A class that begins so tells a state of the element, not what it is: ``has-sidebar``.
+_STATES = frozenset("has with without no is show hide layout page theme".split())
 _MAIN_NAMES = frozenset("article main content post entry story".split())
 
 _TOKEN = re.compile(
@@ -61,8 +63,11 @@ _NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*
 _LETTERS = re.compile(r"[a-zA-Z]+")
 
 
-def _opened(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """A token for the path, and whether the element lies outside the main text, or is a main container."""
+def _opened(tag: str, attributes: str, by_name: bool) -> tuple[str, bool, bool]:
+    """A token for the path, and whether the element lies outside the main text, or is a main container.
+
+    ``by_name``: class and id count as signs of what lies outside.
+    """
     outside, main, names = tag in _OUTSIDE, tag in ("article", "main"), []
     if attributes:
         for name, *values in _NAMED.findall(attributes):
@@ -75,13 +80,24 @@ def _opened(tag: str, attributes: str) -> tuple[str, bool, bool]:
             elif name in ("class", "id"):
                 words = [w for part in value.split() if not any(c.isdigit() for c in part) for w in _LETTERS.findall(part)]
                 names += words[:2]
-                outside = outside or not _OUTSIDE_NAMES.isdisjoint(_LETTERS.findall(value)) and tag not in ("body", "html")
+                if by_name and tag not in ("body", "html"):
+                    for part in value.split():
+                        said = _LETTERS.findall(part)
+                        outside = outside or said and said[0] not in _STATES and not _OUTSIDE_NAMES.isdisjoint(said)
                 main = main or not _MAIN_NAMES.isdisjoint(words) and tag in ("div", "section", "td")
-    return ".".join([tag, *sorted(names)[:2]]), outside, main and not outside
+    return ".".join([tag, *sorted(names)[:2]]), bool(outside), main and not outside
 
 
 def read_blocks(html: str | None) -> list[tuple[str, str, bool, str]]:
-    """``(path, text, outside, container)`` of every text block; ``container`` is the path of the innermost main container or empty."""
+    """``(path, text, outside, container)`` of every text block; ``container`` is the path of the innermost main container or empty.
+
+    Where names leave nothing inside, they were misread, and only elements and roles count.
+    """
+    found = _blocks(html, True)
+    return found if not found or any(not b[2] for b in found) else _blocks(html, False)
+
+
+def _blocks(html: str | None, by_name: bool) -> list[tuple[str, str, bool, str]]:
     out: list[tuple[str, str, bool, str]] = []
     stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]
     text: list[str] = []
@@ -147,7 +163,7 @@ def read_blocks(html: str | None) -> list[tuple[str, str, bool, str]]:
                     break
                 if stack[k][0] not in _HEADING:
                     break
-            name, outside, main = _opened(tag, attributes)
+            name, outside, main = _opened(tag, attributes, by_name)
             _, path, above, container = stack[-1]
             path = f"{path}>{name}" if path else name
             if tag == "header":  # of the site, or of an article, of which headings stay

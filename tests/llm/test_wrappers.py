@@ -41,6 +41,12 @@ def test_hard_pages(spark):
     assert w.main_text(rows(spark, [])).collect() == []
 
 
+def test_names_of_states_and_misread_names():
+    page = "<body class=has-sidebar><nav>Home</nav><div class='page with-sidebar'><div class=content><p>inside</p></div><div class=sidebar>out</div></div>"
+    assert [(t, o) for _, t, o, _ in w.read_blocks(page)] == [("Home", True), ("inside", False), ("out", True)]
+    assert w.extract("<div class=widget><p>only text</p></div><nav>Menu</nav>", None) == "only text"
+
+
 def test_folding_and_alignment():
     blocks = [("a", str(k), False, "") if k % 2 else ("b", str(k), False, "") for k in range(8)]
     nodes = w.stream([("h", "t", False, ""), *blocks, ("f", "end", False, "")])
