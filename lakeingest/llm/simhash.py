@@ -41,6 +41,8 @@ PART, STRIP = 4096, 256
 #: The stage: shingle, similarity, words of 64 bits, differing bits of all (similarity 0.8 makes 78 in the mean
 #: with a deviation of 8, so 90 find 93 of 100 such pairs and nearly all of 0.83 and more) and of the first word
 #: (20 leave out fewer than one in a thousand pairs of similarity 0.8).
+#: Its tiles are few and large: a fingerprint goes to as many groups as there are parts near it, so parts are larger.
+WIDE_PART = 16384
 WIDE_SHINGLE, SIMILAR, WORDS, WIDE_RADIUS, FIRST_RADIUS = 5, 0.8, 8, 90, 20
 
 
@@ -269,7 +271,7 @@ def group_similar(docs: DataFrame, similar: float = SIMILAR, radius: int = WIDE_
     distinct, _ = stored(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.min("size").alias("size")), "wide-distinct")
     # Sets of which one is smaller than ``similar`` times the other cannot reach it: their classes are not adjacent.
     key = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-np.log(similar).item())).cast("bigint")
-    return _grouped(fps, distinct, links(distinct.select("fp", key.alias("key")), [0, 1], radius, FIRST_RADIUS))
+    return _grouped(fps, distinct, links(distinct.select("fp", key.alias("key")), [0, 1], radius, FIRST_RADIUS, WIDE_PART))
 
 
 def hexadecimal(fp: Column) -> Column:
