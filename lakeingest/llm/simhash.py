@@ -13,9 +13,12 @@ changes the work and never the result.
 
 ``keep_one``, the pipeline's stage, asks for a similarity (shared five-word shingles over all) of 0.8 or more.
 Near 0.8, fingerprints of 64 bits differ in about ten of them and vary too much to tell; it therefore takes
-512 bits over the distinct shingles, whose differing share estimates the similarity to about 0.03. A first
-word of 64 bits sieves the pairs, the rest decides. Its tiles are classes of shingle counts, of which only
-equal and adjacent ones can reach the similarity.
+512 bits over the distinct shingles. A first word of 64 bits sieves the pairs, the rest finds candidates, by a
+radius wide enough for 0.8. Its tiles are classes of shingle counts, of which only equal and adjacent ones can
+reach the similarity. Fingerprints only propose: the texts that candidates connect meet again with their whole
+sets of shingle hashes, and a candidate links only if the exact similarity is reached. Components are formed of
+these links. Crowded sets of candidates are cut into parts, as tiles are; pairs that links of a part already
+connect are not counted again, so that a large group of near copies costs little.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; fewer
 words than a shingle make one shingle; equal texts and repeated rows share a component. A component's id is
@@ -38,12 +41,13 @@ from lakeingest.llm.common import by_bytes, drop_stored, stored
 SHINGLE, SEED, RADIUS = 3, 42, 3
 #: Fingerprints in a part of a tile, and the rows of one exclusive-or.
 PART, STRIP = 4096, 256
-#: The stage: shingle, similarity, words of 64 bits, differing bits of all (similarity 0.8 makes 78 in the mean
-#: with a deviation of 8, so 90 find 93 of 100 such pairs and nearly all of 0.83 and more) and of the first word
-#: (20 leave out fewer than one in a thousand pairs of similarity 0.8).
-WIDE_SHINGLE, SIMILAR, WORDS, WIDE_RADIUS, FIRST_RADIUS = 5, 0.8, 8, 90, 20
+#: The stage: shingle, similarity, words of 64 bits, differing bits of a candidate in all words (similarity 0.8 makes
+#: 78 in the mean with a deviation of 8, and 96 with one of 9 for sets of four and five shingles) and in the first.
+WIDE_SHINGLE, SIMILAR, WORDS, WIDE_RADIUS, FIRST_RADIUS = 5, 0.8, 8, 128, 24
 #: Its tiles are few and large: a fingerprint goes to as many groups as there are parts near it, so parts are larger.
 WIDE_PART = 16384
+#: Sets of shingles in a part of connected candidates, and shingles of all of them.
+SETS, SHINGLES = 1024, 1 << 20
 
 
 def _hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -75,21 +79,24 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int = WORDS) -> tuple[bytes, int]:
-    """Majority bits of ``words`` mixes of the distinct shingles' hashes, and how many shingles there are."""
+    """Majority bits of ``words`` mixes of the distinct shingles' hashes, 128 bits that name their set, and their number."""
+    import xxhash
+
     hashes = np.unique(_hashes(text, shingle))
+    name = xxhash.xxh3_128_digest(hashes.tobytes())
     if not len(hashes):
-        return bytes(8 * words), 0
+        return bytes(8 * words) + name, 0
     mixed = hashes[:, None] + np.arange(words, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
-    return _majority(np.ascontiguousarray(mixed ^ (mixed >> np.uint64(31)))).tobytes(), len(hashes)
+    return _majority(np.ascontiguousarray(mixed ^ (mixed >> np.uint64(31)))).tobytes() + name, len(hashes)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
     """``(doc_id, th, fp)`` of every row, with ``wide`` also ``size``; a map without a shuffle.
 
     ``th`` is a hash of the text, which tells rows of one doc_id apart, ``fp`` the fingerprint: a signed long,
-    or binary if wide.
+    or binary if wide, with the name of the set behind, so that equal ones are equal sets.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,6 +171,32 @@ def forest(fps: np.ndarray, left: int, radius: int, first: int) -> np.ndarray:
     return label
 
 
+def _bits(names: np.ndarray) -> np.ndarray:
+    """The words of wide fingerprints, without the names of their sets."""
+    return np.frombuffer(b"".join(names), np.uint64).reshape(len(names), -1)[:, :WORDS]
+
+
+def exact_forest(fps: np.ndarray, sets: list[np.ndarray], left: int, radius: int, first: int, similar: float) -> np.ndarray:
+    """As ``forest``, but rows link only if their sets also have the similarity."""
+    label, sizes = np.arange(len(fps)), np.array([len(x) for x in sets])
+    values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+    codes, mark = np.split(codes, np.cumsum(sizes)[:-1]), np.zeros(len(values), bool)
+    for i in range(left or len(fps)):
+        other = np.arange(left or i + 1, len(fps))
+        alike = np.minimum(sizes[i], sizes[other]) >= similar * np.maximum(sizes[i], sizes[other]) - 1e-6
+        other = other[alike & (label[other] != label[i])]
+        differ = np.bitwise_count(fps[i] ^ fps[other])
+        other = other[(differ[:, 0] <= first) & (differ.sum(1, dtype=np.int64) <= radius)]
+        if not len(other):
+            continue
+        mark[codes[i]] = True
+        shared = np.array([np.count_nonzero(mark[codes[j]]) for j in other])
+        mark[codes[i]] = False
+        met = np.append(label[other[shared / np.maximum(sizes[i] + sizes[other] - shared, 1) >= similar]], label[i])
+        label[np.isin(label, met)] = met.min()
+    return label
+
+
 def links(tiled: DataFrame, steps: list[int], radius: int, first: int, part: int = PART) -> DataFrame:
     """``(fp, low)``: links between distinct fingerprints of ``tiled (fp, key)`` that connect what the radius connects.
 
@@ -197,8 +230,7 @@ def links(tiled: DataFrame, steps: list[int], radius: int, first: int, part: int
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["right", "fp"])
         names = group["fp"].to_numpy()
-        fps = names.view(np.uint64).reshape(-1, 1) if names.dtype != object else np.frombuffer(
-            b"".join(names), np.uint64).reshape(len(names), -1)
+        fps = names.view(np.uint64).reshape(-1, 1) if names.dtype != object else _bits(names)
         left = int((~group["right"]).sum())
         label = forest(fps, left if left < len(fps) else 0, radius, first)
         linked = np.nonzero(label != np.arange(len(label)))[0]
@@ -209,6 +241,45 @@ def links(tiled: DataFrame, steps: list[int], radius: int, first: int, part: int
     return both.groupBy("ka", "pa", "kb", "pb").applyInPandas(compare, f"fp {kind}, low {kind}")
 
 
+def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """``(fp, root, shingles)`` of ``members (fp, root, doc_id, th)``: the hashes of each one's distinct shingles."""
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    few = members.select("fp", "root", F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"))
+    met = texts.join(few, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th"))).select("fp", "root", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "text"):
+            found = [np.unique(_hashes(t, WIDE_SHINGLE)).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(found, pa.binary())], names=["fp", "root", "shingles"])
+
+    # Repeated rows of one doc_id and text come once.
+    return met.mapInArrow(run, "fp binary, root binary, shingles binary").dropDuplicates(["fp"])
+
+
+def verified(sets: DataFrame, similar: float, radius: int, first: int, part: int = SETS, shingles: int = SHINGLES) -> DataFrame:
+    """``(fp, low)``: links that connect what candidates of exact similarity connect, within each root of ``sets``."""
+    sizes = sets.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("shingles") / 8).alias("s"))
+    sizes, _ = stored(sizes.select("root", F.ceil(F.greatest(F.col("n") / part, F.col("s") / shingles, F.lit(1))).cast("int").alias("parts")), "set-parts")
+    dealt = sets.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    rows = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "fp", "shingles", "root", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"),
+        (F.col("part") > F.col("other")).alias("right"))
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["right", "fp"])
+        names, right = group["fp"].to_numpy(), group["right"].to_numpy(bool)
+        left = int((~right).sum())
+        if group["a"].iloc[0] != group["b"].iloc[0] and left in (0, len(group)):  # one of the parts has no rows
+            return pd.DataFrame({"fp": [], "low": []})
+        found = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
+        label = exact_forest(_bits(names), found, left if left < len(names) else 0, radius, first, similar)
+        linked = np.nonzero(label != np.arange(len(label)))[0]
+        return pd.DataFrame({"fp": names[linked], "low": names[label[linked]]})
+
+    return rows.groupBy("root", "a", "b").applyInPandas(compare, "fp binary, low binary")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of ``edges (x, y)``; the root is the component's smallest node.
 
@@ -266,12 +337,17 @@ def group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Data
 
 
 def group_similar(docs: DataFrame, similar: float = SIMILAR, radius: int = WIDE_RADIUS) -> DataFrame:
-    """The same by wide fingerprints: texts whose distinct five-word shingles are about ``similar`` or more are linked."""
+    """The same by wide fingerprints and exact counts: texts are linked if ``similar`` of their distinct five-word shingles are shared."""
     fps, _ = stored(fingerprints(docs, WIDE_SHINGLE, wide=True), "wide-fingerprints")
     distinct, _ = stored(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.min("size").alias("size")), "wide-distinct")
     # Sets of which one is smaller than ``similar`` times the other cannot reach it: their classes are not adjacent.
     key = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-np.log(similar).item())).cast("bigint")
-    return _grouped(fps, distinct, links(distinct.select("fp", key.alias("key")), [0, 1], radius, FIRST_RADIUS, WIDE_PART))
+    near, _ = stored(links(distinct.select("fp", key.alias("key")), [0, 1], radius, FIRST_RADIUS, WIDE_PART), "candidates")
+    roots = components(near.select(F.col("fp").alias("x"), F.col("low").alias("y")))
+    roots = roots.union(roots.select("root", "root").distinct())  # a root is no node of its own
+    members = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least.doc_id", "least.th")
+    sets, _ = stored(_sets(docs, members), "shingle-sets")
+    return _grouped(fps, distinct, verified(sets, similar, radius, FIRST_RADIUS))
 
 
 def hexadecimal(fp: Column) -> Column:

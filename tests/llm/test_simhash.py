@@ -93,5 +93,33 @@ def test_similar_texts_are_linked_and_others_are_not(spark):
     assert {r["doc_id"] for r in s.keep_one(docs).collect()} == set(got.values())
 
 
+def test_only_exact_similarity_links(spark):
+    """Pairs at any similarity about 0.8, short ones too: those of 0.8 and more are linked, and no others."""
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    rows, want = [], set()
+    for i in range(300):
+        text = [word() for _ in range(int(rng.integers(8, 300)))]
+        copy = text[: len(text) - int(rng.integers(0, len(text) // 3))] + [word() for _ in range(int(rng.integers(0, 3)))]
+        a, b = ({tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in (text, copy))
+        rows += [(i, " ".join(text)), (1000 + i, " ".join(copy))]
+        if len(a & b) / len(a | b) >= 0.8:
+            want.add(i)
+    got = {r["doc_id"]: r["component_id"] for r in s.group_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i in range(300) if got[1000 + i] == i} == want and 50 < len(want) < 250
+
+
+def test_verified_links_over_parts(spark):
+    """A chain of neighbours of 0.9, cut into many parts, stays one component; a neighbour of 0.7 is none."""
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[6 * k : 6 * k + 120]) for k in range(40)] + [" ".join(words[:100] + [f"v{k}" for k in range(20)])]
+    fps = [(s.wide_fingerprint(t)[0], b"r", np.unique(s._hashes(t, 5)).tobytes()) for t in texts]
+    sets = spark.createDataFrame(fps, "fp binary, root binary, shingles binary")
+    for part in (5, 1024):
+        found = s.verified(sets, 0.8, s.WIDE_RADIUS, s.FIRST_RADIUS, part=part)
+        roots = {bytes(r["node"]): bytes(r["root"]) for r in s.components(found.selectExpr("fp as x", "low as y")).collect()}
+        assert len({roots.get(f, f) for f, _, _ in fps[:40]}) == 1 and fps[40][0] not in roots
+
+
 def test_empty(nothing):
     assert s.group(nothing).collect() == [] and s.keep_one(nothing).collect() == []
