@@ -23,6 +23,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from os.path import commonprefix
 
 import pandas as pd
 import pyarrow as pa
@@ -224,17 +225,17 @@ def _merged(x: Node, y: Node) -> Node:
 def decide(wrapper: list[Node]) -> dict:
     """The main container of a host, and the constants in it that belong to the template."""
     inside = [x for x in wrapper if not x[7]]
-    varying = [x for x in inside if x[3] is None] or inside
+    # Repeated groups have no text to compare: unless another node differs between pages, nothing tells what varies.
+    differ = any(x[2] or x[3] is None and not x[1] for x in inside)
+    varying = [x for x in inside if x[3] is None or x[2] and x[4] == 1] if differ else inside
+    varying = varying or inside
     named = [x for x in varying if x[6]] or [x for x in inside if x[6]]
-    mass: dict[str, int] = {}
-    for x in named or varying:
-        place = x[6] or x[0][0].rpartition(">")[0]
-        mass[place] = mass.get(place, 0) + x[5]
-    if not mass:
+    if not varying:
         return {"named": False, "at": None, "drop": []}
-    at = max(sorted(mass), key=lambda p: mass[p])
     if named:
         return {"named": True, "at": "", "drop": _template(inside, lambda x: bool(x[6]))}
+    # The lowest element above all varying text.
+    at = ">".join(commonprefix([p.split(">")[:-1] for x in varying for p in x[0]]))
     return {"named": False, "at": at, "drop": _template(inside, lambda x: _below(x[0][0], at))}
 
 

@@ -54,3 +54,10 @@ def test_folding_and_alignment():
     other = w.stream([("h", "u", False, ""), ("n", "only here", False, ""), ("f", "end", False, "")])
     both = {tuple(x[0]): (x[1], x[2], x[3] is None) for x in w.align(nodes, other)}
     assert both == {("h",): (False, False, True), ("b", "a"): (True, True, True), ("n",): (False, True, False), ("f",): (False, False, False)}
+
+
+def test_text_of_several_containers_stays():
+    page = "<body><div class=intro><p>intro {0}</p></div><div class=text><p>long {0} and more of it</p><ul><li>item {0} of a list<li>second {0} of a list</ul></div></body>"
+    wrapper = w.align(w.stream(w.read_blocks(page.format(1))), w.stream(w.read_blocks(page.format(2))))
+    want = "intro 1\n\nlong 1 and more of it\n\nitem 1 of a list\n\nsecond 1 of a list"
+    assert w.extract(page.format(1), w.decide(wrapper)) == want == w.extract(page.format(1), None)
