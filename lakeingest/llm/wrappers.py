@@ -43,7 +43,7 @@ _BLOCK = frozenset("address article aside blockquote body caption center dd deta
                    "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr "
                    "ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIP = frozenset("script style noscript template iframe svg math object canvas audio video select button textarea title head "
+_SKIP = frozenset("script style noscript template iframe svg math object canvas audio video select button textarea title "
                   "datalist map".split())
 _OUTSIDE = frozenset("nav footer aside form menu dialog fieldset".split())
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -103,6 +103,8 @@ def _blocks(html: str | None, by_name: bool) -> list[tuple[str, str, bool, str]]
     stack: list[tuple[str, str, bool, str]] = [("", "", False, "")]
     text: list[str] = []
     skip, depth, source = "", 0, html or ""
+    inner: list[str] = []  # block elements open in the skipped one
+    begun, unclosed = 0, set()
 
     def flush() -> None:
         if text:
@@ -118,7 +120,11 @@ def _blocks(html: str | None, by_name: bool) -> list[tuple[str, str, bool, str]]
 
     at, size = 0, len(source)
     match = _TOKEN.match
-    while at < size:
+    while at < size or skip:
+        if at >= size:  # never closed, nor its parent: what follows is read, the tag is not
+            unclosed.add(skip)
+            at, skip = begun, ""
+            continue
         m = match(source, at)
         at = m.end()
         closing, tag, attributes, plain = m.groups()
@@ -134,13 +140,25 @@ def _blocks(html: str | None, by_name: bool) -> list[tuple[str, str, bool, str]]
                 depth += -1 if closing else 1
                 if not depth:
                     skip = ""
-            continue
-        if tag in _SKIP and not closing:
+            elif not closing and tag in ("script", "style"):
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
+                at = end.end() if end else at
+            elif tag in _BLOCK and tag not in _VOID and not closing:
+                inner.append(tag)
+            elif closing and tag in inner:
+                while inner.pop() != tag:
+                    pass
+            elif closing and any(x[0] == tag for x in stack):
+                skip = ""  # left open: it ends with its parent
+            if skip or tag not in _BLOCK:
+                continue
+        if tag in _SKIP and tag not in unclosed and not closing:
             if tag in ("script", "style", "textarea", "title"):  # raw text up to the end tag
                 end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
                 at = end.end() if end else size
             elif not attributes.endswith("/"):
-                skip, depth = tag, 1
+                skip, depth, begun = tag, 1, at
+                inner.clear()
             text.append(" ")
         elif tag == "br":
             text.append(" ")

@@ -61,3 +61,12 @@ def test_text_of_several_containers_stays():
     wrapper = w.align(w.stream(w.read_blocks(page.format(1))), w.stream(w.read_blocks(page.format(2))))
     want = "intro 1\n\nlong 1 and more of it\n\nitem 1 of a list\n\nsecond 1 of a list"
     assert w.extract(page.format(1), w.decide(wrapper)) == want == w.extract(page.format(1), None)
+
+
+def test_elements_left_open():
+    """No end tag of the head, or of a skipped element: the text behind it stays."""
+    assert w.extract("<html><head><title>T</title><meta charset=x><body><article><p>text", None) == "text"
+    assert w.extract("<article><div><button>Share</div><p>text</p></article>", None) == "text"
+    assert w.extract("<article><p>one <select><option>a</p><p>two</p></article>", None) == "one\n\ntwo"
+    assert "text" in w.extract("<article><noscript><p>text", None)
+    assert w.extract("<article><noscript><div>no</div><script>'</article>'</script></noscript><p>text</article>", None) == "text"
