@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeingest.llm import bitplane, hostwords, isoforest, labelprop, linewindows, loglinear, simhash, spacedseed, vecpack, wrappers
+from lakeingest.llm import (
+    bitplane, filteraudit, hostwords, isoforest, labelprop, linewindows, loglinear, simhash, spacedseed, vecpack, wordids, wrappers,
+)
 from lakeingest.llm.common import table
 from lakeingest.llm.tokens import public_tokenizer
 
@@ -69,6 +71,21 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spacedseed.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids and decoded bytes, as digests."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    found = wordids.decode(wordids.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return found.select("doc_id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their orders, per source."""
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_id_planes": op1_id_planes,
     "op2_line_windows": op2_line_windows,
@@ -80,6 +97,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_label_shards": op8_label_shards,
     "op9_host_words": op9_host_words,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op12_word_ids": op12_word_ids,
+    "op13_filter_audit": op13_filter_audit,
 }
 
-ORACLE: dict[str, str] = {"op2_line_windows": linewindows.SQL}
+ORACLE: dict[str, str] = {"op2_line_windows": linewindows.SQL, "op13_filter_audit": filteraudit.SQL}
