@@ -102,4 +102,4 @@ def content(array: pa.Array) -> tuple[memoryview, np.ndarray]:
     """The joined bytes of a binary array, and the end of every value in them."""
     _, offsets, data = array.buffers()
     cuts = np.frombuffer(offsets, np.int32, len(array) + 1, 4 * array.offset) if len(array) else np.zeros(1, np.int32)
-    return memoryview(data if data is not None else b"")[cuts[0] : cuts[-1]], cuts[1:].astype(np.int64) - cuts[0]
+    return memoryview(data if data is not None else b"").cast("B")[cuts[0] : cuts[-1]], cuts[1:].astype(np.int64) - cuts[0]

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeingest.llm import (
-    bitplane, filteraudit, hostwords, isoforest, labelprop, linewindows, loglinear, simhash, spacedseed, vecpack, wordids, wrappers,
+    align, bitplane, filteraudit, hostwords, isoforest, labelprop, linewindows, loglinear, simhash, spacedseed, vecpack, wordids,
+    wrappers,
 )
 from lakeingest.llm.common import table
 from lakeingest.llm.tokens import public_tokenizer
@@ -71,6 +72,12 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spacedseed.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two tokenizers, their groups and links, and how common the linked ids are."""
+    paths = public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model")
+    return align.align(table(spark, sf_dir, "documents"), *paths)
+
+
 def op12_word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids and decoded bytes, as digests."""
     import public_tokenizers
@@ -97,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_label_shards": op8_label_shards,
     "op9_host_words": op9_host_words,
     "op10_spaced_seeds": op10_spaced_seeds,
+    "op11_token_links": op11_token_links,
     "op12_word_ids": op12_word_ids,
     "op13_filter_audit": op13_filter_audit,
 }

@@ -19,7 +19,7 @@ from types import ModuleType
 import numpy as np
 
 #: Distinct words, and pieces of odd words, that a worker remembers (about 200 bytes each); others are encoded each time.
-MEMO = 300_000
+MEMO = 1_000_000
 #: The id that ends every document.
 END = 1
 
@@ -35,6 +35,21 @@ _ODD = re.compile("[\x85\xa0 ᠎ -​    　﻿]")
 _RUNS = ("  ", "\n ", " \n", "\t ", " \t", "\r ", " \r")
 
 
+def has_odd_space(text: str) -> bool:
+    """Whether a text has white space on which regular-expression engines may differ."""
+    return bool(_CONTROL.search(text) or not text.isascii() and _ODD.search(text))
+
+
+def blanks_apart(text: str) -> bool:
+    """Whether every blank stands between two characters that are no white space."""
+    return text[0] != " " != text[-1] and not any(run in text for run in _RUNS)
+
+
+def simple_words(text: str) -> list[str] | None:
+    """What stands between the blanks of a text, if no vocabulary has a token across them, else None."""
+    return text.split(" ") if blanks_apart(text) and not has_odd_space(text) else None
+
+
 def public_tokenizer(name: str) -> str:
     """Place of a public tokenizer's file."""
     import public_tokenizers
@@ -48,14 +63,20 @@ def worker_cache() -> dict:
 
 
 class Encoder:
-    """Ids as little-endian unsigned 32-bit bytes. ``kind`` names how the vocabulary treats white space."""
+    """Ids as little-endian unsigned 32-bit bytes. ``kind`` names how the vocabulary treats white space.
+
+    The strings of special tokens in a text are the special tokens, as in the library's own calls, or ordinary text
+    if ``plain_specials`` is set.
+    """
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
+        added = () if plain_specials else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)), re.IGNORECASE).search if added else None
         self.led = kind == "space_led"
         self.find = _PIECES[kind].findall
         # What joins pieces for one call: never part of a joined piece, and always one id of its own.
@@ -65,12 +86,12 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     @classmethod
-    def shared(cls, path: str, kind: str) -> "Encoder":
+    def shared(cls, path: str, kind: str, plain_specials: bool = False) -> "Encoder":
         """One encoder per worker process, so that its memo serves all its tasks."""
         kept = worker_cache()
-        if (path, kind) not in kept:
-            kept[path, kind] = cls(path, kind)
-        return kept[path, kind]
+        if (path, kind, plain_specials) not in kept:
+            kept[path, kind, plain_specials] = cls(path, kind, plain_specials)
+        return kept[path, kind, plain_specials]
 
     def direct(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -105,6 +126,28 @@ class Encoder:
                 del memo[p]
         return out
 
+    def _remember(self, words: set[str]) -> list[str]:
+        """Puts words into the memo, as they are behind a blank (``led``) or anywhere; those that were not there."""
+        memo, lead = self.words, " " if self.led else ""
+        new = [w for w in words if w not in memo]
+        odd = [w for w in new if "\n" in w or "\t" in w or "\r" in w] if self.led else [w for w in new if "~" in w]
+        memo.update(zip(odd, self._pieces([lead + w for w in odd])))
+        plain = [w for w in new if w not in memo] if odd else new
+        memo.update(zip(plain, self._joined([lead + w for w in plain])))
+        return new
+
+    def _forget(self, words: list[str]) -> None:
+        if len(self.words) > MEMO:
+            for w in words:
+                del self.words[w]
+
+    def behind_blanks(self, words: list[str]) -> list[bytes]:
+        """The ids of words that have a blank in front, such as ``simple_words`` cuts."""
+        new = self._remember(set(words))
+        out = list(map(self.words.__getitem__, words))
+        self._forget(new)
+        return out
+
     def __call__(self, texts: list[str | None], end: int = END) -> list[bytes]:
         """The ids of every text followed by ``end``."""
         tail = np.array([end], "<u4").tobytes()
@@ -114,11 +157,11 @@ class Encoder:
         for i, t in enumerate(texts):
             if not t:
                 continue
-            if _CONTROL.search(t) or not t.isascii() and (_ODD.search(t) or not unicodedata.is_normalized("NFC", t)):
+            if self.special and self.special(t) or has_odd_space(t) or not t.isascii() and not unicodedata.is_normalized("NFC", t):
                 out[i] = self.direct([t])[0] + tail
             elif not self.led:
                 simple[i] = t.split()
-            elif t[0] == " " or t[-1] == " " or any(run in t for run in _RUNS):
+            elif not blanks_apart(t):
                 rest.append(i)
             else:
                 simple[i] = t.split(" ")
@@ -128,15 +171,8 @@ class Encoder:
         if self.led:  # the first word has no blank in front of it
             heads = {i: words.pop(0) for i, words in simple.items()}
         memo = self.words
-        new = [w for w in set(chain.from_iterable(simple.values())) if w not in memo]
-        lead = " " if self.led else ""
-        odd = [w for w in new if "\n" in w or "\t" in w or "\r" in w] if self.led else [w for w in new if "~" in w]
-        memo.update(zip(odd, self._pieces([lead + w for w in odd])))
-        plain = [w for w in new if w not in memo] if odd else new
-        memo.update(zip(plain, self._joined([lead + w for w in plain])))
+        new = self._remember(set(chain.from_iterable(simple.values())))
         for (i, words), head in zip(simple.items(), self._pieces(list(heads.values()))):
             out[i] = head + b"".join(map(memo.__getitem__, words)) + tail
-        if len(memo) > MEMO:
-            for w in new:
-                del memo[w]
+        self._forget(new)
         return out

@@ -1,12 +1,14 @@
 """Byte-level BPE over a corpus: every distinct word is encoded once in the cluster; decoding by the token-byte table.
 
-Encoding: texts are cut into pre-tokens by the vocabulary's pattern. A chunk of documents keeps its positions, and sends
-each of its distinct words as a row to the word's partition. There, with the rows sorted, a word is encoded when it is
+Encoding: texts are cut at blanks between other characters, and each distinct stretch of a chunk of documents into
+pre-tokens by the vocabulary's pattern (which must not let a pre-token end in a blank of that kind or look back, as the
+byte-level patterns do not). A chunk keeps its positions, and sends each of its distinct words as a row to the word's
+partition. There, with the rows sorted, a word is encoded when it is
 first met, and its ids join all its rows; rows go back to their chunks, where ids are put in place by position. Decoding
 looks the ids up in the table of token bytes, which has one row per rank, at most ``MOST_TOKENS``, in every task.
 
 Shuffles: one row per chunk and distinct word (twice, the second time with ids), and one compressed integer per
-pre-token. A word that holds a third of the corpus has one row per chunk. The texts are read and cut twice, which moves
+stretch. A word that holds a third of the corpus has one row per chunk. The texts are read and cut twice, which moves
 less than keeping the positions and the words in one table would; both readings number documents by the partitions of the
 scan, so ``docs`` should come from stored files, and a chunk whose two readings differ raises an error.
 
@@ -19,24 +21,30 @@ error.
 from __future__ import annotations
 
 import base64
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeingest.llm.chunks import ITEMS, binary, content, in_chunks, pack_ints, unpack_ints
+from lakeingest.llm.chunks import ITEMS, Chunk, binary, content, in_chunks, pack_ints, unpack_ints
 from lakeingest.llm.common import map_arrow, text_of
-from lakeingest.llm.tokens import worker_cache
+from lakeingest.llm.tokens import simple_words, worker_cache
 
 #: The most ranks of a vocabulary; the table is held by every task.
 MOST_TOKENS = 1 << 20
 #: Rows that a task collects before it sends them back by chunk.
 PACKED_ROWS = 1_000_000
 
-_POSITIONS = "chunk bigint, doc_ids array<bigint>, sizes array<bigint>, n_words bigint, slots binary"
+#: Blanks between other characters, for texts that have other white space as well.
+_BLANK = regex.compile(r"(?<=\S) (?=\S)")
+
+_POSITIONS = "chunk bigint, doc_ids array<bigint>, sizes array<bigint>, n_words bigint, slots binary, counts binary, places binary"
 _WORDS = "word string, chunk bigint, slot bigint"
 _PACKED = "chunk bigint, slots binary, sizes binary, ids binary"
 
@@ -45,7 +53,6 @@ class Ranks:
     """A rank file: base64 token and rank per line. ``pattern`` cuts a text into pre-tokens."""
 
     def __init__(self, path: str, pattern: str):
-        import regex
         import tiktoken
 
         with open(path, "rb") as lines:
@@ -76,20 +83,43 @@ def _batch(schema: str, *columns) -> pa.RecordBatch:
     return pa.record_batch(list(columns), names=[field.split()[0] for field in schema.split(", ")])
 
 
+def _cut(text: str) -> list[str | bytes]:
+    """Stretches that blanks between two other characters set apart, where no pre-token goes on and none looks across.
+
+    The first stretch of a text comes as bytes. All others stand for themselves behind a blank.
+    """
+    parts = simple_words(text) or _BLANK.split(text)
+    parts[0] = parts[0].encode()
+    return parts
+
+
+def _coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, items: int) -> Iterator[tuple[Chunk, list[str], np.ndarray, np.ndarray]]:
+    """Chunks of stretches; the distinct pre-tokens of each chunk, and per stretch their number and codes."""
+    find = Ranks.shared(path, pattern).split
+    for c in in_chunks(batches, "text", _cut, items):
+        codes = defaultdict()
+        codes.default_factory = codes.__len__
+        found = [find(x.decode() if isinstance(x, bytes) else " " + x) for x in c.items]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        places = np.fromiter(map(codes.__getitem__, chain.from_iterable(found)), np.uint32, int(counts.sum()))
+        yield c, list(codes), counts, places
+
+
 def _positions(docs: DataFrame, path: str, pattern: str, items: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in in_chunks(batches, "text", Ranks.shared(path, pattern).split, items):
+        for c, words, counts, places in _coded(batches, path, pattern, items):
+            packed = [pa.array([pack_ints(x)]) for x in (c.slots, counts, places)]
             yield _batch(_POSITIONS, pa.array([c.number]), pa.array([c.rows.column(0).to_pylist()], pa.list_(pa.int64())),
-                         pa.array([c.sizes], pa.list_(pa.int64())), pa.array([len(c.items)]), pa.array([pack_ints(c.slots)]))
+                         pa.array([c.sizes], pa.list_(pa.int64())), pa.array([len(words)]), *packed)
 
     return docs.mapInArrow(run, _POSITIONS)
 
 
 def _words(docs: DataFrame, path: str, pattern: str, items: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in in_chunks(batches, "text", Ranks.shared(path, pattern).split, items):
-            for start in range(0, len(c.items), 50_000):
-                part = c.items[start : start + 50_000]
+        for c, words, _, _ in _coded(batches, path, pattern, items):
+            for start in range(0, len(words), 50_000):
+                part = words[start : start + 50_000]
                 yield _batch(_WORDS, pa.array(part, pa.string()), pa.array(np.full(len(part), c.number)),
                              pa.array(np.arange(start, start + len(part))))
 
@@ -142,7 +172,7 @@ def _put_back(positions: pa.Table, packed: pa.Table) -> pa.Table:
         raise RuntimeError("a chunk was read differently the second time; documents must come from stored files")
     row = positions.slice(0, 1).to_pylist()[0]
     doc_ids, sizes, n_words = pa.array(row["doc_ids"], pa.int64()), np.array(row["sizes"], np.int64), row["n_words"]
-    slots = unpack_ints(row["slots"])
+    slots, per_stretch, codes = (unpack_ints(row[name]) for name in ("slots", "counts", "places"))
     parts = [[unpack_ints(v) for v in r.values()] for r in packed.select(["slots", "sizes", "ids"]).to_pylist()]
     if sum(len(p[0]) for p in parts) != n_words:
         raise RuntimeError("a chunk was read differently the second time; documents must come from stored files")
@@ -151,7 +181,10 @@ def _put_back(positions: pa.Table, packed: pa.Table) -> pa.Table:
     places, counts, ids = (np.concatenate([p[k] for p in parts]) for k in range(3))
     where = np.empty(n_words, np.int64)
     where[places] = np.arange(n_words)
-    data, ends = content(binary(ids.tobytes(), 4 * np.cumsum(counts, dtype=np.int64)).take(pa.array(where[slots])))
+    words = binary(ids.tobytes(), 4 * np.cumsum(counts, dtype=np.int64))
+    data, ends = content(words.take(pa.array(where[codes])))  # of every distinct stretch, word by word
+    stretches = binary(data, np.concatenate([[0], ends])[np.cumsum(per_stretch, dtype=np.int64)])
+    data, ends = content(stretches.take(pa.array(slots)))
     stops = np.concatenate([[0], ends])[np.cumsum(sizes)]
     return pa.table([doc_ids, binary(data, stops)], names=names)
 

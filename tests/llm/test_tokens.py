@@ -1,20 +1,26 @@
 import random
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 from lakeingest.llm.tokens import Encoder, public_tokenizer
 
 KINDS = (("byte_bpe_50k.json", "space_led"), ("word_bpe_49k.json", "word_end"))
 
 
+@pytest.mark.parametrize("plain", (False, True))
 @pytest.mark.parametrize("name,kind", KINDS)
-def test_pieces_give_the_ids_of_whole_texts(name, kind):
+def test_pieces_give_the_ids_of_whole_texts(name, kind, plain):
     rng = random.Random(2)
     alphabet = " \n\t\rabcAB1'2s!.~é́ß#<|>_ "
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 50))) for _ in range(4000)]
-    texts += ["it's  don't\r\n\r\nok", "  x", "x  ", "a\n\n b", "a~b ~ c", "<|endoftext|> a", "日本語 12 345", "x\x1cy", None, ""]
-    encode = Encoder(public_tokenizer(name), kind)
-    want = encode.direct([t or "" for t in texts])
+    texts += ["it's  don't\r\n\r\nok", "  x", "x  ", "a\n\n b", "a~b ~ c", "<|endoftext|> a", "a <|EndOfText|>b<|startoftext|>", "日本語 12 345", "x\x1cy", None, ""]
+    encode = Encoder(public_tokenizer(name), kind, plain)
+    library = Tokenizer.from_file(public_tokenizer(name))
+    if plain:
+        library.encode_special_tokens = True
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     for _ in range(2):  # the second time from memory
         assert [x[:-4] for x in encode(texts)] == want
     assert all(x[-4:] == b"\1\0\0\0" for x in encode(texts))
