@@ -86,27 +86,34 @@ def dataset_name(base: Column, path: Column, shared: Column, sheet: Column | Non
     return F.concat(F.when(shared, hashed).otherwise(base), F.lit(".parquet"))
 
 
-def named(df: DataFrame, uri: Column, colliding: Sequence[str] | DataFrame, out: str = SOURCE) -> DataFrame:
+def named(df: DataFrame, uri: Column, colliding: Sequence[tuple] | DataFrame, out: str = SOURCE) -> DataFrame:
     """Add the dataset name of every row's source.
 
-    ``colliding`` holds the shared base names: a list, or a stored table ``(base)`` where they are too
-    many to spell out. The table is joined without a hint, so Spark broadcasts it only while it is small.
+    ``colliding`` holds the shared base names, each with the path that keeps the plain name or null: a list, or
+    a stored table ``(base, keeper)`` where they are too many to spell out. The table is joined without a hint,
+    so Spark broadcasts it only while it is small.
     """
     base, path = source_base(uri), plain_uri(F.substring_index(uri, "#", 1))
     sheet = F.when(uri.contains("#"), F.concat(F.lit("__"), F.substring_index(uri, "#", -1))).otherwise("")
     if isinstance(colliding, DataFrame):
-        hits = colliding.select(F.col("base").alias("_base"), F.lit(True).alias("_shared"))
+        hits = colliding.select(F.col("base").alias("_base"), F.col("keeper").alias("_keeper"), F.lit(True).alias("_shared"))
         met = df.withColumn("_base", base).join(hits, "_base", "left")
-        return met.withColumn(out, dataset_name(F.col("_base"), path, F.col("_shared").isNotNull(), sheet)).drop("_base", "_shared")
-    shared = base.isin(list(colliding)) if colliding else F.lit(False)
+        shared = F.col("_shared").isNotNull() & ~path.eqNullSafe(F.col("_keeper"))
+        return met.withColumn(out, dataset_name(F.col("_base"), path, shared, sheet)).drop("_base", "_keeper", "_shared")
+    shared = F.lit(False)
+    if colliding:
+        shared = base.isin([b for b, _ in colliding]) & ~path.isin([k for _, k in colliding if k is not None])
     return df.withColumn(out, dataset_name(base, path, shared, sheet))
 
 
-def colliding_names(files: DataFrame, folder: str) -> list[str] | DataFrame:
-    """Base names (column ``base``) of more than one path: a list while short, else a stored table."""
-    files.groupBy("base").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("base").write.mode("overwrite").parquet(folder)
-    shared = files.sparkSession.read.schema("base string").parquet(folder)
-    first = [r.base for r in shared.limit(MAX_LISTED_COLLISIONS + 1).collect()]
+def colliding_names(files: DataFrame, folder: str, keep_last: bool = False) -> list[tuple] | DataFrame:
+    """Base names of more than one path (of files ``path, uri``), and with ``keep_last`` the last path of each:
+    a list of ``(base, keeper)`` while short, else a stored table."""
+    keeper = F.max_by(plain_uri(F.col("uri")), "path") if keep_last else F.lit(None).cast("string")
+    names = files.groupBy(source_base(F.col("uri")).alias("base")).agg(F.count(F.lit(1)).alias("n"), keeper.alias("keeper"))
+    names.where("n > 1").select("base", "keeper").write.mode("overwrite").parquet(folder)
+    shared = files.sparkSession.read.schema("base string, keeper string").parquet(folder)
+    first = [(r.base, r.keeper) for r in shared.limit(MAX_LISTED_COLLISIONS + 1).collect()]
     return first if len(first) <= MAX_LISTED_COLLISIONS else shared
 
 

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from lakeingest.functions.files import HEAD_BYTES, base_name, decode_head
 from lakeingest.functions.names import trim_all
 from lakeingest.operators.framing import (
-    SOURCE, Layout, Outcome, colliding_names, named, plain_uri, sheet_uri, source_base,
+    NAME_DIGITS, SOURCE, Layout, Outcome, colliding_names, named, plain_uri, sheet_uri,
 )
 from lakeingest.operators.jsonshape import strict_variant
 from lakeingest.options import IngestOptions
 from lakeingest.plans.audit import AUDIT_FIELDS, first_invalid, status_of
-from lakeingest.session import has_data, isolated, qualified, remove_tree, spread, work_folder
+from lakeingest.session import has_data, isolated, move_tree, partition_folder, qualified, remove_tree, spread, work_folder
 from lakeingest.sources.delimited import ingest_delimited
 from lakeingest.sources.listing import list_sources, sniff
 from lakeingest.sources.records import ingest_json
@@ -142,12 +142,8 @@ def ingest(
         usable = usable.where(F.col("path") < min(wrong))
         files = [f for f in files if f.path < min(wrong)]
     files = [f for f in files if not f.bad]
-    colliding = colliding_names(usable.select(source_base(F.col("uri")).alias("base")), f"{work}/shared-names")
-    replaced = None
-    if opts.collision == "overwrite":  # the last path of a base name is the one whose data stays
-        based = usable.select(F.col("path").alias("caminho_original"), base_name(F.col("path")).alias("base"))
-        last = based.groupBy("base").agg(F.max("caminho_original").alias("vencedor"))
-        replaced = based.join(last, "base").where("caminho_original <> vencedor").drop("base")
+    overwrite = opts.collision == "overwrite"  # the last path of a base name keeps the plain name
+    colliding = colliding_names(usable, f"{work}/shared-names", overwrite)
 
     outcomes = []
     by_layout: dict[str, list[str]] = {}
@@ -187,7 +183,7 @@ def ingest(
     for o in outcomes:
         o.folder = o.folder if o.folder and has_data(inner, o.folder) else None
 
-    audit = _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started, replaced)
+    audit = _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started)
     for o in outcomes:  # the stop and collision rules may have emptied a layout
         o.folder = o.folder if o.folder and has_data(inner, o.folder) else None
     return IngestResult(spark, outcomes, *audit)
@@ -233,7 +229,7 @@ def _all_failed(inner, layout: str, paths: list[str], error: Exception) -> Outco
     return Outcome(layout, failed=failed)
 
 
-def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started, replaced):
+def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started):
     """Write quarantine and audit; apply the stop policy. Returns their folders."""
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
     none = lambda schema: inner.createDataFrame([], schema)
@@ -331,29 +327,53 @@ def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, star
         )
     )
     folder = f"{out}/auditoria/lote={run}"
-    if opts.continue_on_error and replaced is None:
+    overwrite = opts.collision == "overwrite" and (isinstance(colliding, DataFrame) or len(colliding) > 0)
+    if opts.continue_on_error and not overwrite:
         rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(folder)
         return folder, quarantine
 
     rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(f"{work}/audit")
     rows = inner.read.parquet(f"{work}/audit")
-    if replaced is not None:
-        pairs = replaced
-        _remove_datasets(inner, rows.join(pairs, "caminho_original", "left_semi"))
-        winners = rows.select(F.col("caminho_original").alias("vencedor"), F.col("caminho_parquet_gerado").alias("fica"))
-        rows = rows.join(pairs, "caminho_original", "left").join(winners, "vencedor", "left").withColumn(
-            "caminho_parquet_gerado", F.coalesce("fica", "caminho_parquet_gerado")
-        )
     if not opts.continue_on_error:
         # Stop policy: what lies behind the first failing path was never to be converted.
         stop = rows.where("status = 'erro'").agg(F.min("caminho_original")).first()[0]
         if stop is not None:
             _remove_datasets(inner, rows.where(F.col("caminho_original") > stop))
             rows = rows.where(F.col("caminho_original") <= stop)
+    if overwrite:
+        rows = _overwritten(inner, rows)
     rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(folder)
     return folder, quarantine
 
 
+def _overwritten(inner, rows: DataFrame) -> DataFrame:
+    """Of the files of a base name that gave data, the last one's stays, as ``<base>.parquet``.
+
+    That file was written under this name from the start unless a later path failed or was never to be converted;
+    only then is its folder renamed. The others were read for their audit rows, which now point to what stayed.
+    """
+    plain = F.regexp_replace("at", r"__[0-9a-f]{32}\.parquet$", ".parquet")
+    live = rows.where(F.size("caminho_parquet_gerado") > 0).select(
+        base_name(F.col("caminho_original")).alias("base"), "caminho_original", "caminho_parquet_gerado")
+    last = live.groupBy("base").agg(
+        F.count(F.lit(1)).alias("n"), F.max("caminho_original").alias("vencedor"),
+        F.max_by("caminho_parquet_gerado", "caminho_original").alias("fica"))
+    shared = live.join(last.where("n > 1").select("base", "vencedor"), "base")
+    _remove_datasets(inner, shared.where("caminho_original <> vencedor").select("caminho_parquet_gerado"))
+    # Names that several usable files share are hashed but for the planned keeper's, also where one alone gave data.
+    usable = rows.groupBy(base_name(F.col("caminho_original")).alias("base")).agg(F.count(F.lit(1)).alias("sources"))
+    hashed = F.sha2(F.col("vencedor"), 256).substr(1, NAME_DIGITS)
+    late = last.join(usable.where("sources > 1"), "base").select("base", hashed.alias("mark"), F.explode("fica").alias("at"))
+    late = late.where(F.col("at").endswith(F.concat(F.lit("__"), "mark", F.lit(".parquet")))).select("at", plain.alias("to"))
+    for row in late.toLocalIterator():
+        move_tree(inner, partition_folder(inner, row["at"]), partition_folder(inner, row["to"]))
+    stays = last.select("base", F.transform("fica", lambda at: F.regexp_replace(at, r"__[0-9a-f]{32}\.parquet$", ".parquet")).alias("fica"))
+    shared_names = usable.where("sources > 1").join(stays, "base").select("base", "fica")
+    met = rows.withColumn("base", base_name(F.col("caminho_original"))).join(shared_names, "base", "left")
+    here = F.when(F.size("caminho_parquet_gerado") > 0, F.coalesce("fica", "caminho_parquet_gerado")).otherwise(F.col("caminho_parquet_gerado"))
+    return met.withColumn("caminho_parquet_gerado", here)
+
+
 def _remove_datasets(inner, rows: DataFrame) -> None:
     for row in rows.select(F.explode("caminho_parquet_gerado").alias("at")).toLocalIterator():
-        remove_tree(inner, row["at"])
+        remove_tree(inner, partition_folder(inner, row["at"]))

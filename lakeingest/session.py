@@ -73,6 +73,23 @@ def remove_tree(spark: SparkSession, path: str) -> None:
         fs.delete(jpath, True)
 
 
+def move_tree(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder another name, in place of what had it."""
+    fs, jpath = hadoop_path(spark, path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(to)
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(jpath, target):
+        raise OSError(f"cannot rename {path}")
+
+
+def partition_folder(spark: SparkSession, path: str) -> str:
+    """The folder of a partition whose path ends in ``column=value``, as the writer escapes the value."""
+    parent, _, last = path.rpartition("/")
+    column, _, value = last.partition("=")
+    return f"{parent}/{column}={spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)}"
+
+
 def has_data(spark: SparkSession, folder: str) -> bool:
     """Whether a partitioned dataset folder holds any partition."""
     fs, jpath = hadoop_path(spark, folder)

@@ -80,6 +80,33 @@ def test_collision_overwrite_keeps_the_last_path(spark, drop):
     assert {r.linhas_lidas for r in result.audit.collect()} == {1}
 
 
+def datasets(result):
+    return {r["lake_source"]: r["k"] for r in result.table(keep_source=True).collect()}
+
+
+@pytest.mark.parametrize("go_on", (True, False))
+def test_overwritten_names_are_plain(spark, drop, go_on):
+    for i, name in enumerate(("a/x.csv", "b/x.csv", "c/notas [1].csv", "d/notas [1].csv", "e/y.csv")):
+        drop(name, f"k\n{i}\n")
+    result = ingest(spark, [drop.root], drop.out, IngestOptions(collision="overwrite", continue_on_error=go_on))
+    assert datasets(result) == {"x.parquet": 1, "notas [1].parquet": 3, "y.parquet": 4}
+    at = {r.caminho_original.rsplit("/in/")[1]: r.caminho_parquet_gerado for r in result.audit.collect()}
+    assert at["a/x.csv"] == at["b/x.csv"] and at["a/x.csv"][0].endswith("lake_source=x.parquet")
+
+
+def test_an_earlier_file_stays_where_the_last_one_fails(spark, drop):
+    drop("a/x.jsonl", '{"k": 1}\n')
+    drop("b/x.jsonl", '{"k": 2}\n')
+    drop("c/x.json", "{broken")
+    drop("d/z.csv", "k\n9\n")
+    options = dict(collision="overwrite")
+    result = ingest(spark, [drop.root], drop.out, IngestOptions(continue_on_error=True, **options))
+    assert datasets(result) == {"x.parquet": 2, "z.parquet": 9}
+    assert {r.caminho_original[-8:]: r.status for r in result.audit.collect()}["c/x.json"] == "erro"
+    stopped = ingest(spark, [drop.root], drop.out + "-stop", IngestOptions(**options))
+    assert datasets(stopped) == {"x.parquet": 2}
+
+
 def test_no_sources(spark, drop):
     result = ingest(spark, [drop.root], drop.out)
     assert result.audit.count() == 0 and result.quarantine.count() == 0
