@@ -31,6 +31,8 @@ class IngestOptions:
     # Rows whose types bind the rest of the file: a later misfit fails it. 0 = widen instead.
     strict_sample: int = 0
     hash_sources: bool = True
+    # JSON documents of more bytes are cut into records by many tasks; results are the same. None: the engine's limit.
+    document_bytes: int | None = None
 
     def resolve(self) -> "IngestOptions":
         """Apply the preset: ``bi`` and ``gis`` force the three cleaning switches on."""

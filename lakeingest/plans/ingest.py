@@ -29,7 +29,7 @@ from lakeingest.sources.workbooks import ingest_workbooks
 CONCURRENT_LAYOUTS = 8
 NO_RECORDS = "Nenhum registro válido encontrado no arquivo"
 # A document is one value in one row, which the engine's VARIANT limits to 128 MB. Larger ones are cut
-# into their records as text first.
+# into their records by many tasks first.
 MAX_DOCUMENT_BYTES = 120 * 1024 * 1024
 
 
@@ -95,7 +95,7 @@ def _widened(tables: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), map(cast, tables))
 
 
-def _route(sources: DataFrame) -> DataFrame:
+def _route(sources: DataFrame, limit: int) -> DataFrame:
     """How a source is read. A ``.json`` file is a document unless its first line is already a whole
     value and more follows, which makes it line-delimited."""
     text = F.ltrim(F.col("text"), F.lit("﻿ \t\r\n"))
@@ -107,7 +107,7 @@ def _route(sources: DataFrame) -> DataFrame:
         "route",
         F.when(F.col("format") != "json", F.col("format"))
         .when(F.coalesce(is_lines, F.lit(False)), "json-lines")
-        .when(F.col("length") > MAX_DOCUMENT_BYTES, "json-large")
+        .when(F.col("length") > limit, "json-large")
         .otherwise("json-document"),
     )
 
@@ -125,12 +125,20 @@ def ingest(
     one audit table per run. The driver handles one small row per layout plus the file paths a
     scan's file index needs anyway; file content stays on the executors.
     """
-    started = time.time()
     opts, inner, work = opts.resolve(), isolated(spark), work_folder(spark, "run")
+    try:
+        return IngestResult(spark, *_ingest(inner, roots, out, opts, run, work))
+    finally:  # nothing of a result is read from there
+        remove_tree(inner, work)
+
+
+def _ingest(inner: SparkSession, roots, out: str, opts: IngestOptions, run: str, work: str) -> tuple[list[Outcome], str, str]:
+    started = time.time()
     data = f"{out}/dados/lote={run}"
     remove_tree(inner, data)  # a run replaces what the same run wrote before
 
-    _route(sniff(list_sources(inner, roots))).withColumn(
+    limit = MAX_DOCUMENT_BYTES if opts.document_bytes is None else opts.document_bytes
+    _route(sniff(list_sources(inner, roots)), limit).withColumn(
         "layout_id",
         F.substr(F.sha2(F.concat_ws("\u001e", "route", "encoding", "sep", "layout"), 256), F.lit(1), F.lit(12)),
     ).drop("head", "header_rest", "text", "read_error").write.mode("overwrite").parquet(f"{work}/sources")
@@ -186,7 +194,7 @@ def ingest(
     audit = _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started)
     for o in outcomes:  # the stop and collision rules may have emptied a layout
         o.folder = o.folder if o.folder and has_data(inner, o.folder) else None
-    return IngestResult(spark, outcomes, *audit)
+    return outcomes, *audit
 
 
 def _read_layout(inner, layout: Layout, route: str, opts, data, work, colliding) -> list[Outcome]:

@@ -8,10 +8,8 @@ Only where the two differ is the layout written again.
 from __future__ import annotations
 
 import json
-import re
-from collections.abc import Iterator
+from dataclasses import replace
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,15 +17,13 @@ from lakeingest.functions.names import trim_all
 from lakeingest.operators import jsonshape as js
 from lakeingest.operators.framing import Layout, Outcome, finish_columns, observed, write_layout
 from lakeingest.options import IngestOptions
-from lakeingest.session import literal_path, spread
+from lakeingest.session import literal_path
+from lakeingest.sources.bigjson import document_units
 from lakeingest.sources.lines import block_table, number_lines, read_lines
-from lakeingest.sources.remote import open_input, scan_uri
+from lakeingest.sources.remote import scan_uri
 
 LINE_FORMATS = ("ndjson", "jsonl")
 CONTENT_CHARS = 100
-BROKEN = "{"
-UNIT_BYTES = 8 << 20
-_UNITS = pa.schema([("unit", pa.string()), ("uri", pa.string()), ("block", pa.int64()), ("seq", pa.int64())])
 INVALID = "JSON inválido"
 MALFORMED = "arquivo JSON malformado"
 
@@ -59,103 +55,6 @@ def json_documents(spark: SparkSession, paths: list[str]) -> DataFrame:
     )
 
 
-def cut_document(text: str) -> Iterator[str]:
-    """Texts of the records of one JSON document, by the rule of ``record_texts``, an element at a time.
-
-    Raises ValueError where the text is no single value.
-    """
-    scan = json.JSONDecoder().raw_decode
-    space = re.compile(r"[ \t\r\n]*").match
-
-    def expect(at: int, marks: str) -> tuple[str, int]:
-        at = space(text, at).end()
-        if at >= len(text) or text[at] not in marks:
-            raise ValueError(f"JSON inválido na posição {at}")
-        return text[at], space(text, at + 1).end()
-
-    def elements(at: int) -> Iterator[tuple[int, int, bool]]:
-        """Start, end and whether it is an object, of the elements of the array at ``at``; at last the array's end."""
-        _, at = expect(at, "[")
-        if text[at : at + 1] == "]":
-            yield -1, at + 1, False
-            return
-        mark = ","
-        while mark == ",":
-            value, end = scan(text, at)
-            yield at, end, isinstance(value, dict)
-            mark, following = expect(end, ",]")
-            at = following
-        yield -1, at, False
-
-    at = space(text, 0).end()
-    spans: list[tuple[int, int]] | None = None
-    if text[at : at + 1] == "[":
-        for start, end, _ in elements(at):
-            if start < 0:
-                at = end
-            else:
-                yield text[start:end]
-    elif text[at : at + 1] == "{":
-        _, at = expect(at, "{")
-        mark = "}" if text[at : at + 1] == "}" else ","
-        at = at + 1 if mark == "}" else at
-        while mark == ",":
-            key, end = scan(text, at)
-            if not isinstance(key, str):
-                raise ValueError(f"JSON inválido na posição {at}")
-            _, at = expect(end, ":")
-            if text[at] == "[" and spans is None:
-                found, objects, end = [], True, at
-                for start, end, is_object in elements(at):
-                    if start >= 0:
-                        objects = objects and is_object
-                        if objects:
-                            found.append((start, end))
-                if objects and found:
-                    spans = found
-            else:
-                _, end = scan(text, at)
-            mark, at = expect(end, ",}")
-        if spans is None:
-            yield text.strip()
-        else:
-            for start, end in spans:
-                yield text[start:end]
-    else:
-        _, at = scan(text, at)
-        yield text.strip()
-    if space(text, at).end() != len(text):
-        raise ValueError(f"JSON inválido na posição {at}")
-
-
-def json_large(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Records of large documents as units, each document in one task; a malformed one ends with a broken unit."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                with open_input(path) as f:
-                    text = f.read().decode("utf-8", "replace").removeprefix("\ufeff")
-                held, size, seq = [], 0, 0
-                records = cut_document(text)
-                while True:
-                    try:
-                        unit = next(records, None)
-                    except (ValueError, IndexError):
-                        unit = BROKEN
-                    if unit is not None:
-                        held.append((unit, scan_uri(path), 0, seq))
-                        size, seq = size + len(unit), seq + 1
-                    if held and (size > UNIT_BYTES or unit is None or unit == BROKEN):
-                        yield pa.RecordBatch.from_pylist([dict(zip(("unit", "uri", "block", "seq"), h)) for h in held], schema=_UNITS)
-                        held, size = [], 0
-                    if unit is None or unit == BROKEN:
-                        break
-
-    files = spread(spark.createDataFrame([(p,) for p in paths], "path string"), "path")
-    return files.mapInArrow(cut, "unit string, uri string, block bigint, seq bigint")
-
-
 def checked(units: DataFrame, as_lines: bool) -> DataFrame:
     """Add ``v``, the VARIANT of a valid unit. A wrapped scalar must also be valid on its own."""
     if not as_lines:
@@ -192,8 +91,25 @@ def quarantine(spark: SparkSession, paths: list[str], units: DataFrame) -> DataF
     return bad.select("uri", "line_number", content.alias("content"), F.lit(INVALID).alias("error"))
 
 
+def _large(spark, layout, work) -> tuple[DataFrame, list[str], list[str]]:
+    """Records of large documents as valid units; the paths of the documents, and of the files that are no single value.
+
+    The rule is that of ``json_documents``: such files count by their lines.
+    """
+    folder = f"{work}/large-{layout.id}"
+    units, none = document_units(spark, layout.paths, folder)
+    units.write.mode("overwrite").parquet(f"{folder}/units")
+    units = spark.read.parquet(f"{folder}/units")
+    checked(units, True).where("v is null").select("uri").distinct().write.mode("overwrite").parquet(f"{folder}/bad")
+    bad = spark.read.schema("uri string").parquet(f"{folder}/bad")
+    wrong = {r.uri for r in bad.collect()}  # at most the paths of the layout
+    lines = [p for p in layout.paths if p in none or scan_uri(p) in wrong]
+    found = units.where("part = 'record'").drop("part").join(bad, "uri", "left_anti")
+    return found, [p for p in layout.paths if p not in lines], lines
+
+
 def _units(spark, layout, by_unit, route) -> DataFrame:
-    source = {"json-document": json_documents, "json-large": json_large}.get(route, json_lines)
+    source = json_documents if route == "json-document" else json_lines
     return checked(source(spark, layout.paths), by_unit)
 
 
@@ -237,13 +153,25 @@ def ingest_json(
     spark: SparkSession, layout: Layout, opts: IngestOptions, out: str, work: str, colliding,
     route: str,
 ) -> list[Outcome]:
-    """Read a JSON layout. The route tells whether whole files, records cut out of them, or lines are values."""
+    """Read a JSON layout. The route tells whether whole files, records that many tasks cut out of them, or lines are values."""
+    if route != "json-large":
+        as_lines = layout.format in LINE_FORMATS
+        return _ingest_units(spark, layout, _units(spark, layout, as_lines, route), opts, out, work, colliding, route)
+    units, whole, lines = _large(spark, layout, work)
+    found = []
+    if whole:
+        found += _ingest_units(spark, replace(layout, paths=whole), units, opts, out, work, colliding, route)
+    if lines:
+        rest = replace(layout, id=f"{layout.id}-linhas", paths=lines)
+        found += ingest_json(spark, rest, opts, out, work, colliding, "json-lines")
+    return found
+
+
+def _ingest_units(spark, layout: Layout, units: DataFrame, opts, out: str, work: str, colliding, route: str) -> list[Outcome]:
     documents, large = route == "json-document", route == "json-large"
     as_lines = layout.format in LINE_FORMATS
-    by_unit = as_lines or large  # every unit is a record of its own
     tolerant = as_lines and opts.continue_on_error
     folder = f"{out}/layout={layout.id}"
-    units = _units(spark, layout, by_unit, route)
     failed = invalid = None
 
     sample = [] if large else _sample_records(layout, as_lines, documents)
@@ -251,7 +179,7 @@ def ingest_json(
     plan = js.build_columns(guess, order, opts.flatten, opts.preserve_sensitive, opts.extra_sensitive)
     if plan[1] and not opts.per_file_schema:
         rows, watch = observed(
-            records(units, by_unit),
+            records(units, as_lines),
             schema=F.expr(_SCHEMA_AGG), bad=F.count_if(F.col("rec").isNull()),
         )
         outcome = _write(rows, plan, layout, opts, folder, colliding)
@@ -269,7 +197,7 @@ def ingest_json(
             return [outcome]
         if failed is not None:
             units = units.join(failed.select("uri"), "uri", "left_anti")
-    else:
+    elif not large:
         bad = units.where(F.col("v").isNull())
         if not bad.isEmpty():
             if tolerant:
@@ -278,8 +206,12 @@ def ingest_json(
                 failed = _failed(spark, layout, units, as_lines, work)
                 units = units.join(failed.select("uri"), "uri", "left_anti")
 
-    rows = records(units, by_unit)
-    if not as_lines:
+    if large:
+        rows = units.select(js.wrapped(F.col("unit")).alias("rec"), "uri", "seq", F.lit(0).alias("item"))
+        rows = rows.withColumn("rv", js.lenient_variant(F.col("rec")))
+    else:
+        rows = records(units, as_lines)
+    if not as_lines and not large:
         # Records cut out of documents are kept, so that the passes below share the work evenly
         # however large single documents are.
         folder_of_records = f"{work}/records-{layout.id}"

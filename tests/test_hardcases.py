@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -7,7 +8,7 @@ from lakeingest.catalog.workbooks import workbook_bytes
 from lakeingest.operators import framing
 from lakeingest.plans import ingest as plan
 from lakeingest.plans.audit import write_reports
-from lakeingest.sources.records import cut_document
+from lakeingest.sources import bigjson
 from tests.conftest import rows
 
 
@@ -72,10 +73,61 @@ def test_large_documents_are_cut_like_small_ones(spark, drop, monkeypatch, doc):
     assert [r.status for r in large.audit.collect()] == [r.status for r in small.audit.collect()]
 
 
-@pytest.mark.parametrize("doc", ("", "[1,2", "[1 2]", '{"a":1', '{"a" 1}', "{1:2}", "[1] x", '{"a":[{"b":1},]}', "[,]"))
-def test_malformed_documents(doc):
-    with pytest.raises((ValueError, IndexError)):
-        list(cut_document(doc))
+def test_malformed_documents(spark, drop, monkeypatch):
+    monkeypatch.setattr(plan, "MAX_DOCUMENT_BYTES", 0)
+    docs = "[1,2", "[1 2]", '{"a":1', '{"a" 1}', "{1:2}", "[1] x", '{"a":[{"b":1},]}', "[,]", '{"a":[{"b":1}}', '["a]'
+    for i, doc in enumerate(docs):
+        drop(f"d{i}.json", doc)
+    assert [r.status for r in run(spark, drop).audit.collect()] == ["erro"] * len(docs)
+
+
+def test_lines_behind_a_long_first_line(spark, drop):
+    """A first line longer than the head: the file is no single value on either side of the limit."""
+    drop("d.json", json.dumps({"k": 1, "t": "x" * 150_000}) + '\n{"k": 2}\n')
+    for limit in (None, 1000):
+        options = IngestOptions(document_bytes=limit, continue_on_error=True)
+        result = ingest(spark, [drop.root], f"{drop.out}-{limit}", options)
+        assert [r.status for r in result.audit.collect()] == ["sucesso"]
+        assert rows(result.table().select("k"), "k") == [(1,), (2,)]
+
+
+def random_document(rng):
+    value = lambda depth: rng.choice((
+        lambda: rng.choice((1, -2.5, None, True, "", "a\\", '"', "[{,}]", "é😀", "\n")),
+        lambda: [value(depth - 1) for _ in range(rng.randint(0, 3))] if depth else 0,
+        lambda: {rng.choice('ab"\\'): value(depth - 1) for _ in range(rng.randint(0, 3))} if depth else "x"))()
+    objects = lambda: [{"k": value(2)} for _ in range(rng.randint(0, 5))]
+    doc = rng.choice((lambda: value(4), objects, lambda: {"n": value(2), "l": objects(), "m": value(3), "o": objects()}))()
+    return json.dumps(doc, ensure_ascii=rng.random() < 0.5, indent=rng.choice((None, 1)))
+
+
+def expected_records(doc):
+    value = json.loads(doc)
+    if isinstance(value, list):
+        return value
+    if isinstance(value, dict):
+        return next((v for v in value.values() if isinstance(v, list) and v and all(isinstance(x, dict) for x in v)), [value])
+    return [value]
+
+
+@pytest.mark.parametrize("size", (3, 17, 64))
+def test_ranges_of_any_size_give_the_same_records(spark, tmp_path, size):
+    rng, docs, paths = random.Random(size), [], []
+    for i in range(60):
+        docs.append(random_document(rng))
+        path = tmp_path / f"d{i}.json"
+        path.write_text(("\ufeff" if i % 5 == 0 else "") + " \n" * (i % 4) + docs[-1] + "\n " * (i % 3))
+        paths.append(str(path))
+    units, none = bigjson.document_units(spark, paths, str(tmp_path / "work"), size)
+    got = {}
+    for r in units.collect():
+        got.setdefault((r.uri.rsplit("/", 1)[1], r.part), []).append((r.block, r.seq, r.unit))
+    assert none == []
+    for i, doc in enumerate(docs):
+        found = [json.loads(u) for *_, u in sorted(got.get((f"d{i}.json", "record"), []))]
+        assert found == expected_records(doc), doc
+        for *_, around in got.get((f"d{i}.json", "around"), []):
+            json.loads(around)
 
 
 def test_malformed_large_document_fails_alone(spark, drop, monkeypatch):
