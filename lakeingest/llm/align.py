@@ -29,14 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lakeingest.llm.chunks import ITEMS, binary, content, in_chunks, pack_ints, unpack_ints
+from lakeingest.llm.chunks import binary, content, in_chunks, pack_ints, unpack_ints
 from lakeingest.llm.common import stored, text_of
 from lakeingest.llm.tokens import Encoder, simple_words, worker_cache
 
+#: Stretches, and distinct ones, of a chunk: an alignment holds much more per stretch than its text.
+ITEMS, DISTINCT = 1_000_000, 100_000
 #: Products of nonzeros that a block of rows may make (a single row may make more), and stretches aligned at once.
-PRODUCTS, STRETCHES = 1 << 22, 100_000
+PRODUCTS, STRETCHES = 1 << 20, 20_000
 #: Bytes of digest text that are laid out at once.
-DIGEST_BYTES = 64 << 20
+DIGEST_BYTES = 16 << 20
+#: Words whose ids a worker keeps from one chunk to the next.
+MEMO = 100_000
 
 
 @dataclass
@@ -146,7 +150,7 @@ class Tokenizers:
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.encoder = Encoder.shared(path_a, "space_led", plain_specials=True)
+        self.encoder = Encoder.shared(path_a, "space_led", True, MEMO)
         vocabulary = self.encoder.tokenizer.get_vocab()
         self.bytes_a = pa.array(_table({i: _byte_level(t) for t, i in vocabulary.items()}), pa.binary())
         self.model = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -258,7 +262,7 @@ def _chunks(docs: DataFrame, path_a: str, path_b: str, items: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = Tokenizers.shared(path_a, path_b)
-        for c in in_chunks(batches, "text", both.cut, items):
+        for c in in_chunks(batches, "text", both.cut, items, DISTINCT):
             per, keys, link_counts, texts = {k: [] for k in _COUNTS}, [], [], []
             for start in range(0, len(c.items), STRETCHES):
                 ids_a, counts_a, ids_b, counts_b = both.encode(c.items[start : start + STRETCHES])

@@ -20,7 +20,9 @@ from pyspark import TaskContext
 from lakeingest.llm.common import by_bytes
 
 #: A chunk is closed after the document with which it has so many items, or so many distinct ones.
-ITEMS, DISTINCT = 4_000_000, 500_000
+ITEMS, DISTINCT = 4_000_000, 400_000
+#: Bytes of texts that are cut at once.
+PIECE_BYTES = 1 << 20
 
 
 @dataclass
@@ -53,15 +55,17 @@ def in_chunks(batches: Iterator[pa.RecordBatch], column: str, split: Callable[[s
         out = Chunk(number, whole[0], np.concatenate(sizes), np.concatenate(slots), list(codes))
         number, n = number + 1, 0
         codes.clear(), rows.clear(), sizes.clear(), slots.clear()
+        pa.default_memory_pool().release_unused()
         return out
 
-    for batch in by_bytes(batches, column):
+    for batch in by_bytes(batches, column, PIECE_BYTES):
         found = [split(t) if t else [] for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
         counts = np.fromiter(map(len, found), np.int64, len(found))
         total = int(counts.sum())
         slots.append(np.fromiter(map(codes.__getitem__, chain.from_iterable(found)), np.uint32, total))
         sizes.append(counts)
         rows.append(batch.drop_columns([column]))
+        del found
         n += total
         if n >= items or len(codes) >= distinct:
             yield close()

@@ -19,7 +19,7 @@ from types import ModuleType
 import numpy as np
 
 #: Distinct words, and pieces of odd words, that a worker remembers (about 200 bytes each); others are encoded each time.
-MEMO = 1_000_000
+MEMO = 800_000
 #: The id that ends every document.
 END = 1
 
@@ -69,7 +69,8 @@ class Encoder:
     if ``plain_specials`` is set.
     """
 
-    def __init__(self, path: str, kind: str, plain_specials: bool = False):
+    def __init__(self, path: str, kind: str, plain_specials: bool = False, memo: int = MEMO):
+        self.memo = memo
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -86,12 +87,12 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
 
     @classmethod
-    def shared(cls, path: str, kind: str, plain_specials: bool = False) -> "Encoder":
+    def shared(cls, path: str, kind: str, plain_specials: bool = False, memo: int = MEMO) -> "Encoder":
         """One encoder per worker process, so that its memo serves all its tasks."""
         kept = worker_cache()
-        if (path, kind, plain_specials) not in kept:
-            kept[path, kind, plain_specials] = cls(path, kind, plain_specials)
-        return kept[path, kind, plain_specials]
+        if (path, kind, plain_specials, memo) not in kept:
+            kept[path, kind, plain_specials, memo] = cls(path, kind, plain_specials, memo)
+        return kept[path, kind, plain_specials, memo]
 
     def direct(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -121,7 +122,7 @@ class Encoder:
         plain = [p for p in new if p not in memo]
         memo.update(zip(plain, self._joined(plain)))
         out = [b"".join(map(memo.__getitem__, x)) for x in found]
-        if len(memo) > MEMO:
+        if len(memo) > self.memo:
             for p in new:
                 del memo[p]
         return out
@@ -137,7 +138,7 @@ class Encoder:
         return new
 
     def _forget(self, words: list[str]) -> None:
-        if len(self.words) > MEMO:
+        if len(self.words) > self.memo:
             for w in words:
                 del self.words[w]
 

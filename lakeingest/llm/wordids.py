@@ -39,7 +39,9 @@ from lakeingest.llm.tokens import simple_words, worker_cache
 #: The most ranks of a vocabulary; the table is held by every task.
 MOST_TOKENS = 1 << 20
 #: Rows that a task collects before it sends them back by chunk.
-PACKED_ROWS = 1_000_000
+PACKED_ROWS = 500_000
+#: Stretches that are cut into pre-tokens at once.
+STRETCHES = 20_000
 
 #: Blanks between other characters, for texts that have other white space as well.
 _BLANK = regex.compile(r"(?<=\S) (?=\S)")
@@ -99,9 +101,14 @@ def _coded(batches: Iterator[pa.RecordBatch], path: str, pattern: str, items: in
     for c in in_chunks(batches, "text", _cut, items):
         codes = defaultdict()
         codes.default_factory = codes.__len__
-        found = [find(x.decode() if isinstance(x, bytes) else " " + x) for x in c.items]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
-        places = np.fromiter(map(codes.__getitem__, chain.from_iterable(found)), np.uint32, int(counts.sum()))
+        counts, places = [], []
+        for start in range(0, len(c.items), STRETCHES):
+            found = [find(x.decode() if isinstance(x, bytes) else " " + x) for x in c.items[start : start + STRETCHES]]
+            counts.append(np.fromiter(map(len, found), np.uint32, len(found)))
+            places.append(np.fromiter(map(codes.__getitem__, chain.from_iterable(found)), np.uint32, int(counts[-1].sum())))
+        found = None
+        counts, places = (np.concatenate(x or [np.zeros(0, np.uint32)]) for x in (counts, places))
+        c.items.clear()
         yield c, list(codes), counts, places
 
 
