@@ -69,7 +69,7 @@ def csv_split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.concat_ws(
         ",", F.concat("conv_id", F.lit("")), "turn", "role", quoted("text")
     ).alias("value"))
-    files = write_lines(rows.coalesce(2), f"{folder}/conversas", "csv", "conv_id,turn,role,text")
+    files = write_lines(rows, f"{folder}/conversas", "csv", "conv_id,turn,role,text")
     return spark.read.parquet(*run(small, files, folder).folders).drop("lake_source")
 
 

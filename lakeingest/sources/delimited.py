@@ -11,8 +11,11 @@ from __future__ import annotations
 import csv
 import io
 import re
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,10 @@ from lakeingest.sources.lines import block_table, read_lines
 UNCLOSED = "aspas sem fechamento no arquivo"
 BAD_UTF8 = "bytes inválidos em UTF-8"
 TYPE_MISFIT = "valor incompatível com o tipo inferido na amostra"
+#: Rows of the table of splits that a join may send to every task (tens of MB).
+SPLITS_SENT = 200_000
+#: Whether a piece of text is a record, begins one that its split leaves open, or continues one.
+WHOLE, BEGINS, CONTINUES = range(3)
 
 
 def header_names(layout: Layout) -> list[str]:
@@ -123,13 +130,65 @@ def project(parsed: DataFrame, width: int, types: dict[int, str]) -> DataFrame:
     return parsed.select(*cols, "uri")
 
 
+def join_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines in file order as records: ``WHOLE`` ones, and the pieces that lie across the edges of a split.
+
+    ``open_before`` tells whether a split begins inside quotes. Lines that are records pass as they are;
+    what is held is one record at most.
+    """
+    split, parity, held, first, begins, header = None, 0, [], 0, False, None
+
+    def out(uris, numbers, headers, texts, edges) -> pa.RecordBatch:
+        kinds = pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32()
+        return pa.record_batch([pa.array(c, k) for c, k in zip((uris, numbers, headers, texts, edges), kinds)],
+                               names=["uri", "line_number", "header_line", "rec", "edge"])
+
+    for batch in batches:
+        uris, blocks, numbers, headers, recs, odds, opens = (batch.column(i) for i in range(7))
+        if not batch.num_rows:
+            continue
+        odd, block = odds.to_numpy(zero_copy_only=False), blocks.to_numpy(zero_copy_only=False)
+        codes = uris.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        cuts = np.flatnonzero((np.diff(codes) != 0) | (np.diff(block) != 0)) + 1
+        rows: list[tuple] = []
+        whole = np.zeros(batch.num_rows, bool)
+        for low, high in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            here = uris[low].as_py(), int(block[low])
+            if here != split:
+                if held:
+                    rows.append((split[0], first, header, "\n".join(held), BEGINS if begins else CONTINUES))
+                split, parity, held, begins = here, opens[low].as_py(), [], False
+            prior = (parity + np.cumsum(odd[low:high]) - odd[low:high]) % 2
+            whole[low:high] = (prior == 0) & (odd[low:high] == 0)
+            for i in (np.flatnonzero(~whole[low:high]) + low).tolist():
+                if prior[i - low] == 0:
+                    begins = True
+                if not held:
+                    first, header = numbers[i].as_py(), headers[i].as_py()
+                held.append(recs[i].as_py())
+                if prior[i - low] and odd[i]:
+                    rows.append((split[0], first, header, "\n".join(held), WHOLE if begins else CONTINUES))
+                    held, begins = [], False
+            parity = int(prior[-1] + odd[high - 1]) % 2
+        passed = pa.array(whole)
+        if whole.any():
+            edge = pa.array(np.full(int(whole.sum()), WHOLE, np.int32))
+            kept = [c.filter(passed) for c in (uris, numbers, headers, recs)]
+            yield pa.record_batch([*kept, edge], names=["uri", "line_number", "header_line", "rec", "edge"])
+        if rows:
+            yield out(*zip(*rows))
+    if held:
+        yield out([split[0]], [first], [header], ["\n".join(held)], [BEGINS if begins else CONTINUES])
+
+
 def exact_records(spark: SparkSession, layout: Layout, work: str):
     """Records of files whose quoted fields may span lines: ``(rec, uri, line_number)``, and the
     failed files.
 
     Quote parity is summed per split and carried over the splits in file order, which tells for
-    every line whether it begins inside quotes. The numbered lines are written once to the shared
-    work folder. Only lines of multi-line records are then grouped, by record.
+    every line whether it begins inside quotes. A second scan joins lines to records within each split
+    and writes the records once to the shared work folder; only the pieces that a split leaves open at
+    its edges, two at most, are then grouped, by record. No line is shuffled.
     """
     lines = decoded_lines(spark, layout).withColumn("odd", odd_quotes(F.col("rec")))
     of_file = Window.partitionBy("uri")
@@ -151,46 +210,37 @@ def exact_records(spark: SparkSession, layout: Layout, work: str):
         F.when(F.bool_or("unclosed"), UNCLOSED).otherwise(BAD_UTF8).alias("erro")
     )
 
-    in_block = Window.partitionBy("uri", "block").orderBy("seq")
-    prior = F.coalesce(F.sum("odd").over(in_block.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     number = F.when(
         F.col("before").isNotNull(), F.col("before") + F.col("seq") - F.col("first_seq") + 1
     ).otherwise(F.raise_error(F.lit("source splits changed between scans")).cast("bigint"))
+    # A map-side join keeps the lines in file order; with more splits than it may send out they are sorted again.
+    if blocks.count() <= SPLITS_SENT:
+        placed = lines.join(F.broadcast(blocks), ["uri", "block"], "left")
+    else:
+        placed = lines.join(blocks, ["uri", "block"], "left").sortWithinPartitions("uri", "block", "seq")
     folder = f"{work}/lines-{layout.id}"
     (
-        lines.join(blocks, ["uri", "block"], "left")
-        .withColumn("line_number", number)
-        .where("not (unclosed or bad_file)")
-        .withColumn("starts", (F.col("open_before") + prior) % 2 == 0)
-        .select("uri", "block", "line_number", "rec", "odd", "starts", "header_line")
+        placed.where("not (unclosed or bad_file)")
+        .select("uri", "block", number.alias("line_number"), "header_line", "rec",
+                F.col("odd").cast("int").alias("odd"), F.col("open_before").cast("int").alias("open_before"))
+        .mapInArrow(join_lines, "uri string, line_number bigint, header_line bigint, rec string, edge int")
         .write.mode("overwrite").parquet(folder)
     )
-    lines = spark.read.parquet(folder)
-
-    whole = F.col("starts") & (F.col("odd") == 0)
-    single = lines.where(whole).select("uri", "line_number", "header_line", "rec")
-    # The record a line belongs to: the last start in its split, else the one open when it began.
-    last_start = lines.groupBy("uri", "block").agg(
-        F.max(F.when(F.col("starts"), F.col("line_number"))).alias("last_start")
-    )
-    carried = last_start.select(
-        "uri", "block", F.last("last_start", ignorenulls=True).over(before).alias("carried")
-    )
-    here = F.max(F.when(F.col("starts"), F.col("line_number"))).over(
-        Window.partitionBy("uri", "block").orderBy("line_number")
-    )
-    pieces = (
-        lines.where(~whole)
-        .withColumn("here", here)
-        .join(carried, ["uri", "block"], "left")
-        .withColumn("record", F.coalesce("here", "carried"))
-    )
-    joined = pieces.groupBy("uri", F.col("record").alias("line_number")).agg(
+    records = spark.read.parquet(folder)
+
+    # At most two pieces per split stay open: what its first lines continue, and what its last line leaves open.
+    pieces = records.where(F.col("edge") != WHOLE)
+    so_far = of_file.orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    begun = F.when(F.col("edge") == BEGINS, F.col("line_number"))
+    joined = pieces.withColumn("record", F.last(begun, ignorenulls=True).over(so_far)).groupBy(
+        "uri", F.col("record").alias("line_number")
+    ).agg(
         F.first("header_line").alias("header_line"),
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct("line_number", "rec"))), lambda p: p.rec), "\n"
         ).alias("rec"),
     )
+    single = records.where(F.col("edge") == WHOLE).drop("edge")
     records = (
         single.unionByName(joined)
         .where(F.col("rec").rlike(r"\S") & (F.col("line_number") != F.col("header_line")))

@@ -132,8 +132,12 @@ def read_heads(files: DataFrame) -> DataFrame:
 
 
 def _header_rest(head: bytes, file) -> bytes:
-    """What follows ``head`` up to the end of the first record: a line end outside quotes behind some text."""
-    quotes, text, rest, block = 0, False, [], head
+    """What follows ``head`` up to the end of the first record: a line end outside quotes behind some text.
+
+    The file is scanned in blocks of which nothing is kept; only then is the rest of a record read. Quotes that
+    stay open up to the end of the file make no record: the check for unclosed quotes reports such a file.
+    """
+    quotes, text, block, passed = 0, False, head, 0
     while block:
         at = 0
         while at < len(block):
@@ -142,11 +146,18 @@ def _header_rest(head: bytes, file) -> bytes:
             quotes += line.count(b'"')
             text = text or bool(line.strip())
             if end >= 0 and text and quotes % 2 == 0:
-                return b"".join(rest[:-1] + [block[:end]]) if rest else b""
+                return _between(file, len(head), passed + end)
             at = len(block) if end < 0 else end + 1
+        passed += len(block)
         block = file.read(BLOCK)
-        rest.append(block)
-    return b"".join(rest)
+    return b"" if quotes % 2 else _between(file, len(head), passed)
+
+
+def _between(file, start: int, end: int) -> bytes:
+    if end <= start:
+        return b""
+    file.seek(start)
+    return file.read(end - start)
 
 
 def hash_files(files: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 from lakeingest import IngestOptions, ingest
 from lakeingest.operators.framing import Layout
 from lakeingest.session import isolated
+from lakeingest.sources import delimited, remote
 from lakeingest.sources.delimited import exact_records
 from tests.conftest import rows
 
@@ -136,3 +137,39 @@ def test_record_numbers(spark, drop):
     assert [(r.line_number, r.rec) for r in records.orderBy("line_number").collect()] == [
         (2, '"a\nb"'), (5, "c"), (6, '"d\n\ne"')]
     assert failed.count() == 0
+
+
+def test_records_over_many_splits(spark, drop, monkeypatch):
+    """Records over split edges, over whole splits and none at all, by both ways of joining the splits."""
+    rng, small = random.Random(3), isolated(spark)
+    small.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    small.conf.set("spark.sql.files.openCostInBytes", "0")
+    want = []
+    for name in ("a", "b", "c"):
+        body = io.StringIO()
+        out = csv.writer(body, lineterminator="\n")
+        out.writerow(["k", "texto"])
+        for i in range(60):
+            text = "".join(rng.choice(["x", 'p "q" r', "\n", " y\n", "ç,"]) for _ in range(rng.choice([1, 3, 30, 900 if i % 20 == 7 else 2])))
+            text = "z" + text
+            out.writerow([f"{name}{i}", text])
+            want.append((f"{name}{i}", text))
+        folder = drop(f"{name}.csv", body.getvalue())
+    for sent in (delimited.SPLITS_SENT, 0):
+        monkeypatch.setattr(delimited, "SPLITS_SENT", sent)
+        result = ingest(small, [folder], f"{drop.out}/{sent}", IngestOptions())
+        assert {r.status for r in result.audit.select("status").collect()} == {"sucesso"}
+        assert sorted(tuple(r) for r in result.table().select("k", "texto").collect()) == sorted(want)
+
+
+def test_header_with_a_stray_quote(spark, drop):
+    """A quote that opens in a long header and never closes fails its file; a long quoted header is read whole."""
+    long = b'a,"' + b"b" * 300_000 + b'\n",c\n1,2,3\n'
+    file = io.BytesIO(long)
+    assert long[:102400] + remote._header_rest(file.read(102400), file) == long[:-7]
+    stray = b'a,"b' + b"x" * 200_000 + b"\n" + b"1,2\n" * 400_000
+    file = io.BytesIO(stray)
+    assert remote._header_rest(file.read(102400), file) == b""
+    folder = drop("stray.csv", stray)
+    got = ingest(spark, [folder], drop.out, IngestOptions(continue_on_error=True)).audit.first()
+    assert got.status == "erro" and "aspas sem fechamento" in " ".join(got.erros)
