@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -132,13 +134,41 @@ def registry_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     rg.append_rows(spark, o.where("o_orderstatus = 'F'"), folder)
     rg.append_rows(spark, o.where("o_orderstatus <> 'F'"), folder)
     first = o.where("o_orderstatus = 'F'").count()
-    ids = spark.read.parquet(folder).select("id", "transaction_id", "email", "status")
+    ids = rg.read_registry(spark, folder).select("id", "transaction_id", "email", "status")
     # With ids from 1 on and no gaps, the sorted ids are the positions; a repeated or skipped one would pair badly.
     every = spark.range(1, o.count() + 1).select("id", F.lit(True).alias("no_lugar"))
     return ids.join(every, "id", "full").select(
         "transaction_id", "email", "status", (F.col("id") <= first).alias("primeira"), F.coalesce("no_lugar", F.lit(False)).alias("no_lugar"))
 
 
+def registry_concurrent_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writers that append at the same time: each writer's ids lie together, and none is missing or given twice."""
+    folder = fresh(spark, "registry_concurrent") + "/registro"
+    o = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("transaction_id"), F.col("o_orderpriority").alias("email"))
+    kinds = [f"o_orderpriority = '{k}'" for k in ("1-URGENT", "2-HIGH", "3-MEDIUM")]
+    kinds.append(" AND ".join(f"NOT ({k})" for k in kinds))
+    with ThreadPoolExecutor(len(kinds)) as pool:
+        list(pool.map(lambda k: rg.append_rows(spark, o.where(k.replace("o_orderpriority", "email")), folder), kinds))
+    ids = rg.read_registry(spark, folder).select("id", "email")
+    every = spark.range(1, o.count() + 1).select("id", F.lit(True).alias("no_lugar"))
+    writer = F.when(F.col("email").isin("1-URGENT", "2-HIGH", "3-MEDIUM"), F.col("email")).otherwise("outros")
+    return ids.join(every, "id", "full").groupBy(writer.alias("escritor")).agg(
+        (F.max("id") - F.min("id") + 1 == F.count_distinct("id")).alias("junto"), F.count(F.lit(1)).alias("linhas"),
+        F.bool_and(F.coalesce("no_lugar", F.lit(False))).alias("no_lugar"))
+
+
+def registry_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold as a stream in five deliveries, read from a snapshot and the changes behind it."""
+    folder = fresh(spark, "registry_compacted")
+    rows = payloads(spark, sf_dir)
+    for k in range(5):
+        rows.where(F.col("seq") % 5 == k).select("seq", "payload").write.mode("append").parquet(f"{folder}/eventos")
+        source = spark.readStream.schema("seq bigint, payload string").parquet(f"{folder}/eventos")
+        stream_registry(source, f"{folder}/registro", f"{folder}/controle", share=0.9).awaitTermination()
+    return current_registry(spark, f"{folder}/registro")
+
+
 def stream_registry_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fold as a stream over the same payloads, restarted between two deliveries."""
     folder = fresh(spark, "stream_registry")
@@ -153,7 +183,8 @@ def stream_registry_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "event_extract": event_extract, "event_filter": event_filter, "event_outcome": event_outcome,
     "event_outcome_hot": event_outcome_hot, "registry_fold": registry_fold, "registry_lookup": registry_lookup,
-    "registry_append": registry_append, "registry_evolve": registry_evolve, "registry_expiry": registry_expiry,
+    "registry_append": registry_append, "registry_compacted": registry_compacted,
+    "registry_concurrent_append": registry_concurrent_append, "registry_evolve": registry_evolve, "registry_expiry": registry_expiry,
     "registry_validity": registry_validity, "stream_registry_fold": stream_registry_fold,
 }
 
@@ -203,6 +234,11 @@ ORACLE = {
     "registry_append": """
         SELECT CAST(o_orderkey AS VARCHAR) AS transaction_id, 'a@x.org' AS email, 'ativa' AS status,
                o_orderstatus = 'F' AS primeira, true AS no_lugar FROM orders""",
+    "registry_compacted": f"WITH {_FOLD} SELECT * FROM r",
+    "registry_concurrent_append": """
+        SELECT CASE WHEN left(o_orderpriority, 1) IN ('1', '2', '3') THEN o_orderpriority ELSE 'outros' END AS escritor,
+               true AS junto, count(*) AS linhas, true AS no_lugar
+        FROM orders GROUP BY ALL""",
     "registry_evolve": """
         SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') AS emitida_em, 'perpetua' AS tipo,
                CASE WHEN o_orderstatus = 'O' OR (o_orderstatus = 'P' AND o_orderkey % 2 = 0) THEN 'revogada'

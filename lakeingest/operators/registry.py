@@ -7,11 +7,14 @@ nor the per-event outcome ever gathers the events of one transaction in one plac
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeingest.operators.skew import HOT_ROWS, join_skewed
-from lakeingest.session import hadoop_path, remove_tree, work_folder
+from lakeingest.session import create_once, hadoop_path, read_small, remove_tree, work_folder
 
 # Event names and registry words of the contract.
 APPROVED = "PURCHASE_APPROVED"
@@ -124,31 +127,54 @@ def lookup(registry: DataFrame, keys: DataFrame) -> DataFrame:
 def append_rows(spark: SparkSession, rows: DataFrame, folder: str) -> None:
     """Append entries with ids that go on without gaps. Missing columns get their defaults.
 
-    A mark in the folder keeps a second writer out; it is left behind only if this process dies, and the
-    error names it. The rows are written once with their place in their partition, so that the ids follow
-    from one count per partition and stay the same if a task runs again.
+    Writers do not wait for each other. The rows are written once with their place in their partition, so that
+    ids follow from one count per partition and stay the same if a task runs again. With the ids behind the
+    newest commit they go to a folder of their own, which counts only once the next numbered commit names it.
+    That commit is made only where it is absent; who comes second takes the ids behind it and tries again.
+    A writer that dies leaves files that nothing names. ``read_registry`` reads what is committed.
     """
-    fs, mark = hadoop_path(spark, f"{folder}/_append")
-    if not fs.createNewFile(mark):
-        raise RuntimeError(f"another append holds {mark}")
     staged = work_folder(spark, "append")
     try:
         rows = with_defaults(rows).drop("id")
-        seen = (entry for entry in fs.listStatus(mark.getParent()) if not entry.getPath().getName().startswith(("_", ".")))
-        last = spark.read.parquet(folder).agg(F.max("id")).first()[0] or 0 if next(seen, None) else 0
         place = F.monotonically_increasing_id()
         rows.select(*rows.columns, F.shiftright(place, 33).alias("_part"), place.bitwiseAND((1 << 33) - 1).alias("_at")).write.parquet(staged)
         placed = spark.read.parquet(staged)
         before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
         sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
         starts = sizes.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
-        numbered = placed.join(starts, "_part").select((F.col("_start") + F.col("_at") + last + 1).alias("id"), *rows.columns)
-        numbered.write.mode("append").parquet(folder)
+        n_rows = placed.count()
+        while True:
+            newest = max(commits(spark, folder), key=lambda c: c["number"], default=None)
+            last = newest["last"] if newest else _last_loose_id(spark, folder)
+            data = f"_dados/{uuid.uuid4().hex}"
+            placed.join(starts, "_part").select(
+                (F.col("_start") + F.col("_at") + last + 1).alias("id"), *rows.columns).write.parquet(f"{folder}/{data}")
+            number = newest["number"] + 1 if newest else 1
+            said = json.dumps({"number": number, "last": last + n_rows, "data": data})
+            if create_once(spark, f"{folder}/_commits/{number:020d}.json", said):
+                return
+            remove_tree(spark, f"{folder}/{data}")
     finally:
-        fs.delete(mark, False)
         remove_tree(spark, staged)
 
 
+def commits(spark: SparkSession, folder: str) -> list[dict]:
+    """The commits of a registry, one small file each: ``number``, ``last`` id and the folder of its ``data``."""
+    return [json.loads(text) for text in read_small(spark, f"{folder}/_commits", ".json")]
+
+
+def _loose_files(spark: SparkSession, folder: str) -> bool:
+    """Whether the folder holds entries that were written before there were commits."""
+    fs, path = hadoop_path(spark, folder)
+    return fs.exists(path) and any(not e.getPath().getName().startswith(("_", ".")) for e in fs.listStatus(path))
+
+
+def _last_loose_id(spark: SparkSession, folder: str) -> int:
+    if not _loose_files(spark, folder):
+        return 0
+    return spark.read.option("recursiveFileLookup", True).parquet(folder).agg(F.max("id")).first()[0] or 0
+
+
 def with_defaults(rows: DataFrame) -> DataFrame:
     """Registry rows in the current schema; entries from before ``status`` existed are active."""
     known = set(rows.columns)
@@ -161,8 +187,11 @@ def with_defaults(rows: DataFrame) -> DataFrame:
 
 
 def read_registry(spark: SparkSession, folder: str) -> DataFrame:
-    """Registry files of all generations under one schema."""
-    return with_defaults(spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(folder))
+    """Registry files of all generations under one schema: loose files, and the folders that commits name."""
+    paths = [f"{folder}/{c['data']}" for c in commits(spark, folder)]
+    if not paths or _loose_files(spark, folder):
+        paths.append(folder)
+    return with_defaults(spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(*paths))
 
 
 def expiry(tipo: Column, validade: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -100,3 +101,47 @@ def has_data(spark: SparkSession, folder: str) -> bool:
         if entries.next().isDirectory():
             return True
     return False
+
+
+def create_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file with its content unless it exists; false where another writer was first.
+
+    The content is written beside it and then given the name in one step, which a reader never sees half done:
+    a link on a local file system, elsewhere a rename that does not overwrite (atomic on HDFS and its like).
+    """
+    fs, target = hadoop_path(spark, path)
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path
+    draft = jvm_path(target.getParent(), f".{uuid.uuid4().hex}")
+    out = fs.create(draft, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    try:
+        if fs.getScheme() == "file":
+            plain = [fs.makeQualified(p).toUri().getPath() for p in (draft, target)]
+            os.link(*plain)
+        else:
+            options = spark._jvm.org.apache.hadoop.fs.Options
+            never = spark.sparkContext._gateway.new_array(getattr(options, "Rename"), 0)
+            context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+            context.rename(draft, target, never)
+        return True
+    except Exception:
+        if not fs.exists(target):
+            raise
+        return False
+    finally:
+        fs.delete(draft, False)
+
+
+def read_small(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """The texts of a folder's small files, by name."""
+    fs, jpath = hadoop_path(spark, folder)
+    if not fs.exists(jpath):
+        return []
+    found = [e.getPath() for e in fs.listStatus(jpath) if e.getPath().getName().endswith(suffix)]
+    texts = []
+    for path in sorted(found, key=lambda p: p.getName()):
+        stream = fs.open(path)
+        texts.append(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        stream.close()
+    return texts

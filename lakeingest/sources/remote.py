@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import deque
 from collections.abc import Iterator
 from urllib.parse import quote
 
@@ -16,6 +17,8 @@ from lakeingest.session import spread
 
 BLOCK = 1 << 20
 BATCH_BYTES = 16 << 20
+#: Folders that a task lists in each round before it hands the waiting ones on.
+WALK_BUDGETS = (1, 64, 4096)
 
 
 def resolve(path: str):
@@ -49,8 +52,10 @@ def scan_uri(path: str) -> str:
 def list_tree(roots: DataFrame) -> DataFrame:
     """All files below the roots (column ``path``) as ``(path, uri, length)``.
 
-    The first level is listed first and its folders are then spread over the cluster and walked in
-    parallel. Unlike Spark's own listing this keeps empty files, which have to be reported.
+    Every round lists folders breadth first, up to a number that grows from round to round, and then
+    deals the folders still waiting out to all tasks again; the last round walks what is left. So the
+    work spreads however the tree is shaped. Unlike Spark's own listing this keeps empty files, which
+    have to be reported.
     """
 
     def entries(path: str) -> list[tuple]:
@@ -63,29 +68,31 @@ def list_tree(roots: DataFrame) -> DataFrame:
             for i in fs.get_file_info(pafs.FileSelector(name))
         ]
 
-    def first_level(batches):
+    def walk(budget: int | None):
+        def run(batches):
+            listed = 0
+            for batch in batches:
+                known = batch["is_file"].astype(bool)
+                yield batch[known]
+                waiting = deque(batch[~known]["path"])
+                while waiting and (budget is None or listed < budget):
+                    level = pd.DataFrame(entries(waiting.popleft()), columns=["path", "is_file", "length"])
+                    listed += 1
+                    files = level["is_file"].astype(bool)
+                    yield level[files]
+                    waiting.extend(level[~files]["path"])
+                yield pd.DataFrame([(p, False, 0) for p in waiting], columns=["path", "is_file", "length"])
+        return run
+
+    def with_uri(batches):
         for batch in batches:
-            for path in batch["path"]:
-                yield pd.DataFrame(entries(path), columns=["path", "is_file", "length"])
+            yield pd.DataFrame({"path": batch["path"], "uri": [scan_uri(p) for p in batch["path"]], "length": batch["length"]})
 
-    def below(batches):
-        for batch in batches:
-            waiting = []
-            level = batch
-            while level is not None:
-                files = level[level["is_file"].astype(bool)]
-                if len(files):
-                    paths = files["path"].tolist()
-                    yield pd.DataFrame({
-                        "path": paths, "uri": [scan_uri(p) for p in paths], "length": files["length"].tolist(),
-                    })
-                waiting += level[~level["is_file"].astype(bool)]["path"].tolist()
-                level = pd.DataFrame(
-                    entries(waiting.pop()), columns=["path", "is_file", "length"]
-                ) if waiting else None
-
-    level = roots.mapInPandas(first_level, "path string, is_file boolean, length bigint")
-    return spread(level, "path").mapInPandas(below, "path string, uri string, length bigint")
+    schema = "path string, is_file boolean, length bigint"
+    level = roots.selectExpr("path", "false AS is_file", "0L AS length")
+    for budget in WALK_BUDGETS:
+        level = spread(level.mapInPandas(walk(budget), schema), "path")
+    return level.mapInPandas(walk(None), schema).mapInPandas(with_uri, "path string, uri string, length bigint")
 
 
 def _with_columns(files: DataFrame, schema: str, add) -> DataFrame:

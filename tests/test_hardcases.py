@@ -166,3 +166,22 @@ def test_faults_stay_with_their_files(spark, drop):
     assert {r.nome_original: r.status for r in result.audit.collect()} == {
         "good.xlsx": "sucesso", "bad.xlsx": "erro", "good.csv": "sucesso", "open.csv": "erro"}
     assert rows(result.table(), "k") == [(1,), (2,)]
+
+
+def test_deep_tree_is_listed_whole(spark, tmp_path, monkeypatch):
+    """One folder at the top, branches of uneven depth and empty files, whatever the budgets of the rounds."""
+    from lakeingest.sources import remote
+    from lakeingest.sources.listing import list_files
+
+    want = set()
+    for k in range(40):
+        folder = tmp_path / "raiz" / "um" / "/".join(f"n{k % (d + 2)}" for d in range(k % 9 + 1)) / f"f{k}"
+        folder.mkdir(parents=True)
+        for name in ("a.csv", "b [1].json", "vazio.csv"):
+            (folder / name).write_text("" if name.startswith("v") else "x")
+            want.add((f"file:{folder / name}", 0 if name.startswith("v") else 1))
+    for budgets in (remote.WALK_BUDGETS, (1, 2, 3), ()):
+        monkeypatch.setattr(remote, "WALK_BUDGETS", budgets)
+        got = list_files(spark, [str(tmp_path / "raiz")]).collect()
+        assert {(r.path, r.length) for r in got} == want and len(got) == len(want)
+    assert list_files(spark, [str(tmp_path / "nichts")]).collect() == []

@@ -2,12 +2,13 @@ import datetime
 import json
 import os
 import random
+from concurrent.futures import ThreadPoolExecutor
 
-import pytest
 from pyspark.sql import functions as F
 
 from lakeingest.operators import registry as rg
-from lakeingest.streaming.registry import current_registry, stream_registry
+from lakeingest.session import create_once
+from lakeingest.streaming.registry import _parts, current_registry, stream_registry
 
 A, R, C = rg.APPROVED, "PURCHASE_REFUNDED", "PURCHASE_CANCELED"
 
@@ -89,10 +90,16 @@ def test_append_evolve_lookup(spark, tmp_path):
     assert sorted(r.id for r in back.where("email in ('c@x', 'd@x')").collect()) == [3, 4]
     rg.append_rows(spark, spark.range(50).selectExpr("concat('m', id) as email").repartition(7), folder)
     assert sorted(r.id for r in rg.read_registry(spark, folder).select("id").collect()) == list(range(1, 55))
-    open(f"{folder}/_append", "w").close()  # as if another writer were at it
-    with pytest.raises(RuntimeError):
-        rg.append_rows(spark, spark.createDataFrame([("z@x",)], "email string"), folder)
-    os.remove(f"{folder}/_append")
+    os.makedirs(f"{folder}/_dados/dead")  # what a writer that died has left
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: rg.append_rows(spark, spark.range(20).selectExpr(f"concat('w{k}-', id) as email"), folder), range(3)))
+    got = rg.read_registry(spark, folder).select("id", "email").collect()
+    assert sorted(r.id for r in got) == list(range(1, 115))
+    for k in range(3):  # a writer's ids lie together
+        ids = sorted(r.id for r in got if r.email.startswith(f"w{k}-"))
+        assert ids == list(range(ids[0], ids[0] + 20))
+    assert [c["number"] for c in rg.commits(spark, folder)] == [1, 2, 3, 4, 5]
+    assert not create_once(spark, f"{folder}/_commits/{1:020d}.json", "{}") and len(rg.commits(spark, folder)) == 5
     keys = spark.createDataFrame([("T1",), (None,), ("T1",)], "transaction_id string")
     assert [r.email for r in rg.lookup(back, keys).collect()] == ["c@x"]
 
@@ -122,3 +129,20 @@ def test_stream_keeps_state_over_restarts(spark, tmp_path):
         stream_registry(source, base + "/out", base + "/ck").awaitTermination()
     got = current_registry(spark, base + "/out").collect()
     assert {(r.transaction_id, r.email, r.status) for r in got} == entries
+
+
+def test_changes_are_merged(spark, tmp_path):
+    """Snapshots replace the changes of many batches; an unfinished one does not count."""
+    events = random_events(400)
+    _, entries = simulate(events)
+    base = str(tmp_path)
+    for k in range(8):
+        docs = [(s, json.dumps({"event": e, "email": m, "transaction": t})) for s, e, m, t in events[50 * k:50 * k + 50]]
+        spark.createDataFrame(docs, "seq long, payload string").coalesce(1).write.mode("append").parquet(base + "/in")
+        source = spark.readStream.schema("seq long, payload string").parquet(base + "/in")
+        stream_registry(source, base + "/out", base + "/ck", share=0.1).awaitTermination()
+    last, behind, snapshots, batches = _parts(spark, base + "/out")
+    assert last == 7 and not behind and len(snapshots) <= 2 and len(batches) < 8
+    os.makedirs(base + "/out/_retrato/lote=99")
+    got = current_registry(spark, base + "/out").collect()
+    assert {(r.transaction_id, r.email, r.status) for r in got} == entries
