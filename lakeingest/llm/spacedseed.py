@@ -7,34 +7,39 @@ are laid over each other at that place, and the overlap counts if some stretch o
 stretch holds a hit. Items shorter than a stretch are hashed by runs of so many words that one of them must be
 whole; one of fewer than ``LEAST`` words says too little and meets only a document that is just these words.
 
-Documents stream past the hashes of the items, a map without a shuffle. The items go out in blocks of a
-bounded number of words, so that any number of items is compared with every whole document.
+Items become a table of seeds. Documents are hashed where they lie; a bit filter of the items' seeds, at most
+``FILTER_WORDS`` words of 64 bits, lets few of their hashes on, and these meet the seeds in a join. The hits of a text
+with an item are gathered as the distinct places where the item may lie, at most one per word of both. With the item's
+words they are joined to the documents by a hash of 128 bits of the text, and every place is verified there. Equal
+texts share their hits. Nothing of the benchmark passes the driver but the filter and the lengths of runs; joins carry
+no hints, so the smaller side is sent out only by its measured size and hot seeds or texts are split at run time.
 
 Words are runs of bytes other than white space and ASCII punctuation, with A-Z in lower case.
 
 Defined results: null and empty texts and items without a word meet nothing; repeated rows and repeated
-items each give their own rows; an empty benchmark leaves every document as it is.
+items each give their own rows; of several places of a pair the one with most agreeing words counts, then the longest,
+then the first; texts are hashed whole, however long; an empty benchmark leaves every document as it is; other columns
+are kept by ``clean`` whatever their names, and not read by ``overlaps``.
 """
 
 from __future__ import annotations
 
 import string
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeingest.llm.common import by_bytes
+from lakeingest.llm.common import PIECE_BYTES, by_bytes, stored, text_of
 
 #: Positions that a mask looks at.
 MASKS = ((0, 1, 3, 5, 6, 7), (0, 1, 2, 5, 6, 9), (0, 1, 3, 8, 9, 10), (0, 3, 4, 6, 8, 10))
 STRETCH, AGREE, LEAST = 13, 0.8, 8
-#: Words of items in one block.
-BLOCK_WORDS = 200_000
-_FILTER_BITS = 22
+#: Words of 64 bits of the filter: about one for two seeds, and no more than this (16 MB).
+FILTER_WORDS = 1 << 21
 _FACTORS = [pow(0x9E3779B97F4A7C15, k + 1, 1 << 64) for k in range(16)]
 _PLAIN = bytes.maketrans(string.punctuation.encode() + bytes(range(65, 91)), b" " * len(string.punctuation) + bytes(range(97, 123)))
 
@@ -66,117 +71,139 @@ def _run(n: int) -> int:
     return n if n < LEAST else n // (n - int(np.ceil(AGREE * n)) + 1)
 
 
-class Items:
-    """Hashes of a block of items: ``seeds`` sorted, with the item and position of each, behind a bit filter."""
-
-    def __init__(self, ids: list, texts: list[str | None]):
-        self.ids = ids
-        self.codes = [_codes(words(t)) for t in texts]
-        self.runs = sorted({_run(len(c)) for c in self.codes} - {0})
-        seeds, items, places = [], [], []
-        for j, codes in enumerate(self.codes):
-            run = _run(len(codes))
-            for mask, salt in self.kinds() if not run else [(tuple(range(run)), 100 + run)]:
-                if not run and salt >= len(MASKS):
-                    continue
-                got = _seeds(codes, mask, salt)
-                seeds.append(got), items.append(np.full(len(got), j)), places.append(np.arange(len(got)))
-        join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, kind)
-        seeds, items, places = join(seeds, np.uint64), join(items, np.int32), join(places, np.int32)
-        order = np.argsort(seeds, kind="stable")
-        self.seeds, self.items, self.places = seeds[order], items[order], places[order]
-
-    def kinds(self) -> list[tuple[tuple[int, ...], int]]:
-        """Masks and runs, each with the number that tells its hashes apart."""
-        return [(m, k) for k, m in enumerate(MASKS)] + [(tuple(range(n)), 100 + n) for n in self.runs]
-
-    def _filter(self) -> np.ndarray:
-        bits = np.zeros(1 << _FILTER_BITS, bool)
-        bits[(self.seeds >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        return bits
-
-    def overlaps(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
-        """``(text, item, first word in the text, words laid over, words that agree)``, the best of each text and item."""
-        if not len(self.seeds):
-            return []
-        split = [words(t) for t in texts]
-        starts = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
-        codes = np.concatenate([_codes(x) for x in split]) if split else np.zeros(0, np.uint64)
-        bits, found = self._filter(), []
-        for mask, salt in self.kinds():
-            mix = _seeds(codes, mask, salt)
-            at = np.flatnonzero(bits[(mix >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            low = np.searchsorted(self.seeds, mix[at], "left")
-            many = np.searchsorted(self.seeds, mix[at], "right") - low
-            at, low, many = at[many > 0], low[many > 0], many[many > 0]
-            pick = np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())
-            at = np.repeat(at, many)
-            doc = np.searchsorted(starts, at, "right") - 1
-            found.append(np.stack([doc, self.items[pick].astype(np.int64), at - self.places[pick]], 1))
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for doc, item, first in np.unique(np.concatenate(found), axis=0).tolist():
-            got = self._agreeing(codes[starts[doc] : starts[doc + 1]], self.codes[item], first - int(starts[doc]))
-            if got and (got[2], got[1], -got[0]) > (lambda b: (b[2], b[1], -b[0]))(best.get((doc, item), (0, 0, 0))):
-                best[doc, item] = got
-        return [(d, j, *x) for (d, j), x in sorted(best.items())]
-
-    @staticmethod
-    def _agreeing(text: np.ndarray, item: np.ndarray, first: int) -> tuple[int, int, int] | None:
-        """First word, words and agreeing words of the overlap with the item's start laid at ``first``."""
-        low, high = max(first, 0), min(first + len(item), len(text))
-        need = min(STRETCH, len(item))
-        if not need or high - low < need or len(item) < LEAST and len(text) != len(item):
-            return None
-        same = text[low:high] == item[low - first : high - first]
-        sums = np.concatenate([[0], np.cumsum(same)])
-        if (sums[need:] - sums[:-need]).max() < np.ceil(AGREE * need):
-            return None
-        return low, high - low, int(same.sum())
-
-
-def blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[Items]:
-    """The items, in blocks of about ``block_words`` words (a single item may be longer)."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + size // (4 * block_words)
-    for k in range(n):
-        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect() if n > 1 else (
-            rows.orderBy("item_id", "text").collect())
-        if block:
-            yield Items([r[0] for r in block], [r[1] for r in block])
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
+def agreeing(text: np.ndarray, item: np.ndarray, first: int) -> tuple[int, int, int] | None:
+    """First word, words and agreeing words of the overlap with the item's start laid at ``first``."""
+    low, high = max(first, 0), min(first + len(item), len(text))
+    need = min(STRETCH, len(item))
+    if not need or high - low < need or len(item) < LEAST and len(text) != len(item):
+        return None
+    same = text[low:high] == item[low - first : high - first]
+    sums = np.concatenate([[0], np.cumsum(same)])
+    if (sums[need:] - sums[:-need]).max() < np.ceil(AGREE * need):
+        return None
+    return low, high - low, int(same.sum())
+
+
+def _kinds(runs: Iterable[int]) -> list[tuple[tuple[int, ...], int]]:
+    """Masks and runs, each with the number that tells its hashes apart."""
+    return [(m, k) for k, m in enumerate(MASKS)] + [(tuple(range(n)), 100 + n) for n in runs]
+
+
+def item_words(benchmark: DataFrame) -> DataFrame:
+    """``(ik, item_id, codes, run)`` of every item with a word: its number, its words' hashes and its run length."""
+    rows = benchmark.select(F.monotonically_increasing_id().alias("ik"), F.col("item_id").cast("string").alias("item_id"), text_of().alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "text"):
+            codes = [_codes(words(t)) for t in b.column(2).to_pylist()]
+            columns = [b.column(0), b.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([_run(len(c)) for c in codes], pa.int32())]
+            yield pa.record_batch(columns, names=["ik", "item_id", "codes", "run"])
+
+    return rows.mapInArrow(run, "ik bigint, item_id string, codes binary, run int").where(F.octet_length("codes") > 0)
+
+
+def item_seeds(items: DataFrame) -> DataFrame:
+    """``(seed, ik, place)`` of all placements of the masks, or of the item's run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, "codes", PIECE_BYTES // 8):
+            seeds, keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for ik, data, length in zip(*(b.column(k).to_pylist() for k in range(3))):
+                for mask, salt in _kinds([length])[len(MASKS) :] if length else _kinds([]):
+                    got = _seeds(np.frombuffer(data, np.uint64), mask, salt)
+                    seeds.append(got), keys.append(np.full(len(got), ik)), places.append(np.arange(len(got)))
+            columns = [np.concatenate(seeds).view(np.int64), np.concatenate(keys), np.concatenate(places)]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["seed", "ik", "place"])
+
+    return items.select("ik", "codes", "run").mapInArrow(run, "seed bigint, ik bigint, place bigint")
+
+
+class Sieve:
+    """A filter that every seed of the items passes: two bits in one of its words."""
+
+    def __init__(self, seeds: DataFrame, most: int = FILTER_WORDS):
+        n = min(most, 1 << max(6, (seeds.count() // 2).bit_length()))
+        self.shift = 64 - n.bit_length() + 1
+        bits = F.expr("shiftleft(1L, cast(seed & 63 AS int)) | shiftleft(1L, cast((seed >> 6) & 63 AS int))")
+        held = seeds.groupBy(F.shiftrightunsigned("seed", self.shift).alias("at")).agg(F.bit_or(bits).alias("bits"))
+        found = held.toArrow()  # one row per word of the filter
+        self.bits = np.zeros(n, np.uint64)
+        self.bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+
+    def passing(self, seeds: np.ndarray) -> np.ndarray:
+        one, low = np.uint64(1), np.uint64(63)
+        asked = (one << (seeds & low)) | (one << ((seeds >> np.uint64(6)) & low))
+        return np.flatnonzero(self.bits[(seeds >> np.uint64(self.shift)).astype(np.int64)] & asked == asked)
+
+
+def _hashed() -> list[Column]:
+    return [F.xxhash64(text_of()).alias("t1"), F.xxhash64(text_of(), F.lit(1)).alias("t2")]
+
+
+def document_seeds(docs: DataFrame, sieve: Sieve, runs: list[int]) -> DataFrame:
+    """``(seed, t1, t2, at)`` of the documents' hashes that pass the sieve."""
+    sent, kinds = docs.sparkSession.sparkContext.broadcast(sieve), _kinds(runs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve = sent.value
+        for b in by_bytes(batches, "text"):
+            split = [words(t) for t in b.column(2).to_pylist()]
+            starts = np.concatenate([[0], np.cumsum([len(x) for x in split])]).astype(np.int64)
+            codes = _codes(list(chain.from_iterable(split)))
+            one, two = (b.column(k).to_numpy() for k in range(2))
+            for mask, salt in kinds:
+                mix = _seeds(codes, mask, salt)
+                at = sieve.passing(mix)
+                doc = np.searchsorted(starts, at, "right") - 1
+                inside = at + mask[-1] < starts[doc + 1]  # no placement over the end of a text
+                at, doc = at[inside], doc[inside]
+                columns = [mix[at].view(np.int64), one[doc], two[doc], at - starts[doc]]
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=["seed", "t1", "t2", "at"])
+
+    return docs.select(*_hashed(), text_of().alias("text")).mapInArrow(run, "seed bigint, t1 bigint, t2 bigint, at bigint")
+
+
+def _verified(docs: DataFrame, benchmark: DataFrame, filter_words: int) -> DataFrame:
+    """``(t1, t2, doc_id, item_id, first_word, n_words, n_agree)`` of every row of ``docs`` and item that overlap."""
+    items, _ = stored(item_words(benchmark), "seed-items")
+    seeds, _ = stored(item_seeds(items), "seed-places")
+    runs = sorted(r[0] for r in items.where("run > 0").select("run").distinct().collect())  # below STRETCH each
+    met = document_seeds(docs, Sieve(seeds, filter_words), runs).join(seeds, "seed")
+    places = met.groupBy("t1", "t2", "ik").agg(F.collect_set(F.col("at") - F.col("place")).alias("firsts"))
+    hits, _ = stored(places.join(items.drop("run"), "ik").drop("ik"), "seed-hits")
+    rows = docs.select(*_hashed(), F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, text = None, np.zeros(0, np.uint64)
+        for b in by_bytes(batches, "text"):
+            kept, best = [], []
+            for i in range(b.num_rows):
+                key = b.column(0)[i].as_py(), b.column(1)[i].as_py()
+                if key != last:
+                    last, text = key, _codes(words(b.column(3)[i].as_py()))
+                item = np.frombuffer(b.column(5)[i].as_py(), np.uint64)
+                found = [got for first in b.column(6)[i].as_py() if (got := agreeing(text, item, first))]
+                if found:
+                    kept.append(i)
+                    best.append(max(found, key=lambda g: (g[2], g[1], -g[0])))
+            taken = [b.column(k).take(pa.array(kept, pa.int64())) for k in (0, 1, 2, 4)]
+            columns = taken + [pa.array([g[k] for g in best], pa.int64()) for k in range(3)]
+            yield pa.record_batch(columns, names=["t1", "t2", "doc_id", "item_id", "first_word", "n_words", "n_agree"])
+
+    joined = rows.join(hits, ["t1", "t2"]).select("t1", "t2", "doc_id", "text", "item_id", "codes", "firsts")
+    return joined.mapInArrow(run, "t1 bigint, t2 bigint, doc_id bigint, item_id string, first_word bigint, n_words bigint, n_agree bigint")
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, filter_words: int = FILTER_WORDS) -> DataFrame:
     """``(doc_id, item_id, first_word, n_words, n_agree)``: a row per document and item that overlap."""
-    schema = "doc_id bigint, item_id string, first_word bigint, n_words bigint, n_agree bigint"
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _verified(docs, benchmark, filter_words).drop("t1", "t2")
 
-    def against(items: Items) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in by_bytes(batches, "text"):
-                found, ids = items.overlaps(b.column(1).to_pylist()), b.column(0).to_pylist()
-                columns = [pa.array([ids[d] for d, *_ in found], pa.int64()), pa.array([items.ids[x[1]] for x in found], pa.string())]
-                columns += [pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4)]
-                yield pa.record_batch(columns, names=["doc_id", "item_id", "first_word", "n_words", "n_agree"])
 
-        return rows.mapInArrow(run, schema)
-
-    parts = [against(items) for items in blocks(benchmark, block_words)]
-    return reduce(DataFrame.unionByName, parts) if parts else docs.sparkSession.createDataFrame([], schema)
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` that overlap with no item, all columns as they are; a filter per block."""
-
-    def without(items: Items) -> Column:
-        @F.arrow_udf("boolean")
-        def passes(texts: pa.Array) -> pa.Array:
-            met = np.ones(len(texts), bool)
-            met[[x[0] for x in items.overlaps(texts.to_pylist())]] = False
-            return pa.array(met)
-
-        return passes(F.col("text").cast("string"))
-
-    for items in blocks(benchmark, block_words):
-        docs = docs.where(without(items))
-    return docs
+def clean(docs: DataFrame, benchmark: DataFrame, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """The rows of ``docs`` that overlap with no item, all columns as they are."""
+    texts = docs.select(F.lit(0).alias("doc_id"), "text")
+    free = "met"
+    while free in (name.lower() for name in docs.columns):
+        free += "_"
+    met = _verified(texts, benchmark, filter_words).select(F.struct("t1", "t2").alias(free)).distinct()
+    return docs.join(stored(met, "seed-met")[0], F.struct(*_hashed()) == F.col(free), "left_anti")

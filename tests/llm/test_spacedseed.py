@@ -12,7 +12,7 @@ def brute(docs, items):
         c = s._codes(s.words(t))
         for j, u in items:
             x = s._codes(s.words(u))
-            if any(s.Items._agreeing(c, x, first) for first in range(-len(x), len(c))):
+            if any(s.agreeing(c, x, first) for first in range(-len(x), len(c))):
                 out.add((i, str(j)))
     return out
 
@@ -42,11 +42,17 @@ def test_against_brute_force(spark):
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     benchmark = spark.createDataFrame([*items, (90, None), (91, ""), (92, "?!")], "item_id int, text string")
     want = brute(docs, items)
-    for block_words in (s.BLOCK_WORDS, 20):
-        got = {(r["doc_id"], r["item_id"]) for r in s.overlaps(frame, benchmark, block_words).collect()}
+    for filter_words in (s.FILTER_WORDS, 64):  # a full filter lets everything pass
+        got = {(r["doc_id"], r["item_id"]) for r in s.overlaps(frame, benchmark, filter_words).collect()}
         assert got == want
-        clean = {r["doc_id"] for r in s.clean(frame, benchmark, block_words).collect()}
+        clean = {r["doc_id"] for r in s.clean(frame, benchmark, filter_words).collect()}
         assert clean == {i for i, _ in docs} - {i for i, _ in want}
+    twice = frame.where("doc_id < 60").unionByName(frame.where("doc_id < 60"))
+    got = s.overlaps(twice, benchmark.unionByName(benchmark.where("item_id = 1"))).groupBy("doc_id", "item_id").count().collect()
+    assert {(r["doc_id"], r["item_id"]): r["count"] for r in got} == {(i, j): 4 if j == "1" else 2 for i, j in want if i < 60}
+    renamed = frame.selectExpr("doc_id", "text", "1 AS met", "2 AS MET_", "3 AS t1", "4 AS firsts")
+    assert s.clean(renamed, benchmark).columns == renamed.columns
+    assert s.clean(renamed, benchmark).count() == len(docs) - len({i for i, _ in want})
     assert len(want) > 30 and (500, "7") in want and (501, "7") not in want
 
 
