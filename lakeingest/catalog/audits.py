@@ -12,6 +12,7 @@ from lakeingest.plans.audit import report_text, summarize
 from lakeingest.plans.ingest import ingest
 
 BLOCK = 250
+WAVE_BLOCK, WAVE_FILES = 50, 8
 
 
 def mixed_files(spark: SparkSession, sf_dir: str, folder: str) -> str:
@@ -82,6 +83,25 @@ def fault_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).join(written, "lake_source", "full").select("nome_original", "status", "linha", "escritas")
 
 
+def stop_in_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stop in waves of files: blocks of customers as JSON lines, of which the last third has broken ones."""
+    folder = fresh(spark, "stop_in_waves")
+    customer = table(spark, sf_dir, "customer")
+    record = F.to_json(F.struct("c_custkey", "c_name"))
+    last = customer.agg((F.max("c_custkey") * 2).alias("twice"))
+    value = F.when(F.col("c_custkey") * 3 > F.col("twice"), F.concat(record, F.lit("}"))).otherwise(record)
+    parts = blocks(customer.join(F.broadcast(last)).withColumn("value", value), "c_custkey", WAVE_BLOCK)  # one row
+    name = F.concat(F.format_string("onda_%08d", "bloco"), F.lit(".jsonl"))
+    files = write_files(parts.select(name.alias("name"), F.col("body").alias("content")), f"{folder}/ondas")
+    result = ingest(spark, [files], f"{folder}/out", IngestOptions(hash_sources=False, wave_files=WAVE_FILES))
+    written = result.table(keep_source=True).groupBy("lake_source").agg(
+        F.count(F.lit(1)).alias("escritas"), F.sum("c_custkey").alias("soma"))
+    return result.audit.select(
+        "nome_original", "status", F.regexp_extract(F.get("erros", F.lit(0)), r"^Linha (\d+)", 1).alias("linha"),
+        F.regexp_replace("nome_original", r"\.[^.]*$", ".parquet").alias("lake_source"),
+    ).join(written, "lake_source", "full").select("nome_original", "status", "linha", "escritas", "soma")
+
+
 def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = fresh(spark, "inferred_types")
     files = lineitem_files(spark, sf_dir, folder, 4)
@@ -93,6 +113,7 @@ def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "audit_rows": audit_rows, "audit_status": audit_status, "audit_summary": audit_summary,
     "audit_text": audit_text, "fault_policy": fault_policy, "inferred_types": inferred_types,
+    "stop_in_waves": stop_in_waves,
 }
 
 _BASE = f"""
@@ -167,6 +188,14 @@ ORACLE = {
                CASE WHEN falha AND vez = 2 THEN CAST(primeira AS VARCHAR) WHEN falha THEN '' END AS linha,
                CASE WHEN NOT falha THEN n END AS escritas
         FROM f, stop WHERE bloco <= fim""",
+    "stop_in_waves": f"""
+        WITH c AS (SELECT c_custkey, c_custkey // {WAVE_BLOCK} AS bloco, c_custkey * 3 > 2 * (SELECT max(c_custkey) FROM customer) AS ruim,
+                          row_number() OVER (PARTITION BY c_custkey // {WAVE_BLOCK} ORDER BY c_custkey) AS pos FROM customer),
+        b AS (SELECT bloco, count(*) AS n, sum(c_custkey) AS soma, min(pos) FILTER (ruim) AS primeira FROM c GROUP BY bloco)
+        SELECT 'onda_' || printf('%08d', bloco) || '.jsonl' AS nome_original,
+               CASE WHEN primeira IS NULL THEN 'sucesso' ELSE 'erro' END AS status, CAST(primeira AS VARCHAR) AS linha,
+               CASE WHEN primeira IS NULL THEN n END AS escritas, CASE WHEN primeira IS NULL THEN CAST(soma AS BIGINT) END AS soma
+        FROM b WHERE bloco <= (SELECT coalesce(min(bloco) FILTER (primeira IS NOT NULL), max(bloco)) FROM b)""",
     "inferred_types": """
         SELECT coluna, tipo, (SELECT count(*) FROM lineitem) AS linhas FROM (VALUES
           ('l_orderkey', 'Int64'), ('l_partkey', 'Int64'), ('l_suppkey', 'Int64'), ('l_linenumber', 'Int64'),

@@ -31,6 +31,8 @@ class IngestOptions:
     # Rows whose types bind the rest of the file: a later misfit fails it. 0 = widen instead.
     strict_sample: int = 0
     hash_sources: bool = True
+    # Files of a wave where an error stops the run: no wave begins behind a failing file.
+    wave_files: int = 10_000
     # JSON documents of more bytes are cut into records by many tasks; results are the same. None: the engine's limit.
     document_bytes: int | None = None
 
@@ -40,6 +42,8 @@ class IngestOptions:
             raise ValueError(f"preset desconhecido: {self.preset}")
         if self.collision not in ("hash", "overwrite"):
             raise ValueError(f"regra de colisão desconhecida: {self.collision}")
+        if self.wave_files < 1:
+            raise ValueError(f"tamanho de onda inválido: {self.wave_files}")
         if self.preset == "default":
             return self
         return replace(self, normalize=True, flatten=True, preserve_sensitive=True)

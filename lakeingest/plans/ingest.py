@@ -21,7 +21,7 @@ from lakeingest.options import IngestOptions
 from lakeingest.plans.audit import AUDIT_FIELDS, first_invalid, status_of
 from lakeingest.session import has_data, isolated, move_tree, partition_folder, qualified, remove_tree, spread, work_folder
 from lakeingest.sources.delimited import ingest_delimited
-from lakeingest.sources.listing import list_sources, sniff
+from lakeingest.sources.listing import given_sources, list_sources, sniff
 from lakeingest.sources.records import ingest_json
 from lakeingest.sources.remote import hash_files, read_heads
 from lakeingest.sources.workbooks import ingest_workbooks
@@ -114,16 +114,19 @@ def _route(sources: DataFrame, limit: int) -> DataFrame:
 
 def ingest(
     spark: SparkSession,
-    roots: Iterable[str],
+    roots: Iterable[str] | DataFrame,
     out: str,
     opts: IngestOptions = IngestOptions(),
     run: str = "0",
 ) -> IngestResult:
-    """Convert every supported file below ``roots`` into Parquet below ``out``.
+    """Convert every supported file below ``roots``, or listed in a table ``(path, length)``, into Parquet below ``out``.
 
     Writes ``out/dados/lote=<run>/layout=<id>/lake_source=<name>.parquet``, one quarantine table and
     one audit table per run. The driver handles one small row per layout plus the file paths a
     scan's file index needs anyway; file content stays on the executors.
+
+    With ``continue_on_error`` off the files are converted in waves of ``wave_files`` in path order, and no wave
+    begins behind one with a failing file. Each wave's audit rows are written before the next one begins.
     """
     opts, inner, work = opts.resolve(), isolated(spark), work_folder(spark, "run")
     try:
@@ -138,26 +141,65 @@ def _ingest(inner: SparkSession, roots, out: str, opts: IngestOptions, run: str,
     remove_tree(inner, data)  # a run replaces what the same run wrote before
 
     limit = MAX_DOCUMENT_BYTES if opts.document_bytes is None else opts.document_bytes
-    _route(sniff(list_sources(inner, roots)), limit).withColumn(
+    if isinstance(roots, DataFrame):
+        roots.select("path", "length").write.parquet(f"{work}/listed")
+        listed = given_sources(inner.read.parquet(f"{work}/listed"))
+    else:
+        listed = list_sources(inner, roots)
+    _route(sniff(listed), limit).withColumn(
         "layout_id",
         F.substr(F.sha2(F.concat_ws("\u001e", "route", "encoding", "sep", "layout"), 256), F.lit(1), F.lit(12)),
     ).drop("head", "header_rest", "text", "read_error").write.mode("overwrite").parquet(f"{work}/sources")
     sources = inner.read.parquet(f"{work}/sources")
-    usable = sources.where("erro is null")
     # One small row per file: the paths every scan's file index holds on the driver in any case.
     files = sources.select("layout_id", "path", "format", F.col("erro").isNotNull().alias("bad")).collect()
     if not opts.continue_on_error and (wrong := [f.path for f in files if f.bad]):
-        usable = usable.where(F.col("path") < min(wrong))
-        files = [f for f in files if f.path < min(wrong)]
-    files = [f for f in files if not f.bad]
+        sources = sources.where(F.col("path") <= min(wrong))
+        files = [f for f in files if f.path <= min(wrong)]
     overwrite = opts.collision == "overwrite"  # the last path of a base name keeps the plain name
-    colliding = colliding_names(usable, f"{work}/shared-names", overwrite)
+    colliding = colliding_names(sources.where("erro is null"), f"{work}/shared-names", overwrite)
+    quarantine = f"{out}/quarentena/lote={run}"
+    remove_tree(inner, quarantine)
+
+    waves = [files] if opts.continue_on_error else in_waves(files, opts.wave_files)
+    outcomes, one = [], len(waves) == 1
+    folder = f"{out}/auditoria/lote={run}"
+    direct = one and opts.continue_on_error and not overwrite  # nothing can change the rows afterwards
+    for k, wave in enumerate(waves):
+        here, mark, at = sources, "", f"{work}/wave-{k:06d}"
+        if not one:
+            mark = f"w{k}" if k else ""  # layouts of a wave have folders of their own
+            here = sources.where(F.col("path").between(wave[0].path, wave[-1].path)).withColumn("layout_id", F.concat("layout_id", F.lit(mark)))
+        found, kept = _convert(inner, here.where("erro is null"), [f for f in wave if not f.bad], opts, data, at, colliding, mark)
+        outcomes += found
+        rows = _audit_rows(inner, here, found, kept, colliding, opts, data, quarantine, started)
+        rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(folder if direct else f"{work}/audit/{k:06d}")
+        if not direct and not opts.continue_on_error:
+            failed = inner.read.parquet(f"{work}/audit/{k:06d}").where("status = 'erro'").limit(1).count()
+            if failed:
+                waves = waves[:k + 1]
+                break
+    if not direct:
+        rows = inner.read.parquet(*[f"{work}/audit/{k:06d}" for k in range(len(waves))])
+        _settle(inner, rows, opts, overwrite).select(*AUDIT_FIELDS).write.mode("overwrite").parquet(folder)
+    for o in outcomes:  # the stop and collision rules may have emptied a layout
+        o.folder = o.folder if o.folder and has_data(inner, o.folder) else None
+    return outcomes, folder, quarantine
+
+
+def in_waves(files: list, size: int) -> list[list]:
+    """The files in path order, ``size`` to a wave; a batch without files is one empty wave."""
+    ordered = sorted(files, key=lambda f: f.path)
+    return [ordered[i : i + size] for i in range(0, len(ordered), size)] or [[]]
 
+
+def _convert(inner, usable: DataFrame, files: list, opts, data: str, work: str, colliding, mark: str):
+    """Read and write the usable files of one wave; returns the outcomes and the processed sheets."""
     outcomes = []
     by_layout: dict[str, list[str]] = {}
     for f in files:
         if f.format != "xlsx":
-            by_layout.setdefault(f.layout_id, []).append(f.path)
+            by_layout.setdefault(f.layout_id + mark, []).append(f.path)
     # One file stands for its layout: only the heads of those are read again and kept.
     labels = usable.where("format != 'xlsx'").groupBy("layout_id").agg(
         *[F.first(c).alias(c) for c in ("format", "route", "encoding", "sep", "layout")],
@@ -177,24 +219,20 @@ def _ingest(inner: SparkSession, roots, out: str, opts: IngestOptions, run: str,
 
     # Layouts are independent jobs: submitting several keeps the executors busy between them.
     with ThreadPoolExecutor(CONCURRENT_LAYOUTS) as pool:
-        for found in pool.map(read, labels.orderBy("layout_id").collect()):
+        for found in pool.map(read, labels.orderBy("layout_id").collect() if by_layout else []):
             outcomes += found
 
     kept = None
     books = [f.path for f in files if f.format == "xlsx"]
     if books:
         try:
-            found, kept = ingest_workbooks(inner, usable.where("format = 'xlsx'"), opts, data, work, colliding)
+            found, kept = ingest_workbooks(inner, usable.where("format = 'xlsx'"), opts, data, work, colliding, mark)
             outcomes += found
         except Exception as e:  # listing the sheets failed as a whole; a bad book or layout is an outcome
             outcomes.append(_all_failed(inner, "xlsx", books, e))
     for o in outcomes:
         o.folder = o.folder if o.folder and has_data(inner, o.folder) else None
-
-    audit = _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started)
-    for o in outcomes:  # the stop and collision rules may have emptied a layout
-        o.folder = o.folder if o.folder and has_data(inner, o.folder) else None
-    return outcomes, *audit
+    return outcomes, kept
 
 
 def _read_layout(inner, layout: Layout, route: str, opts, data, work, colliding) -> list[Outcome]:
@@ -237,21 +275,18 @@ def _all_failed(inner, layout: str, paths: list[str], error: Exception) -> Outco
     return Outcome(layout, failed=failed)
 
 
-def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, started):
-    """Write quarantine and audit; apply the stop policy. Returns their folders."""
+def _audit_rows(inner, sources, outcomes, kept, colliding, opts, data, quarantine, started) -> DataFrame:
+    """The audit rows of one wave, whose invalid lines are written to the quarantine."""
     union = lambda parts: reduce(lambda a, b: a.unionByName(b), parts)
     none = lambda schema: inner.createDataFrame([], schema)
 
     parts = [o.invalid for o in outcomes if o.invalid is not None]
-    quarantine = f"{out}/quarentena/lote={run}"
-    remove_tree(inner, quarantine)
     if parts:
         union(parts).select(
             plain_uri(F.col("uri")).alias("path"), "line_number", "content", "error"
-        ).write.mode("overwrite").parquet(quarantine)
+        ).write.mode("append").parquet(quarantine)
     failed = [o.failed for o in outcomes if o.failed is not None]
     # One scan over the datasets per partition column; only their folders and row counts are read.
-    data = f"{out}/dados/lote={run}"
     written = [o for o in outcomes if o.folder]
     counts = union([
         inner.read.schema(f"layout string, {source} string").option("basePath", data)
@@ -301,7 +336,7 @@ def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, star
         base = base.withColumn("n_invalid", F.lit(0)).withColumn("shown", F.lit(None).cast(shown))
     is_json = F.col("format").isin("json", "ndjson", "jsonl")
     empty = F.array().cast("array<string>")
-    rows = (
+    return (
         base.join(datasets, "uri", "left").join(meta, "outcome", "left")
         .withColumn("problem", F.coalesce(
             "erro", "late", F.when(is_json & F.col("linhas_lidas").isNull(), NO_RECORDS)
@@ -334,24 +369,17 @@ def _audit(inner, sources, outcomes, kept, colliding, opts, out, run, work, star
             "tipos_inferidos", "mapa_normalizacao",
         )
     )
-    folder = f"{out}/auditoria/lote={run}"
-    overwrite = opts.collision == "overwrite" and (isinstance(colliding, DataFrame) or len(colliding) > 0)
-    if opts.continue_on_error and not overwrite:
-        rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(folder)
-        return folder, quarantine
 
-    rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(f"{work}/audit")
-    rows = inner.read.parquet(f"{work}/audit")
+
+def _settle(inner, rows: DataFrame, opts, overwrite: bool) -> DataFrame:
+    """Apply the stop and collision rules to the stored audit rows of all waves."""
     if not opts.continue_on_error:
-        # Stop policy: what lies behind the first failing path was never to be converted.
+        # Within the failing wave: what lies behind the first failing path was never to be converted.
         stop = rows.where("status = 'erro'").agg(F.min("caminho_original")).first()[0]
         if stop is not None:
             _remove_datasets(inner, rows.where(F.col("caminho_original") > stop))
             rows = rows.where(F.col("caminho_original") <= stop)
-    if overwrite:
-        rows = _overwritten(inner, rows)
-    rows.select(*AUDIT_FIELDS).write.mode("overwrite").parquet(folder)
-    return folder, quarantine
+    return _overwritten(inner, rows) if overwrite else rows
 
 
 def _overwritten(inner, rows: DataFrame) -> DataFrame:

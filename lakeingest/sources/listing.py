@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeingest.functions import files as ff
 from lakeingest.options import SUPPORTED_FORMATS
 from lakeingest.session import qualified
-from lakeingest.sources.remote import list_tree, read_heads
+from lakeingest.sources.remote import list_tree, read_heads, scan_uri
 
 
 def list_files(spark: SparkSession, roots: Iterable[str]) -> DataFrame:
@@ -22,6 +23,18 @@ def list_files(spark: SparkSession, roots: Iterable[str]) -> DataFrame:
     return list_tree(spark.createDataFrame(present, "path string"))
 
 
+def given_sources(files: DataFrame) -> DataFrame:
+    """Supported files of a table ``(path, length)`` that another listing made: none of them is looked up again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(uri=[scan_uri(p) for p in batch["path"]])
+
+    known = files.select("path", F.col("length").cast("bigint").alias("length")).where("path is not null").dropDuplicates(["path"])
+    known = known.withColumn("format", ff.detect_format(F.col("path"))).where("format is not null")
+    return known.mapInPandas(run, "path string, length bigint, format string, uri string").select("path", "uri", "length", "format")
+
+
 def list_sources(spark: SparkSession, roots: Iterable[str]) -> DataFrame:
     """Supported files, once each, with their format; sorting is left to the consumer."""
     listed = list_files(spark, roots).dropDuplicates(["path"])

@@ -200,9 +200,9 @@ def cell_value(kind: Column, value: Column, target: str, as_text: bool) -> Colum
 
 
 def ingest_workbooks(
-    spark: SparkSession, files: DataFrame, opts: IngestOptions, out: str, work: str, colliding
+    spark: SparkSession, files: DataFrame, opts: IngestOptions, out: str, work: str, colliding, mark: str = ""
 ) -> tuple[list[Outcome], DataFrame]:
-    """Read all workbooks; sheets with equal headers are written together.
+    """Read all workbooks; sheets with equal headers are written together, to layouts whose ids end in ``mark``.
 
     Returns the outcomes and the processed sheets ``(uri, sheet_index, sheet, dataset, header)``.
     """
@@ -248,7 +248,7 @@ def ingest_workbooks(
     tagged = nm.dedupe_table(tagged, ["uri"], "sheet_index", "dataset", "dataset")
     tagged.select(
         *key, "sheet", "dataset", "header", "head_row",
-        F.substr(F.sha2(F.array_join("header", "\u001f"), 256), F.lit(1), F.lit(12)).alias("layout"),
+        F.concat(F.substr(F.sha2(F.array_join("header", "\u001f"), 256), F.lit(1), F.lit(12)), F.lit(mark)).alias("layout"),
     ).write.mode("overwrite").parquet(sheets_folder)
     kept = spark.read.parquet(sheets_folder)
 

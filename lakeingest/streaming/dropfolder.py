@@ -19,8 +19,8 @@ def stream_folder(
 ) -> StreamingQuery:
     """Start ingesting the new files of ``folder`` and stop when none is left.
 
-    The source log remembers which files were taken. Only their paths flow through the stream; the
-    content is read by the ingestion run of the micro-batch, which overwrites its own folders, so
+    The source log remembers which files were taken. Only their paths and lengths flow through the stream, which
+    listed them already: they are not looked up again. The content is read by the ingestion run of the micro-batch, which overwrites its own folders, so
     a repeated batch leaves no duplicates. Empty files carry no rows and are not seen.
     """
     files = (
@@ -28,14 +28,13 @@ def stream_folder(
         .option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", files_per_batch)
         .load(folder)
-        .select("path")
+        .select("path", "length")
         .where(detect_format(F.col("path")).isNotNull())
     )
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        paths = [r.path for r in batch.toLocalIterator()]
-        if paths:
-            ingest(batch.sparkSession, paths, out, opts, run=f"{batch_id:06d}")
+        if not batch.isEmpty():
+            ingest(batch.sparkSession, batch, out, opts, run=f"{batch_id:06d}")
 
     return (
         files.writeStream.foreachBatch(run)

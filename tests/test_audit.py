@@ -6,6 +6,7 @@ import pytest
 
 from lakeingest import IngestOptions, ingest
 from lakeingest.operators.framing import output_names, write_parquet
+from lakeingest.plans import ingest as plans
 from lakeingest.plans.audit import AUDIT_FIELDS, report_text, summarize, write_reports
 
 
@@ -107,6 +108,41 @@ def test_an_earlier_file_stays_where_the_last_one_fails(spark, drop):
     assert datasets(stopped) == {"x.parquet": 2}
 
 
+def test_no_wave_begins_behind_a_failing_file(spark, drop, monkeypatch):
+    begun = []
+    convert = plans._convert
+    monkeypatch.setattr(plans, "_convert", lambda inner, usable, files, *rest: begun.append(
+        [f.path[-6:] for f in files]) or convert(inner, usable, files, *rest))
+    for i in range(9):
+        drop(f"{i}.json" if i == 5 else f"{i}.csv", "{broken" if i == 5 else f"k\n{i}\n")
+    result = ingest(spark, [drop.root], drop.out, IngestOptions(wave_files=2))
+    assert begun == [["/0.csv", "/1.csv"], ["/2.csv", "/3.csv"], ["/4.csv", "5.json"]]
+    assert datasets(result) == {f"{i}.parquet": i for i in range(5)}
+    assert [(r.nome_original, r.status) for r in result.audit.orderBy("nome_original").collect()] == [
+        *[(f"{i}.csv", "sucesso") for i in range(5)], ("5.json", "erro")]
+    # The same run once more, in one wave and without the broken file, replaces all of it.
+    drop("5.json", '[{"k": 5}]')
+    again = ingest(spark, [drop.root], drop.out, IngestOptions())
+    assert datasets(again) == {f"{i}.parquet": i for i in range(9)} and len(begun) == 4
+
+
+def test_names_shared_by_files_of_different_waves(spark, drop):
+    for i, name in enumerate(("a/x.csv", "b/y.csv", "c/x.csv")):
+        drop(name, f"k\n{i}\n")
+    result = ingest(spark, [drop.root], drop.out, IngestOptions(wave_files=1, collision="overwrite"))
+    assert datasets(result) == {"x.parquet": 2, "y.parquet": 1}
+
+
+def test_a_given_listing_is_not_looked_up_again(spark, drop, monkeypatch):
+    drop("a b%.csv", "k\n1\n")
+    drop("c.jsonl", '{"k": 2}\n')
+    drop("d.txt", "k")
+    listed = [(f"file:{drop.root}/{n}", size, "x") for n, size in (("a b%.csv", 4), ("c.jsonl", 9), ("d.txt", 1), ("c.jsonl", 9))]
+    monkeypatch.setattr(plans, "list_sources", None)
+    table = spark.createDataFrame([*listed, (None, 3, "x")], "path string, length int, uri string")
+    assert datasets(ingest(spark, table, drop.out, IngestOptions(continue_on_error=True))) == {"a b%.parquet": 1, "c.parquet": 2}
+
+
 def test_no_sources(spark, drop):
     result = ingest(spark, [drop.root], drop.out)
     assert result.audit.count() == 0 and result.quarantine.count() == 0
