@@ -111,6 +111,16 @@ class Parameters:
         return out
 
 
+def by_class(classes: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The sums of the rows of every class."""
+    order = np.argsort(classes.astype(np.uint16), kind="stable")  # a radix sort; ``Classes`` are fewer than 65 536
+    found = classes[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+    out = np.zeros((size, rows.shape[1]), rows.dtype)
+    out[found[first]] = np.add.reduceat(rows.take(order, 0), first, axis=0)
+    return out
+
+
 class Trainer:
     """Ascent on the noise-contrastive objective with per-parameter rates (sums of squared gradients)."""
 
@@ -122,24 +132,26 @@ class Trainer:
         self.n = 0
 
     def step(self, word: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
-        p, dim, n = Parameters.of(self.flat, self.dim), self.dim, len(word)
-        noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), len(self.share) - 1)
-        v_near, v_far, v_word, v_noise = p.vectors[near], p.vectors[far], p.vectors[word], p.vectors[noise]
-        query = v_near @ p.near + v_far @ p.far
-        data = (query * v_word).sum(1) + p.bias[word] - self.offset[word]
-        other = query @ v_noise.T + (p.bias[noise] - self.offset[noise])
+        p, n, size = Parameters.of(self.flat, self.dim), len(word), len(self.share)
+        noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), size - 1)
+        v_word, v_noise = p.vectors.take(word, 0), p.vectors[noise]
+        # Classes are few: matrices meet the class vectors, not the vector of every token.
+        query = (p.vectors @ p.near).take(near, 0)
+        query += (p.vectors @ p.far).take(far, 0)
+        data = np.einsum("ij,ij->i", query, v_word) + (p.bias - self.offset)[word]
+        other = query @ v_noise.T
+        other += p.bias[noise] - self.offset[noise]
         up = 1 / (1 + np.exp(np.clip(data, -30, 30)))
         down = -1 / (1 + np.exp(np.clip(-other, -30, 30)))
-        pull = up[:, None] * v_word + down @ v_noise
-        rows = np.concatenate([word, near, far])
-        parts = np.concatenate([up[:, None] * query, pull @ p.near.T, pull @ p.far.T])
-        size = p.vectors.size
-        slots = (rows[:, None] * dim + np.arange(dim)).ravel()
-        vectors = np.bincount(slots, parts.ravel(), size).reshape(p.vectors.shape)
+        pull = down @ v_noise
+        pull += up[:, None] * v_word
+        at_near, at_far = by_class(near, pull, size), by_class(far, pull, size)
+        vectors = by_class(word, up[:, None] * query, size) + at_near @ p.near.T + at_far @ p.far.T
         np.add.at(vectors, noise, down.T @ query)
-        bias = np.bincount(word, up, len(p.bias))
+        bias = np.bincount(word, up, size)
         np.add.at(bias, noise, down.sum(0))
-        grad = (np.concatenate([vectors.ravel(), (v_near.T @ pull).ravel(), (v_far.T @ pull).ravel(), bias]) / n).astype(np.float32)
+        grad = np.concatenate([vectors.ravel(), (p.vectors.T @ at_near).ravel(), (p.vectors.T @ at_far).ravel(), bias])
+        grad = (grad / n).astype(np.float32)
         self.squares += grad * grad
         self.flat += RATE * grad / np.sqrt(self.squares)
         self.n += n
