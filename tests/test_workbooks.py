@@ -37,3 +37,13 @@ def test_all_sheets_skip_the_empty_one(spark, drop):
     assert dict(vendas.dtypes) == {"codigo": "string", "valor": "double", "dia": "date", "ok": "boolean"}
     assert by["dir/a.xlsx"].xlsx_abas_processadas == ["Z"] and by["dir/a.xlsx"].status == "sucesso"
     assert "dados válidos" in by["nada.xlsx"].erros[0] and "abrir" in by["ruim.xlsx"].erros[0]
+
+
+def test_equal_sheets_of_different_waves(spark, drop):
+    for i, name in enumerate("abc"):
+        drop(f"{name}.xlsx", b"not a zip" if name == "c" else workbook_bytes({"S": [["k"], [i]]}))
+    drop("d.xlsx", workbook_bytes({"S": [["k"], [9]]}))
+    result = ingest(spark, [drop.root], drop.out, IngestOptions(hash_sources=False, wave_files=1))
+    assert rows(result.table(keep_source=True), "k") == [(0, "a.parquet"), (1, "b.parquet")]
+    assert rows(result.audit.select("nome_original", "status"), "nome_original") == [
+        ("a.xlsx", "sucesso"), ("b.xlsx", "sucesso"), ("c.xlsx", "erro")]
