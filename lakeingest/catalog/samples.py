@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from lakeingest.session import work_folder
 from lakeingest.sources.remote import resolve, write_bytes
 
+PIECE_ROWS = 500  # of a batch, that are joined and encoded at once
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -24,37 +26,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def write_lines(
     df: DataFrame, folder: str, ext: str, header: str | None = None, encoding: str = "utf-8"
 ) -> str:
-    """Write column ``value`` as text files, one per partition; a retried task rewrites its file."""
+    """Write column ``value`` as text files, one per partition with rows; a retried task rewrites its file.
+
+    A scan may leave partitions without rows, whose files a run would have to report as empty. Only where no
+    partition has a row, one file holds the header alone.
+    """
+    head = b"" if header is None else f"{header}\n".encode(encoding)
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = resolve(folder)
         fs.create_dir(base, recursive=True)
-        name = f"{base}/part-{TaskContext.get().partitionId():05d}.{ext}"
-        rows = 0
-        with fs.open_output_stream(name) as out:
-            if header is not None:
-                out.write(f"{header}\n".encode(encoding))
-            for batch in batches:
-                if len(batch):
-                    out.write(("\n".join(batch["value"]) + "\n").encode(encoding, errors="replace"))
-                rows += len(batch)
-        yield pd.DataFrame({"n": [rows]})
-
-    df.select("value").mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+        out, rows = None, 0
+        for batch in batches:
+            for start in range(0, batch.num_rows, PIECE_ROWS):
+                values = batch.column(0).slice(start, PIECE_ROWS).to_pylist()
+                if out is None:
+                    out = fs.open_output_stream(f"{base}/part-{TaskContext.get().partitionId():05d}.{ext}")
+                    out.write(head)
+                out.write(("\n".join(values) + "\n").encode(encoding, errors="replace"))
+            rows += batch.num_rows
+        if out is not None:
+            out.close()
+        yield pa.record_batch([pa.array([rows], pa.int64())], names=["n"])
+
+    if not df.select("value").mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0]:
+        write_bytes(f"{folder}/part-00000.{ext}", head)
     return folder
 
 
 def write_files(df: DataFrame, folder: str) -> str:
     """Write one file per row from ``(name, content)``."""
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
-                write_bytes(f"{folder}/{name}", bytes(content))
-            yield pd.DataFrame({"n": [len(batch)]})
+            for name, content in zip(batch.column(0), batch.column(1)):
+                write_bytes(f"{folder}/{name.as_py()}", content.as_py())
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
 
     rows = df.select("name", F.col("content").cast("binary").alias("content"))
-    rows.mapInPandas(write, "n bigint").agg(F.sum("n")).collect()
+    rows.mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
     return folder
 
 

@@ -163,3 +163,15 @@ def test_large_document_is_read_through_its_records(spark, drop):
     drop("d.json", json.dumps({"n": [1], "items": items}, indent=1))
     table = run(spark, drop, flatten=True).table()
     assert table.dtypes == [("id", "double"), ("v_w", "string"), ("late", "boolean")] and table.count() == 3001
+
+
+def test_partitions_without_rows_make_no_file(spark, tmp_path):
+    from lakeingest.catalog.samples import write_lines
+
+    df = spark.range(0, 6, 1, 6).where("id % 3 = 1").selectExpr("""concat('{"k":', id, '}') AS value""")
+    folder = write_lines(df, str(tmp_path / "in"), "ndjson")
+    assert len(list((tmp_path / "in").iterdir())) == 2
+    out = ingest(spark, [folder], str(tmp_path / "out"), IngestOptions())  # stops at an empty file
+    assert rows(out.table(), "k") == [(1,), (4,)]
+    write_lines(df.where("false"), str(tmp_path / "none"), "csv", "k;v")
+    assert [f.read_text() for f in (tmp_path / "none").iterdir()] == ["k;v\n"]
