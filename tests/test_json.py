@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from lakeingest import IngestOptions, ingest
 from lakeingest.operators import jsonshape as js
+from lakeingest.operators.framing import Layout
 from lakeingest.session import isolated
+from lakeingest.sources import records
 from tests.conftest import rows
 
 
@@ -175,3 +177,23 @@ def test_partitions_without_rows_make_no_file(spark, tmp_path):
     assert rows(out.table(), "k") == [(1,), (4,)]
     write_lines(df.where("false"), str(tmp_path / "none"), "csv", "k;v")
     assert [f.read_text() for f in (tmp_path / "none").iterdir()] == ["k;v\n"]
+
+
+def test_invalid_lines_are_shortened_before_the_join(spark, drop):
+    drop("a.jsonl", '{"k":1}\n' + "{" + "x" * 5000 + "\n")
+    paths = [f"file:{drop.root}/a.jsonl"]
+    units = records._units(spark, Layout("l", "jsonl", paths), True, "jsonl")
+    found = records.quarantine(spark, paths, units)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "unit#" not in plan.split("Join LeftOuter")[1].splitlines()[1].split("AS content")[1]
+    assert rows(found.select("line_number", "content")) == [(2, "{" + "x" * 99 + "...")]
+
+
+def test_files_reach_python_in_small_batches(spark, tmp_path):
+    from lakeingest.catalog import samples
+
+    # 400 MB in one partition: a batch of 10 000 rows would hold all of it.
+    df = spark.range(0, 400, 1, 1).selectExpr("concat('f', id) AS name", "repeat('x', 1000000) AS content")
+    samples.write_files(df, str(tmp_path / "files"))
+    assert {f.stat().st_size for f in (tmp_path / "files").iterdir()} == {1000000}
+    assert len(list((tmp_path / "files").iterdir())) == 400
