@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lakeingest.functions import names as nm
 from lakeingest.options import IngestOptions
+from lakeingest.sources import remote
 
 NAMES = [
     ("Valor Líquido (R$)", "valor_liquido_r"), ("rua/número", "rua_numero"), ("_ponta__dupla_", "ponta_dupla"),
@@ -70,3 +71,15 @@ def test_presets_lock_options():
     assert not IngestOptions().resolve().normalize
     with pytest.raises(ValueError):
         IngestOptions(preset="x").resolve()
+
+
+def test_a_folder_is_listed_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(remote, "LISTED_ROWS", 3)
+    (tmp_path / "d").mkdir()
+    for i in range(10):
+        (tmp_path / "d" / f"f{i}").write_text("x" * i)
+    (tmp_path / "d" / "gone").symlink_to(tmp_path / "nowhere")
+    (tmp_path / "d" / "linked").symlink_to(tmp_path / "d" / "f9")
+    roots = spark.createDataFrame([(str(tmp_path),)], "path string")
+    found = sorted((r.path.rsplit("/", 1)[1], r.length) for r in remote.list_tree(roots).collect())
+    assert found == [*((f"f{i}", i) for i in range(10)), ("linked", 9)]
