@@ -21,6 +21,8 @@ MAX_LISTED_COLLISIONS = 500
 # The partition column of the datasets; see ``free_name``.
 SOURCE = "lake_source"
 NAME_DIGITS = 32
+# Characters that Spark escapes in the names of partition folders.
+_ESCAPED = r"""[\x01-\x1f\x7f"#%'*/:=?\\{\[\]^]"""
 
 
 @dataclass
@@ -140,6 +142,8 @@ def finish_columns(df: DataFrame, original: Sequence[str], opts: IngestOptions):
 def write_parquet(df: DataFrame, folder: str, compression: str, partition: Sequence[str] = ()) -> None:
     codec = CODECS.get(str(compression).lower(), "snappy")
     writer = df.write.mode("overwrite").option("compression", codec)
+    # Tasks move their own files into place; the driver would move those of all sources one by one.
+    writer = writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
     (writer.partitionBy(*partition) if partition else writer).parquet(folder)
 
 
@@ -156,6 +160,15 @@ def write_layout(df: DataFrame, folder: str, opts: IngestOptions, colliding) ->
     return types
 
 
+def escaped_partition(path: Column) -> Column:
+    """The folder of a partition whose path ends in ``column=value``, as the writer escapes the value."""
+    last = F.substring_index(path, "/", -1)
+    value = F.substr(last, F.locate("=", last) + 1)
+    escaped = F.array_join(F.transform(F.split(value, ""), lambda c: F.when(
+        c.rlike(_ESCAPED), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c)), "")
+    return F.concat(F.left(path, F.length(path) - F.length(value)), F.when(value.rlike(_ESCAPED), escaped).otherwise(value))
+
+
 def free_name(taken) -> str:
     """The partition column's name, lengthened where a source has a column of that name."""
     name, low = SOURCE, {c.lower() for c in taken}

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lakeingest.functions.files import HEAD_BYTES, base_name, decode_head
 from lakeingest.functions.names import trim_all
 from lakeingest.operators.framing import (
-    NAME_DIGITS, SOURCE, Layout, Outcome, colliding_names, named, plain_uri, sheet_uri,
+    NAME_DIGITS, SOURCE, Layout, Outcome, colliding_names, escaped_partition, named, plain_uri, sheet_uri,
 )
 from lakeingest.operators.jsonshape import strict_variant
 from lakeingest.options import IngestOptions
@@ -23,7 +23,7 @@ from lakeingest.session import has_data, isolated, move_tree, partition_folder,
 from lakeingest.sources.delimited import ingest_delimited
 from lakeingest.sources.listing import given_sources, list_sources, sniff
 from lakeingest.sources.records import ingest_json
-from lakeingest.sources.remote import hash_files, read_heads
+from lakeingest.sources.remote import hash_files, read_heads, remove_folders
 from lakeingest.sources.workbooks import ingest_workbooks
 
 CONCURRENT_LAYOUTS = 8
@@ -411,5 +411,6 @@ def _overwritten(inner, rows: DataFrame) -> DataFrame:
 
 
 def _remove_datasets(inner, rows: DataFrame) -> None:
-    for row in rows.select(F.explode("caminho_parquet_gerado").alias("at")).toLocalIterator():
-        remove_tree(inner, partition_folder(inner, row["at"]))
+    """Tasks remove the datasets: one file of a base name or of a wave may stand for many."""
+    at = rows.select(F.explode("caminho_parquet_gerado").alias("at"))
+    remove_folders(spread(at.select(escaped_partition(F.col("at")).alias("path")), "path"))

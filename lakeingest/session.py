@@ -26,6 +26,8 @@ def isolated(spark: SparkSession) -> SparkSession:
     inner.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     # A task keeps this many source datasets open before it has to sort its rows by source.
     inner.conf.set("spark.sql.maxConcurrentOutputFileWriters", "32")
+    # Folders of a dataset are listed by some tasks per core; the default is a task per folder.
+    inner.conf.set("spark.sql.sources.parallelPartitionDiscovery.parallelism", str(4 * spark.sparkContext.defaultParallelism))
     if inner.conf.get("spark.sql.files.minPartitionNum", None) is None:
         inner.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return inner

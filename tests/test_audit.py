@@ -1,13 +1,16 @@
 import hashlib
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
 from lakeingest import IngestOptions, ingest
-from lakeingest.operators.framing import output_names, write_parquet
+from lakeingest.operators.framing import escaped_partition, output_names, write_parquet
 from lakeingest.plans import ingest as plans
 from lakeingest.plans.audit import AUDIT_FIELDS, report_text, summarize, write_reports
+from lakeingest.session import partition_folder
 
 
 @pytest.fixture
@@ -146,3 +149,17 @@ def test_a_given_listing_is_not_looked_up_again(spark, drop, monkeypatch):
 def test_no_sources(spark, drop):
     result = ingest(spark, [drop.root], drop.out)
     assert result.audit.count() == 0 and result.quarantine.count() == 0
+
+
+def test_waves_grow_with_what_lies_before_them():
+    files = [SimpleNamespace(path=f"{i:06d}") for i in range(100_000)]
+    waves = plans.in_waves(files[::-1], 8)
+    assert [f for wave in waves for f in wave] == files and len(waves) < 30
+    assert [len(w) for w in waves[:5]] == [8, 8, 8, 12, 18] and plans.in_waves([], 8) == [[]]
+
+
+def test_partition_folders_are_escaped_as_the_writer_does(spark):
+    paths = [f"/a/b%/lake_source={v}.parquet" for v in ("x", "a b=c:d", "q%#\\'\"*?[]{}^", "\x01\x7fé😀+", "tab\t")]
+    table = spark.createDataFrame([(p,) for p in paths], "path string")
+    found = [r[0] for r in table.select(escaped_partition(F.col("path"))).collect()]
+    assert found == [partition_folder(spark, p) for p in paths]
