@@ -31,7 +31,8 @@ def customer_files(spark: SparkSession, sf_dir: str, folder: str) -> str:
 
 def lineitem_files(spark: SparkSession, sf_dir: str, folder: str, partitions: int | None = None) -> str:
     df = table(spark, sf_dir, "lineitem").withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd"))
-    df = df.repartition(partitions) if partitions else df
+    if partitions and df.rdd.getNumPartitions() < partitions:  # at least so many files, and no whole table in few tasks
+        df = df.repartition(partitions)
     rows = df.select(F.concat_ws(",", *LINEITEM_COLUMNS).alias("value"))
     return write_lines(rows, f"{folder}/itens", "csv", ",".join(LINEITEM_COLUMNS))
 
@@ -126,7 +127,7 @@ def csv_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_per_file_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types per file: a field that is numeric in one file is text in the other."""
+    """Types per file: a field that is numeric in the files of one flag is text in the others'; every task writes files."""
     folder = fresh(spark, "csv_per_file_schema")
     for flag in ("A", "N", "R"):
         rows = table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == flag).select(F.concat_ws(
@@ -134,12 +135,12 @@ def csv_per_file_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.col("l_linestatus") if flag == "A" else F.col("l_quantity").cast("string") if flag == "N"
              else F.col("l_linenumber").cast("string")),
         ).alias("value"))
-        write_lines(rows.coalesce(1), f"{folder}/por_arquivo/{flag}", "csv", "pedido,valor")
+        write_lines(rows, f"{folder}/por_arquivo/{flag}", "csv", "pedido,valor")
     result = run(spark, f"{folder}/por_arquivo", folder, per_file_schema=True)
-    return result.audit.select(
+    return result.audit.groupBy(
         F.regexp_extract("caminho_original", r"/([A-Z])/[^/]*$", 1).alias("arquivo"),
-        F.col("tipos_inferidos")["valor"].alias("tipo"), F.col("linhas_lidas").alias("linhas"),
-    )
+        F.col("tipos_inferidos")["valor"].alias("tipo"),
+    ).agg(F.sum("linhas_lidas").alias("linhas"))
 
 
 QUERIES = {

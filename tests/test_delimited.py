@@ -3,6 +3,7 @@ import io
 import random
 
 from lakeingest import IngestOptions, ingest
+from lakeingest.catalog.csvs import LINEITEM_COLUMNS
 from lakeingest.operators.framing import Layout
 from lakeingest.session import isolated
 from lakeingest.sources import delimited, remote
@@ -173,3 +174,16 @@ def test_header_with_a_stray_quote(spark, drop):
     folder = drop("stray.csv", stray)
     got = ingest(spark, [folder], drop.out, IngestOptions(continue_on_error=True)).audit.first()
     assert got.status == "erro" and "aspas sem fechamento" in " ".join(got.erros)
+
+
+def test_files_of_whole_tables_are_written_by_all_tasks(spark, tmp_path):
+    from lakeingest.catalog.csvs import lineitem_files
+
+    spark.range(0, 60, 1, 6).selectExpr(*[f"id AS {c}" for c in LINEITEM_COLUMNS[:-1]], "DATE'2020-01-01' AS l_shipdate").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))  # a partition per file
+    try:
+        lineitem_files(spark, str(tmp_path), str(tmp_path / "out"), 4)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(list((tmp_path / "out" / "itens").iterdir())) == 6
