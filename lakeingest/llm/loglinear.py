@@ -22,7 +22,8 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -134,23 +135,30 @@ class Trainer:
     def step(self, word: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
         p, n, size = Parameters.of(self.flat, self.dim), len(word), len(self.share)
         noise = np.minimum(np.searchsorted(self.cumulated, self.rng.random(NOISE)), size - 1)
-        v_word, v_noise = p.vectors.take(word, 0), p.vectors[noise]
+        # Biases are a last column of the vectors and meet a one in the queries, so that products and sums take them along.
+        biased = np.column_stack([p.vectors, p.bias - self.offset])
+        v_word, v_noise = biased.take(word, 0), biased[noise]
         # Classes are few: matrices meet the class vectors, not the vector of every token.
-        query = (p.vectors @ p.near).take(near, 0)
-        query += (p.vectors @ p.far).take(far, 0)
-        data = np.einsum("ij,ij->i", query, v_word) + (p.bias - self.offset)[word]
-        other = query @ v_noise.T
-        other += p.bias[noise] - self.offset[noise]
-        up = 1 / (1 + np.exp(np.clip(data, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-other, -30, 30)))
+        one, zero = np.ones((size, 1), np.float32), np.zeros((size, 1), np.float32)
+        query = np.hstack([p.vectors @ p.near, one]).take(near, 0)
+        query += np.hstack([p.vectors @ p.far, zero]).take(far, 0)
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", query, v_word), -30, 30)))
+        # A number per token and noise word: the steps to -1 / (1 + exp(-x)) reuse its memory.
+        down = query @ v_noise.T
+        np.clip(down, -30, 30, out=down)
+        np.exp(np.negative(down, out=down), out=down)
+        down += 1
+        np.divide(-1, down, out=down)
         pull = down @ v_noise
-        pull += up[:, None] * v_word
-        at_near, at_far = by_class(near, pull, size), by_class(far, pull, size)
-        vectors = by_class(word, up[:, None] * query, size) + at_near @ p.near.T + at_far @ p.far.T
-        np.add.at(vectors, noise, down.T @ query)
-        bias = np.bincount(word, up, size)
-        np.add.at(bias, noise, down.sum(0))
-        grad = np.concatenate([vectors.ravel(), (p.vectors.T @ at_near).ravel(), (p.vectors.T @ at_far).ravel(), bias])
+        v_word *= up[:, None]
+        pull += v_word
+        at_noise = down.T @ query
+        query *= up[:, None]
+        at_near, at_far = (by_class(c, pull, size)[:, :-1] for c in (near, far))
+        at_word = by_class(word, query, size)
+        np.add.at(at_word, noise, at_noise)
+        vectors = at_word[:, :-1] + at_near @ p.near.T + at_far @ p.far.T
+        grad = np.concatenate([vectors.ravel(), (p.vectors.T @ at_near).ravel(), (p.vectors.T @ at_far).ravel(), at_word[:, -1]])
         grad = (grad / n).astype(np.float32)
         self.squares += grad * grad
         self.flat += RATE * grad / np.sqrt(self.squares)
@@ -158,9 +166,17 @@ class Trainer:
 
     def learn(self, word: np.ndarray, near: np.ndarray, far: np.ndarray) -> None:
         order = self.rng.permutation(len(word))
+        rows = np.column_stack([word, near, far]).astype(np.uint16)  # a token's classes lie together, as they are taken
         for i in range(0, len(order), BATCH):
-            k = order[i : i + BATCH]
-            self.step(word[k], near[k], far[k])
+            self.step(*np.ascontiguousarray(rows[order[i : i + BATCH]].T, np.int64))
+
+
+class Buckets(dict):
+    """Buckets by the last two bytes of a word, as they are met: 65 536 and some at most."""
+
+    def __missing__(self, tail: bytes) -> int:
+        k = self[tail] = 1 + bucket(tail)
+        return k
 
 
 class Classes:
@@ -172,23 +188,17 @@ class Classes:
 
     def encode(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Classes of all tokens, the two classes before each, and where each text begins (and the last ends)."""
-        get, ends = self.of.get, {}
-
-        def one(w: bytes) -> int:
-            k = get(w)
-            if k is None:
-                tail = w[-2:]
-                k = ends.get(tail)
-                if k is None:
-                    k = ends[tail] = 1 + zlib.crc32(tail) % BUCKETS
-            return k
-
         sizes = [len(t) + 1 for t in texts]
         begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         word = np.zeros(begin[-1], np.int64)
         mask = np.ones(begin[-1], bool)
         mask[begin[1:] - 1] = False
-        word[mask] = np.fromiter(map(one, chain.from_iterable(texts)), np.int64, begin[-1] - len(texts))
+        flat = list(chain.from_iterable(texts))
+        found = np.fromiter(map(self.of.get, flat, repeat(-1)), np.int64, len(flat))
+        other = found < 0
+        tails = map(itemgetter(slice(-2, None)), compress(flat, other.tolist()))
+        found[other] = np.fromiter(map(Buckets().__getitem__, tails), np.int64, np.count_nonzero(other))
+        word[mask] = found
         near, far = np.zeros_like(word), np.zeros_like(word)
         near[1:] = word[:-1]  # the end of the text before is class 0 as well
         far[2:] = word[:-2]
@@ -250,29 +260,34 @@ def score(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text"):
-            ids, hashes, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), [tokens(t) for t in b.column(2).to_pylist()]
+            hashes, texts = b.column(1).to_pylist(), [tokens(t) for t in b.column(2).to_pylist()]
             word, before, further, begin = classes.encode(texts)
             each = near[before, word].astype(np.float64) + far[further, word] + bias[word] - table[before, further]
             in_bucket = (word > 0) & (word <= BUCKETS)
             each[in_bucket] -= rest_norm[word[in_bucket] - 1]
             sums = np.add.reduceat(each, begin[:-1]) if len(texts) else []
-            out: list[tuple] = []
+            # Columns of two kinds of rows: words whose counts are not here, then the texts themselves.
+            rare, times, rares, own = [], [], [], []
             for i, found in enumerate(texts):
-                base, extra, known, place = base_end, 0.0, known_end, (ids[i], hashes[i])
+                base, extra, known, before = base_end, 0.0, known_end, len(rare)
                 for w, n in Counter(found).items():
                     got = logs.get(w)
                     if got is None:
-                        out.append((*place, w, n, 0, 0, 0.0, 0.0))
+                        rare.append(w)
+                        times.append(n)
                     else:
                         base += n * got[0]
                         extra += n * got[1]
                         known += n
                 size = len(found) + 1
-                # A key that no word can have, and that spreads: the row of the text itself.
-                key = b" %d %d" % (hashes[i], i)
-                out.append((*place, key, 0, size, known, base - size * base_norm, float(sums[i]) + extra))
-            kinds = pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, kinds)]
+                rares.append(len(rare) - before)
+                own.append((size, known, base - size * base_norm, float(sums[i]) + extra))
+            # A key that no word can have, and that spreads: the row of the text itself.
+            rare += [b" %d %d" % (h, i) for i, h in enumerate(hashes)]
+            place = pa.array(np.concatenate([np.repeat(np.arange(len(texts)), rares), np.arange(len(texts))]))
+            columns = [b.column(0).take(place), b.column(1).take(place), pa.array(rare, pa.binary()), pa.array(times + [0] * len(texts), pa.int64())]
+            for values, kind in zip(zip(*own), (np.int64, np.int64, np.float64, np.float64)):
+                columns.append(pa.array(np.concatenate([np.zeros(len(times), kind), np.array(values, kind)])))
             yield pa.record_batch(columns, names=["doc_id", "th", "word", "n", "n_tokens", "n_known", "base", "score"])
 
     schema = "doc_id bigint, th bigint, word binary, n bigint, n_tokens bigint, n_known bigint, base double, score double"

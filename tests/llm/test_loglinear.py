@@ -46,6 +46,42 @@ def test_contexts_do_not_cross_texts():
     assert far.tolist() == [0, 0, 0, 0, 0, x, y]
 
 
+def test_step_against_plain_sums():
+    """One step follows the gradient summed token by token."""
+    rng = np.random.default_rng(2)
+    share = rng.dirichlet(np.ones(30))
+    start = m.Parameters.start(share).flat()
+    word, near, far = rng.integers(0, 30, (3, 50))
+    trainer = m.Trainer(start, share)
+    trainer.step(word, near, far)
+    p, offset = m.Parameters.of(start), np.log(m.NOISE * share)
+    noise = np.minimum(np.searchsorted(np.cumsum(share), np.random.default_rng(11).random(m.NOISE)), 29)
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    vectors, a, b, bias = (np.zeros(x.shape) for x in (p.vectors, p.near, p.far, p.bias))
+    for w, c, d in zip(word, near, far):
+        query = p.vectors[c] @ p.near + p.vectors[d] @ p.far
+        for k, real in [(w, True), *((k, False) for k in noise)]:
+            g = real - sigmoid(query @ p.vectors[k] + p.bias[k] - offset[k])
+            vectors[k] += g * query
+            bias[k] += g
+            pull = g * p.vectors[k]
+            vectors[c] += p.near @ pull
+            vectors[d] += p.far @ pull
+            a += np.outer(p.vectors[c], pull)
+            b += np.outer(p.vectors[d], pull)
+    grad = np.concatenate([vectors.ravel(), a.ravel(), b.ravel(), bias]) / len(word)
+    want = start + m.RATE * grad / np.sqrt(1e-6 + grad * grad)
+    assert np.allclose(trainer.flat, want, atol=1e-4)
+
+
+def test_classes_of_other_words_by_their_tails():
+    c = m.Classes([b"x"])
+    texts = [[b"x", b"ab", b"zab", b"b", b"", b"\xc3\xa9"], [b"cab", b"x"]]
+    word, _, _, begin = c.encode(texts)
+    want = [c.of[w] if w in c.of else 1 + m.bucket(w) for w in texts[0]] + [0] + [1 + m.bucket(b"cab"), c.of[b"x"], 0]
+    assert word.tolist() == want and begin.tolist() == [0, 7, 10]
+
+
 def test_model_learns_order(spark):
     """On texts with strict order the model beats the unigram base on held-out texts by far."""
     rng = random.Random(0)
