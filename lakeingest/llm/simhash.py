@@ -14,8 +14,10 @@ changes the work and never the result.
 ``keep_one``, the pipeline's stage, asks for a similarity (shared five-word shingles over all) of 0.8 or more.
 Near 0.8, fingerprints of 64 bits differ in about ten of them and vary too much to tell; it therefore takes
 512 bits over the distinct shingles. A first word of 64 bits sieves the pairs, the rest finds candidates, by a
-radius wide enough for 0.8. Its tiles are classes of shingle counts, of which only equal and adjacent ones can
-reach the similarity. Fingerprints only propose: the texts that candidates connect meet again with their whole
+radius wide enough for 0.8. Its tiles are population counts as well, of all 512 bits and in steps wider than that
+radius, so that pairs whose counts lie too far apart are skipped and no others; within them are classes of shingle
+counts, of which only equal and adjacent ones can reach the similarity. Most texts have population counts near 256, so
+that the counts skip little there: sets of a few shingles and empty ones. Fingerprints only propose: the texts that candidates connect meet again with their whole
 sets of shingle hashes, and a candidate links only if the exact similarity is reached. Components are formed of
 these links. Crowded sets of candidates are cut into parts, as tiles are; pairs that links of a part already
 connect are not counted again, so that a large group of near copies costs little.
@@ -46,6 +48,8 @@ PART, STRIP = 4096, 256
 WIDE_SHINGLE, SIMILAR, WORDS, WIDE_RADIUS, FIRST_RADIUS = 5, 0.8, 8, 128, 24
 #: Its tiles are few and large: a fingerprint goes to as many groups as there are parts near it, so parts are larger.
 WIDE_PART = 16384
+#: Its population counts go in steps from an edge on: few texts but the shortest lie outside 150 to 309 of 512 bits.
+WIDE_STEP, WIDE_EDGE = 160, 150
 #: Sets of shingles in a part of connected candidates, and shingles of all of them.
 SETS, SHINGLES = 1024, 1 << 20
 
@@ -93,10 +97,10 @@ def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int =
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """``(doc_id, th, fp)`` of every row, with ``wide`` also ``size``; a map without a shuffle.
+    """``(doc_id, th, fp)`` of every row, with ``wide`` also ``size`` and ``ones``; a map without a shuffle.
 
     ``th`` is a hash of the text, which tells rows of one doc_id apart, ``fp`` the fingerprint: a signed long,
-    or binary if wide, with the name of the set behind, so that equal ones are equal sets.
+    or binary if wide, with the name of the set behind, so that equal ones are equal sets. ``ones`` is its population count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,14 +108,15 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: bool = False) ->
             texts = b.column(2).to_pylist()
             if wide:
                 found = [wide_fingerprint(t, shingle) for t in texts]
-                columns = [pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())]
+                ones = np.bitwise_count(_bits([f for f, _ in found])).sum(1, dtype=np.int64)
+                columns = [pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64()), pa.array(ones)]
             else:
                 columns = [pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))]
-            yield pa.record_batch([b.column(0), b.column(1), *columns], names=["doc_id", "th", "fp", "size"][: 2 + len(columns)])
+            yield pa.record_batch([b.column(0), b.column(1), *columns], names=["doc_id", "th", "fp", "size", "ones"][: 2 + len(columns)])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, " + ("fp binary, size bigint" if wide else "fp bigint"))
+    return rows.mapInArrow(run, "doc_id bigint, th bigint, " + ("fp binary, size bigint, ones bigint" if wide else "fp bigint"))
 
 
 def _masks(blocks: int) -> list[int]:
@@ -142,6 +147,20 @@ def offsets(blocks: int, radius: int) -> list[int]:
     return sorted(found)
 
 
+def wide_tile(size: Column, ones: Column, similar: float, radius: int) -> tuple[Column, list[int]]:
+    """Tile keys of wide fingerprints by population count and class of shingle counts, and the differences of near ones.
+
+    Sets of which one is smaller than ``similar`` times the other cannot reach it: their classes are not adjacent.
+    Fingerprints within the radius have population counts that differ by the radius at most: of equal or adjacent steps.
+    """
+    width = max(WIDE_STEP, radius + 1)
+    below = -(-WIDE_EDGE // width)  # steps below the edge
+    kinds = 2 * (below + (64 * WORDS - WIDE_EDGE) // width + 1)
+    count = F.floor((ones - WIDE_EDGE) / width).cast("bigint") + below
+    group = F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-np.log(similar).item())).cast("bigint")
+    return group * kinds + count, [0, 1, kinds - 1, kinds, kinds + 1]
+
+
 def forest(fps: np.ndarray, left: int, radius: int, first: int) -> np.ndarray:
     """Per row of 64-bit words the smallest row it is linked to through the group.
 
@@ -339,10 +358,9 @@ def group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Data
 def group_similar(docs: DataFrame, similar: float = SIMILAR, radius: int = WIDE_RADIUS) -> DataFrame:
     """The same by wide fingerprints and exact counts: texts are linked if ``similar`` of their distinct five-word shingles are shared."""
     fps, _ = stored(fingerprints(docs, WIDE_SHINGLE, wide=True), "wide-fingerprints")
-    distinct, _ = stored(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.min("size").alias("size")), "wide-distinct")
-    # Sets of which one is smaller than ``similar`` times the other cannot reach it: their classes are not adjacent.
-    key = F.floor(F.log(F.greatest("size", F.lit(1))) / F.lit(-np.log(similar).item())).cast("bigint")
-    near, _ = stored(links(distinct.select("fp", key.alias("key")), [0, 1], radius, FIRST_RADIUS, WIDE_PART), "candidates")
+    distinct, _ = stored(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.min("size").alias("size"), F.min("ones").alias("ones")), "wide-distinct")
+    key, steps = wide_tile(F.col("size"), F.col("ones"), similar, radius)
+    near, _ = stored(links(distinct.select("fp", key.alias("key")), steps, radius, FIRST_RADIUS, WIDE_PART), "candidates")
     roots = components(near.select(F.col("fp").alias("x"), F.col("low").alias("y")))
     roots = roots.union(roots.select("root", "root").distinct())  # a root is no node of its own
     members = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least.doc_id", "least.th")

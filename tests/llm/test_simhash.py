@@ -123,3 +123,32 @@ def test_verified_links_over_parts(spark):
 
 def test_empty(nothing):
     assert s.group(nothing).collect() == [] and s.keep_one(nothing).collect() == []
+
+
+def test_wide_tiles_by_population_counts(spark):
+    """Near fingerprints of like sizes lie in near tiles; those whose population counts alone tell them apart do not."""
+    rng = np.random.default_rng(4)
+    radius, similar = s.WIDE_RADIUS, s.SIMILAR
+    rows, near = [], []
+    for k in range(400):
+        bits = rng.random(64 * s.WORDS) < rng.choice([0.05, 0.25, 0.35, 0.5, 0.65, 0.95])
+        other = bits.copy()
+        value = rng.random() < 0.5  # all flips in one direction move the count the most
+        places = np.flatnonzero(bits == value)
+        flipped = rng.permutation(places)[: rng.integers(0, radius + 1)]
+        other[flipped] = ~other[flipped]
+        size = int(rng.integers(1, 500))
+        rows += [(2 * k, size, int(bits.sum())), (2 * k + 1, int(np.ceil(size * similar)), int(other.sum()))]
+        near.append((2 * k, 2 * k + 1))
+    key, steps = s.wide_tile(F.col("size"), F.col("ones"), similar, radius)
+    got = spark.createDataFrame(rows, "k long, size long, ones long").select("k", "size", "ones", key.alias("key")).collect()
+    keys = {r["k"]: r["key"] for r in got}
+    assert all(abs(keys[a] - keys[b]) in steps for a, b in near)
+    apart = [(a, b) for a in got for b in got if a["size"] == b["size"] and abs(a["ones"] - b["ones"]) > 2 * s.WIDE_STEP]
+    assert apart and not any(abs(a["key"] - b["key"]) in steps for a, b in apart)
+
+
+def test_wide_fingerprints_carry_their_population_counts(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (3, "a b")], "doc_id int, text string")
+    for r in s.fingerprints(docs, s.WIDE_SHINGLE, wide=True).collect():
+        assert r["ones"] == sum(x.bit_count() for x in r["fp"][: 8 * s.WORDS])
