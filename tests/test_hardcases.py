@@ -1,14 +1,17 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lakeingest import IngestOptions, ingest
 from lakeingest.catalog.workbooks import workbook_bytes
 from lakeingest.operators import framing
 from lakeingest.plans import ingest as plan
 from lakeingest.plans.audit import write_reports
-from lakeingest.sources import bigjson
+from lakeingest.session import BATCH_BYTES, isolated, small_batches
+from lakeingest.sources import bigjson, records
 from tests.conftest import rows
 
 
@@ -185,3 +188,41 @@ def test_deep_tree_is_listed_whole(spark, tmp_path, monkeypatch):
         got = list_files(spark, [str(tmp_path / "raiz")]).collect()
         assert {(r.path, r.length) for r in got} == want and len(got) == len(want)
     assert list_files(spark, [str(tmp_path / "nichts")]).collect() == []
+
+
+def test_records_of_a_table_suggest_the_schema(spark, drop, monkeypatch):
+    """Where the first records of large documents show every key and type, no pass but the write reads all of them."""
+    drop("a.json", json.dumps({"items": [{"z": k, "a": f"t{k}"} for k in range(50)]}))
+
+    def second_pass(*_):
+        raise AssertionError("the schema was inferred in a pass of its own")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(records.js, "key_order", second_pass)
+        df = run(spark, drop, document_bytes=10).table()
+    assert df.columns == ["z", "a"] and rows(df, "z") == [(k, f"t{k}") for k in range(50)]
+
+
+def test_late_keys_and_types_refute_the_first_records(spark, drop):
+    late = [{"b": k} for k in range(30)] + [{"a": 1, "b": 0.5}]
+    drop("a.json", json.dumps({"items": late}))
+    drop("b.json", json.dumps([{"b": 7}, {"c": "x" * 60_000}]))
+    df = run(spark, drop, document_bytes=10).table()
+    assert sorted(df.columns) == ["a", "b", "c"] and dict(df.dtypes)["b"] == "double"
+    assert df.count() == 33 and df.agg({"b": "sum"}).first()[0] == sum(range(30)) + 7.5
+
+
+def test_rows_go_to_python_in_batches_of_some_bytes(spark):
+    """Long rows are handed on by their bytes, not by thousands, and the caller's setting is left as it was."""
+    def size(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes], pa.int64())], names=["n"])
+
+    long = spark.range(0, 3000, 1, 1).select(F.repeat(F.lit("abcdefghij"), 1000).alias("value"))
+    largest = lambda df: df.mapInArrow(size, "n bigint").agg(F.max("n")).first()[0]
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    with small_batches(spark):
+        assert largest(long) < 2 * BATCH_BYTES
+    assert spark.conf.get(key, None) == before
+    assert int(isolated(spark).conf.get(key)) == BATCH_BYTES
