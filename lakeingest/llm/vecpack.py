@@ -162,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str, limits: Limits | None = Non
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], names=names)
 
         for b in by_bytes(batches, "text"):
-            for doc_id, first, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encode(b.column(2).to_pylist(), end)):
+            for doc_id, first, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), encode(b.column(2), end)):
                 n = len(ids) // 4
                 packer.add([Piece(doc_id, memoryview(ids), 0, n, n, first)])
                 if len(packer.pieces) > 2 * pool or packer.total > 2 * POOL_IDS:
