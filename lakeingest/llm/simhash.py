@@ -17,7 +17,14 @@ Near 0.8, fingerprints of 64 bits differ in about ten of them and vary too much
 radius wide enough for 0.8. Its tiles are population counts as well, of all 512 bits and in steps wider than that
 radius, so that pairs whose counts lie too far apart are skipped and no others; within them are classes of shingle
 counts, of which only equal and adjacent ones can reach the similarity. Most texts have population counts near 256, so
-that the counts skip little there: sets of a few shingles and empty ones. Fingerprints only propose: the texts that candidates connect meet again with their whole
+that the counts skip little there: sets of a few shingles and empty ones.
+
+A radius loses pairs by chance, so every set also has an odd sketch: bit k tells whether an odd number of its shingle
+hashes is k modulo the sketch's length. The exclusive-or of two sketches is the sketch of what only one of the sets has,
+so it never has more bits than that. Pairs of equal and adjacent classes whose sketches differ in more bits than the
+similarity allows cannot reach it; all others are candidates too, and none is lost.
+
+Both only propose: the texts that candidates connect meet again with their whole
 sets of shingle hashes, and a candidate links only if the exact similarity is reached. Components are formed of
 these links. Crowded sets of candidates are cut into parts, as tiles are; pairs that links of a part already
 connect are not counted again, so that a large group of near copies costs little.
@@ -50,6 +57,8 @@ WIDE_SHINGLE, SIMILAR, WORDS, WIDE_RADIUS, FIRST_RADIUS = 5, 0.8, 8, 128, 24
 WIDE_PART = 16384
 #: Its population counts go in steps from an edge on: few texts but the shortest lie outside 150 to 309 of 512 bits.
 WIDE_STEP, WIDE_EDGE = 160, 150
+#: Least bits of an odd sketch, shingles of a set for that many (twice as many have twice the bits), and columns of one exclusive-or.
+ODD_BITS, ODD_SHINGLES, ODD_STRIP = 512, 640, 2048
 #: Sets of shingles in a part of connected candidates, and shingles of all of them.
 SETS, SHINGLES = 1024, 1 << 20
 
@@ -82,11 +91,29 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(_majority(hashes.reshape(-1, 1))[0]) if len(hashes) else 0
 
 
+def odd_sketch(hashes: np.ndarray) -> bytes:
+    """Bit k is set if an odd number of the distinct hashes is k modulo the length, a power of two that grows with their number."""
+    bits = ODD_BITS
+    while len(hashes) > ODD_SHINGLES * (bits // ODD_BITS):
+        bits *= 2
+    counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits(counts & 1 == 1, bitorder="little").tobytes()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Rows of 64-bit words: odd sketches, brought to the length of the shortest."""
+    width = min(map(len, sketches))
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(x, np.uint64).reshape(-1, width // 8), axis=0) for x in sketches])
+
+
 def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int = WORDS) -> tuple[bytes, int]:
     """Majority bits of ``words`` mixes of the distinct shingles' hashes, 128 bits that name their set, and their number."""
+    return _wide(np.unique(_hashes(text, shingle)), words)
+
+
+def _wide(hashes: np.ndarray, words: int = WORDS) -> tuple[bytes, int]:
     import xxhash
 
-    hashes = np.unique(_hashes(text, shingle))
     name = xxhash.xxh3_128_digest(hashes.tobytes())
     if not len(hashes):
         return bytes(8 * words) + name, 0
@@ -97,26 +124,31 @@ def wide_fingerprint(text: str | None, shingle: int = WIDE_SHINGLE, words: int =
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """``(doc_id, th, fp)`` of every row, with ``wide`` also ``size`` and ``ones``; a map without a shuffle.
+    """``(doc_id, th, fp)`` of every row, with ``wide`` also ``size``, ``ones`` and ``odd``; a map without a shuffle.
 
     ``th`` is a hash of the text, which tells rows of one doc_id apart, ``fp`` the fingerprint: a signed long,
-    or binary if wide, with the name of the set behind, so that equal ones are equal sets. ``ones`` is its population count.
+    or binary if wide, with the name of the set behind, so that equal ones are equal sets. ``ones`` is its population count,
+    ``odd`` the odd sketch of the set.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, "text"):
             texts = b.column(2).to_pylist()
             if wide:
-                found = [wide_fingerprint(t, shingle) for t in texts]
+                found, odd = [], []
+                for t in texts:
+                    hashes = np.unique(_hashes(t, shingle))
+                    found.append(_wide(hashes))
+                    odd.append(odd_sketch(hashes))
                 ones = np.bitwise_count(_bits([f for f, _ in found])).sum(1, dtype=np.int64)
-                columns = [pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64()), pa.array(ones)]
+                columns = [pa.array([f for f, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64()), pa.array(ones), pa.array(odd, pa.binary())]
             else:
                 columns = [pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))]
-            yield pa.record_batch([b.column(0), b.column(1), *columns], names=["doc_id", "th", "fp", "size", "ones"][: 2 + len(columns)])
+            yield pa.record_batch([b.column(0), b.column(1), *columns], names=["doc_id", "th", "fp", "size", "ones", "odd"][: 2 + len(columns)])
 
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, th bigint, " + ("fp binary, size bigint, ones bigint" if wide else "fp bigint"))
+    return rows.mapInArrow(run, "doc_id bigint, th bigint, " + ("fp binary, size bigint, ones bigint, odd binary" if wide else "fp bigint"))
 
 
 def _masks(blocks: int) -> list[int]:
@@ -147,6 +179,11 @@ def offsets(blocks: int, radius: int) -> list[int]:
     return sorted(found)
 
 
+def size_class(size: Column, similar: float) -> Column:
+    """Classes of shingle counts: sets whose classes are neither equal nor adjacent cannot reach the similarity."""
+    return F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-np.log(similar).item())).cast("bigint")
+
+
 def wide_tile(size: Column, ones: Column, similar: float, radius: int) -> tuple[Column, list[int]]:
     """Tile keys of wide fingerprints by population count and class of shingle counts, and the differences of near ones.
 
@@ -157,8 +194,7 @@ def wide_tile(size: Column, ones: Column, similar: float, radius: int) -> tuple[
     below = -(-WIDE_EDGE // width)  # steps below the edge
     kinds = 2 * (below + (64 * WORDS - WIDE_EDGE) // width + 1)
     count = F.floor((ones - WIDE_EDGE) / width).cast("bigint") + below
-    group = F.floor(F.log(F.greatest(size, F.lit(1))) / F.lit(-np.log(similar).item())).cast("bigint")
-    return group * kinds + count, [0, 1, kinds - 1, kinds, kinds + 1]
+    return size_class(size, similar) * kinds + count, [0, 1, kinds - 1, kinds, kinds + 1]
 
 
 def forest(fps: np.ndarray, left: int, radius: int, first: int) -> np.ndarray:
@@ -177,27 +213,71 @@ def forest(fps: np.ndarray, left: int, radius: int, first: int) -> np.ndarray:
             rest = np.bitwise_count(fps[rows[a], 1:] ^ fps[other[b], 1:]).sum(1, dtype=np.int64)
             close = differ[a, b] + rest <= radius
             a, b = a[close], b[close]
-        a, b = rows[a], other[b]
-        while True:  # hook the larger label below the smaller, then shortcut
-            la, lb = label[a], label[b]
-            apart = la != lb
-            if not apart.any():
-                break
-            a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-            np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
-            while (label[label] != label).any():
-                label = label[label]
+        label = _hooked(label, rows[a], other[b])
+    return label
+
+
+def _hooked(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after the links ``a, b``: the larger label is hooked below the smaller, then shortcut."""
+    while True:
+        la, lb = label[a], label[b]
+        apart = la != lb
+        if not apart.any():
+            return label
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(label, np.maximum(la, lb), np.minimum(la, lb))
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def allowed(sizes: np.ndarray, others: np.ndarray, similar: float) -> np.ndarray:
+    """Shingles that only one of two sets may have, by their sizes, where they reach the similarity."""
+    return (sizes + others) * ((1 - similar) / (1 + similar)) + 1e-6
+
+
+def odd_forest(odd: np.ndarray, sizes: np.ndarray, left: int, similar: float) -> np.ndarray:
+    """As ``forest``, with links between all rows whose odd sketches do not rule the similarity out."""
+    label = np.arange(len(odd))
+    end = left or len(odd)
+    for i in range(0, end, STRIP):
+        rows = np.arange(i, min(i + STRIP, end))
+        for j in range(left or i, len(odd), ODD_STRIP):
+            other = np.arange(j, min(j + ODD_STRIP, len(odd)))
+            most = allowed(sizes[rows].max(), sizes[other].max(), similar)
+            # As many words for all pairs as tell most of them apart; the others of the few that are left.
+            words = min(odd.shape[1], int(most / 32) + 4)
+            differ = np.zeros((len(rows), len(other)), np.uint16)
+            for k in range(words):
+                differ += np.bitwise_count(odd[rows, None, k] ^ odd[None, other, k])
+            a, b = np.nonzero(differ <= most)
+            a, b = rows[a], other[b]
+            fits = (a != b) & (label[a] != label[b]) & (np.minimum(sizes[a], sizes[b]) >= similar * np.maximum(sizes[a], sizes[b]) - 1e-6)
+            a, b = a[fits], b[fits]
+            for k in range(0, len(a), ODD_STRIP):  # a group of near copies leaves many
+                c, d = a[k : k + ODD_STRIP], b[k : k + ODD_STRIP]
+                near = np.bitwise_count(odd[c] ^ odd[d]).sum(1, dtype=np.int64) <= allowed(sizes[c], sizes[d], similar)
+                label = _hooked(label, c[near], d[near])
     return label
 
 
+def sized_odd(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Odd sketches and sizes of names with both behind them: wide fingerprint, name of the set, size, sketch."""
+    start = 8 * WORDS + 16
+    return folded([x[start + 8 :] for x in names]), np.array([int.from_bytes(x[start : start + 8], "big") for x in names])
+
+
 def _bits(names: np.ndarray) -> np.ndarray:
     """The words of wide fingerprints, without the names of their sets."""
     return np.frombuffer(b"".join(names), np.uint64).reshape(len(names), -1)[:, :WORDS]
 
 
 def exact_forest(fps: np.ndarray, sets: list[np.ndarray], left: int, radius: int, first: int, similar: float) -> np.ndarray:
-    """As ``forest``, but rows link only if their sets also have the similarity."""
+    """As ``forest``, but rows link if and only if their sets have the similarity.
+
+    Pairs that are neither within the radius nor possible by their odd sketches are not counted.
+    """
     label, sizes = np.arange(len(fps)), np.array([len(x) for x in sets])
+    odd = folded([odd_sketch(x) for x in sets])
     values, codes = np.unique(np.concatenate(sets), return_inverse=True)
     codes, mark = np.split(codes, np.cumsum(sizes)[:-1]), np.zeros(len(values), bool)
     for i in range(left or len(fps)):
@@ -205,7 +285,9 @@ def exact_forest(fps: np.ndarray, sets: list[np.ndarray], left: int, radius: int
         alike = np.minimum(sizes[i], sizes[other]) >= similar * np.maximum(sizes[i], sizes[other]) - 1e-6
         other = other[alike & (label[other] != label[i])]
         differ = np.bitwise_count(fps[i] ^ fps[other])
-        other = other[(differ[:, 0] <= first) & (differ.sum(1, dtype=np.int64) <= radius)]
+        close = (differ[:, 0] <= first) & (differ.sum(1, dtype=np.int64) <= radius)
+        close |= np.bitwise_count(odd[i] ^ odd[other]).sum(1, dtype=np.int64) <= allowed(sizes[i], sizes[other], similar)
+        other = other[close]
         if not len(other):
             continue
         mark[codes[i]] = True
@@ -216,10 +298,11 @@ def exact_forest(fps: np.ndarray, sets: list[np.ndarray], left: int, radius: int
     return label
 
 
-def links(tiled: DataFrame, steps: list[int], radius: int, first: int, part: int = PART) -> DataFrame:
+def links(tiled: DataFrame, steps: list[int], radius: int, first: int, part: int = PART, odd: float | None = None) -> DataFrame:
     """``(fp, low)``: links between distinct fingerprints of ``tiled (fp, key)`` that connect what the radius connects.
 
-    Tiles whose keys differ by one of ``steps`` (zero and positive) are compared.
+    Tiles whose keys differ by one of ``steps`` (zero and positive) are compared. With a similarity ``odd``, sizes and odd
+    sketches stand behind the fingerprints (``sized_odd``) and link in place of the radius.
     """
     # The number of tiles is bounded by what a key can be, not by the rows.
     sizes = tiled.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
@@ -249,9 +332,12 @@ def links(tiled: DataFrame, steps: list[int], radius: int, first: int, part: int
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["right", "fp"])
         names = group["fp"].to_numpy()
-        fps = names.view(np.uint64).reshape(-1, 1) if names.dtype != object else _bits(names)
         left = int((~group["right"]).sum())
-        label = forest(fps, left if left < len(fps) else 0, radius, first)
+        left = left if left < len(names) else 0
+        if odd is not None:
+            label = odd_forest(*sized_odd(names), left, odd)
+        else:
+            label = forest(names.view(np.uint64).reshape(-1, 1) if names.dtype != object else _bits(names), left, radius, first)
         linked = np.nonzero(label != np.arange(len(label)))[0]
         return pd.DataFrame({"fp": names[linked], "low": names[label[linked]]})
 
@@ -358,9 +444,13 @@ def group(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> Data
 def group_similar(docs: DataFrame, similar: float = SIMILAR, radius: int = WIDE_RADIUS) -> DataFrame:
     """The same by wide fingerprints and exact counts: texts are linked if ``similar`` of their distinct five-word shingles are shared."""
     fps, _ = stored(fingerprints(docs, WIDE_SHINGLE, wide=True), "wide-fingerprints")
-    distinct, _ = stored(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.min("size").alias("size"), F.min("ones").alias("ones")), "wide-distinct")
+    distinct, _ = stored(fps.groupBy("fp").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.min("size").alias("size"), F.min("ones").alias("ones"), F.min("odd").alias("odd")), "wide-distinct")
     key, steps = wide_tile(F.col("size"), F.col("ones"), similar, radius)
-    near, _ = stored(links(distinct.select("fp", key.alias("key")), steps, radius, FIRST_RADIUS, WIDE_PART), "candidates")
+    near = links(distinct.select("fp", key.alias("key")), steps, radius, FIRST_RADIUS, WIDE_PART)
+    sized = F.concat("fp", F.unhex(F.lpad(F.hex("size"), 16, "0")), "odd").alias("fp")
+    possible = links(distinct.select(sized, size_class(F.col("size"), similar).alias("key")), [0, 1], radius, FIRST_RADIUS, WIDE_PART, similar)
+    width = 8 * WORDS + 16
+    near, _ = stored(near.unionByName(possible.select(*[F.substring(c, 1, width).alias(c) for c in ("fp", "low")])).distinct(), "candidates")
     roots = components(near.select(F.col("fp").alias("x"), F.col("low").alias("y")))
     roots = roots.union(roots.select("root", "root").distinct())  # a root is no node of its own
     members = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least.doc_id", "least.th")

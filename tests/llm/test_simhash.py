@@ -152,3 +152,44 @@ def test_wide_fingerprints_carry_their_population_counts(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g"), (2, None), (3, "a b")], "doc_id int, text string")
     for r in s.fingerprints(docs, s.WIDE_SHINGLE, wide=True).collect():
         assert r["ones"] == sum(x.bit_count() for x in r["fp"][: 8 * s.WORDS])
+
+
+def test_no_pair_is_lost_by_chance(spark):
+    """Pairs of exactly 0.8 whose fingerprints lie beyond the radius, of all words or of the first, are linked."""
+    rows = []
+    for k in (972, 1774, 4753, 5036, 15992):
+        words = [f"w{k}x{i}" for i in range(9)]
+        texts = " ".join(words[:8]), " ".join(words)
+        a, b = (np.frombuffer(s.wide_fingerprint(t)[0], np.uint64)[: s.WORDS] for t in texts)
+        differ = np.bitwise_count(a ^ b)
+        assert differ[0] > s.FIRST_RADIUS or differ.sum() > s.WIDE_RADIUS
+        rows += [(k, texts[0]), (100_000 + k, texts[1])]
+    found = s.group_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["component_id"] == r["doc_id"] % 100_000 for r in found)
+
+
+def test_odd_sketches_rule_nothing_similar_out():
+    """Sets of any size, over lengths of sketches and parts: whatever reaches 0.8 is linked, and little else."""
+    rng = np.random.default_rng(5)
+    sets, pairs = [], []
+    for k in range(150):
+        n = int(rng.choice([1, 4, 9, 60, 500, 640, 700, 1300, 3000]))
+        union = rng.integers(0, 1 << 63, 2 * n + 2).astype(np.uint64)
+        gone, more = int(rng.integers(0, n // 5 + 1)), int(rng.integers(0, n // 5 + 1))
+        a, b = np.unique(union[:n]), np.unique(np.append(union[gone:n], union[n : n + more]))
+        shared = len(np.intersect1d(a, b))
+        pairs.append((2 * k, 2 * k + 1, shared / max(1, len(a) + len(b) - shared)))
+        sets += [a, b]
+    sizes = np.array([len(x) for x in sets])
+    assert len({len(s.odd_sketch(x)) for x in sets}) > 3
+    order = rng.permutation(len(sets))
+    for of in (order, np.argsort(sizes, kind="stable")):
+        at = np.argsort(of)
+        # All sketches are folded to the shortest here, which leaves the most pairs that are none.
+        label = s.odd_forest(s.folded([s.odd_sketch(sets[i]) for i in of]), sizes[of], 0, 0.8)
+        assert all(label[at[a]] == label[at[b]] for a, b, x in pairs if x >= 0.8)
+    for a, b, x in pairs:  # two by two, as in a tile of like sizes
+        label = s.odd_forest(s.folded([s.odd_sketch(sets[a]), s.odd_sketch(sets[b])]), sizes[[a, b]], 1, 0.8)
+        assert (label[1] == 0) or x < 0.8
+        assert label[1] == 1 or x >= 0.6
+    assert sum(x >= 0.8 for _, _, x in pairs) > 20
