@@ -10,7 +10,7 @@ from lakeingest.catalog.workbooks import workbook_bytes
 from lakeingest.operators import framing
 from lakeingest.plans import ingest as plan
 from lakeingest.plans.audit import write_reports
-from lakeingest.session import BATCH_BYTES, isolated, small_batches
+from lakeingest.session import BATCH_BYTES, LISTING, isolated, small_batches
 from lakeingest.sources import bigjson, records
 from tests.conftest import rows
 
@@ -226,3 +226,49 @@ def test_rows_go_to_python_in_batches_of_some_bytes(spark):
         assert largest(long) < 2 * BATCH_BYTES
     assert spark.conf.get(key, None) == before
     assert int(isolated(spark).conf.get(key)) == BATCH_BYTES
+
+
+def test_blocks_are_streamed_to_files(spark, tmp_path):
+    """The files are those of the joined blocks, and small batches cut no block."""
+    from lakeingest.catalog.samples import blocks, write_blocks
+
+    rows = [(i, None if i % 7 == 0 else f"linha {i} " + "é" * (i % 900)) for i in range(5000)] + [(3, "twice"), (9000, None)]
+    df = spark.createDataFrame(rows, "k long, value string")
+    folder = write_blocks(df, "k", 1000, "b_%04d.txt", str(tmp_path / "b"))
+    want = {f"b_{r.bloco:04d}.txt": r.body for r in blocks(df, "k", 1000).collect()}
+    assert {p.name: p.read_text() for p in (tmp_path / "b").iterdir()} == want and want["b_0009.txt"] == ""
+
+
+def test_small_splits_share_tasks(spark, tmp_path):
+    """Many small splits are read by few tasks, and lines keep their numbers."""
+    from lakeingest.sources.lines import block_table, number_lines, read_lines
+
+    inner = isolated(spark)
+    inner.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    for k in range(20):
+        (tmp_path / f"{k}.txt").write_text("".join(f"{k} {i}\n" for i in range(1, 1001)))
+    paths = [str(tmp_path / f"{k}.txt") for k in range(20)]
+    lines = read_lines(inner, paths)
+    assert lines.select("uri", "block").distinct().count() > 200
+    assert lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    got = number_lines(lines, block_table(read_lines(inner, paths))).select("value", "line_number").collect()
+    assert len(got) == 20_000 and all(int(r.value.split()[1]) == r.line_number for r in got)
+
+
+def test_small_files_share_tasks(spark, drop, monkeypatch):
+    """Heads are sniffed by several tasks; many small datasets are listed and read by few."""
+    for k in range(60):
+        drop(f"f{k:02d}.csv", f"a;b\n{k};x\n")
+    key, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen, sniffed = [], plan.sniff
+    monkeypatch.setattr(plan, "sniff", lambda listed: seen.append(listed) or sniffed(listed))
+    result = run(spark, drop)
+    assert seen[0].select(F.spark_partition_id()).distinct().count() > 4
+    spark.conf.set(key, "1024")
+    try:
+        table = result.table()
+        assert table.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert sorted(int(r.a) for r in table.collect()) == list(range(60))
+    finally:
+        spark.conf.set(key, before)
+    assert spark.conf.get(LISTING, "10000") == "10000"
