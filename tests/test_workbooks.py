@@ -2,6 +2,7 @@ import pandas as pd
 
 from lakeingest import IngestOptions, ingest
 from lakeingest.catalog.workbooks import workbook_bytes
+from lakeingest.sources import workbooks
 from tests.conftest import rows
 
 SHEETS = {
@@ -47,3 +48,11 @@ def test_equal_sheets_of_different_waves(spark, drop):
     assert rows(result.table(keep_source=True), "k") == [(0, "a.parquet"), (1, "b.parquet")]
     assert rows(result.audit.select("nome_original", "status"), "nome_original") == [
         ("a.xlsx", "sucesso"), ("b.xlsx", "sucesso"), ("c.xlsx", "erro")]
+
+
+def test_cells_are_packed_as_columns():
+    """Lists of structs as the objects of single cells give them, with gaps, empty rows and texts of any kind."""
+    found = [[("n", "1"), None, ("s", "é")], [], [None], [("b", "true"), ("s", "")]]
+    want = [[c and {"kind": c[0], "value": c[1]} for c in row] for row in found]
+    assert workbooks._packed_cells(found).to_pylist() == want
+    assert workbooks._packed_cells([]).to_pylist() == []
